@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from inkstrata.llm.simhash_dedup import op10_simhash_dedup
+from inkstrata.llm.toxicity import op7_toxicity
 
 QUERIES = {
+    "op7_toxicity": op7_toxicity,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
 
