@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from inkstrata.llm.decontamination import op4_decontamination
 from inkstrata.llm.simhash_dedup import op10_simhash_dedup
 from inkstrata.llm.toxicity import op7_toxicity
 
 QUERIES = {
+    "op4_decontamination": op4_decontamination,
     "op7_toxicity": op7_toxicity,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
