@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from inkstrata.llm.bpe_codec import op5_bpe_encode
 from inkstrata.llm.decontamination import op4_decontamination
 from inkstrata.llm.simhash_dedup import op10_simhash_dedup
+from inkstrata.llm.token_counts import op2_token_counts
 from inkstrata.llm.toxicity import op7_toxicity
 
 QUERIES = {
+    "op2_token_counts": op2_token_counts,
     "op4_decontamination": op4_decontamination,
+    "op5_bpe_encode": op5_bpe_encode,
     "op7_toxicity": op7_toxicity,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
