@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from inkstrata.llm.bpe_codec import op5_bpe_encode
 from inkstrata.llm.decontamination import op4_decontamination
+from inkstrata.llm.license_scan import op9_license_scan
 from inkstrata.llm.order_minhash import op3_order_minhash
 from inkstrata.llm.secret_scan import ORACLE as SECRETS_SQL
 from inkstrata.llm.secret_scan import op1_secret_scan
@@ -21,6 +22,7 @@ QUERIES = {
     "op5_bpe_encode": op5_bpe_encode,
     "op7_toxicity": op7_toxicity,
     "op8_url_filter": op8_url_filter,
+    "op9_license_scan": op9_license_scan,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
 
