@@ -6,6 +6,7 @@ from inkstrata.llm.bpe_codec import op5_bpe_encode
 from inkstrata.llm.decontamination import op4_decontamination
 from inkstrata.llm.license_scan import op9_license_scan
 from inkstrata.llm.order_minhash import op3_order_minhash
+from inkstrata.llm.pii import op6_pii
 from inkstrata.llm.secret_scan import ORACLE as SECRETS_SQL
 from inkstrata.llm.secret_scan import op1_secret_scan
 from inkstrata.llm.simhash_dedup import op10_simhash_dedup
@@ -20,6 +21,7 @@ QUERIES = {
     "op3_order_minhash": op3_order_minhash,
     "op4_decontamination": op4_decontamination,
     "op5_bpe_encode": op5_bpe_encode,
+    "op6_pii": op6_pii,
     "op7_toxicity": op7_toxicity,
     "op8_url_filter": op8_url_filter,
     "op9_license_scan": op9_license_scan,
