@@ -24,7 +24,7 @@ def match(fields: DataFrame, targets: DataFrame) -> DataFrame:
     want = fields.select("field", F.posexplode(wanted).alias("pos", "w")).select("field", "pos", "w.*").where(F.col("k").isNotNull() & (F.col("k") != ""))
     have = targets.select("target", F.explode(F.array(F.struct(F.lit(True).alias("exact"), F.col("target").alias("k")), F.struct(F.lit(False).alias("exact"), key(F.col("target")).alias("k")))).alias("h")).select("target", "h.*")
     best = want.join(have, ["exact", "k"]).groupBy("field").agg(F.min(F.struct("rank", "pos", "target")).alias("b"))
-    return fields.join(best, "field", "left").select("field", F.col("b.target").alias("target"), F.element_at(F.array(*[F.lit(r) for r in RULES]), F.col("b.rank") + 1).alias("rule"))
+    return fields.join(best, "field", "left").select("field", F.col("b.target").alias("target"), F.when(F.col("b").isNotNull(), F.element_at(F.array(*[F.lit(r) for r in RULES]), F.col("b.rank") + 1)).alias("rule"))
 
 
 def blank_labels(words: DataFrame, blanks: DataFrame, keys: list[str], n: int = 6) -> DataFrame:
