@@ -41,7 +41,8 @@ VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.6, 0.8
 SLACK = 6  # words of context on either side of a window that its check may use
 #: Items compared in one pass over the texts; a larger benchmark takes several passes.
 ITEMS_PER_PASS = 4096
-_GROUP = 8192  # words per inner block, so that the vectors at work stay in cache
+_GROUP, _BLOCK = 8192, 1024  # words and sums per inner block, so that the vectors at work stay in cache
+_SLICE = 1 << 19  # bytes of text handled at once
 
 SCHEMA = "doc_id bigint, item_id bigint, cosine double, overlap double, answer double"
 
@@ -66,7 +67,7 @@ def passage_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, total = np.zeros(DIM, np.int64), 0
         for batch in batches:
-            for part in slices(batch, 0):
+            for part in slices(batch, 0, _SLICE):
                 w = Words(part.column(0))
                 if len(w.doc) == 0:
                     continue
@@ -89,36 +90,47 @@ def inverse_frequencies(df: np.ndarray, total: int) -> np.ndarray:
     return np.log((1 + total) / (1 + df)) ** 2
 
 
-def _sum_rows(m: np.ndarray, start: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(m, start, axis=0) if len(start) else np.zeros((0, m.shape[1]), m.dtype)
+def _sums(m: np.ndarray, slot: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of the rows ``m[slot]`` from each start to the next; the last row of ``m`` is zero."""
+    size = np.diff(np.append(starts, len(slot)))
+    out = np.zeros((len(starts), m.shape[1]), m.dtype)
+    padded = np.append(slot, len(m) - 1)
+    for a in range(0, len(starts), _BLOCK):
+        at, n, part = starts[a : a + _BLOCK], size[a : a + _BLOCK], out[a : a + _BLOCK]
+        for j in range(int(n.max())):
+            part += m[padded[np.where(j < n, at + j, len(slot))]]
+    return out
+
+
+def _with_zero(m: np.ndarray) -> np.ndarray:
+    return np.vstack([m, np.zeros((1, m.shape[1]), m.dtype)])
 
 
 def sketch_matrix(docs: DataFrame, idf: np.ndarray, seed: int = 5) -> np.ndarray:
     """Right singular vectors (DIM x RANK) of the passage matrix from one pass over the texts."""
     l = RANK + OVERSAMPLE
-    omega = (idf[:, None] * np.random.default_rng(seed).standard_normal((DIM, l))).astype(np.float32)
+    omega = _with_zero((idf[:, None] * np.random.default_rng(seed).standard_normal((DIM, l))).astype(np.float32))
     square = idf.astype(np.float64) ** 2
 
     def add(w: Words, acc: np.ndarray, gram: np.ndarray) -> None:
         p, slot = _passages(w), _slot(w.hash)
         starts = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
         norm = np.sqrt(np.add.reduceat(square[slot], starts)) + 1e-12
-        per = max(1, _GROUP // PASSAGE)
-        edges = np.append(starts, len(p))
-        for a in range(0, len(starts), per):
-            z = min(a + per, len(starts))
-            s, e = edges[a], edges[z]
-            y = _sum_rows(omega[slot[s:e]], starts[a:z] - s) / norm[a:z, None].astype(np.float32)
-            gram += y.T.astype(np.float64) @ y
-            order = np.argsort(slot[s:e].astype(np.uint16), kind="stable")
-            by = slot[s:e][order]
+        y = _sums(omega, slot, starts) / norm[:, None].astype(np.float32)
+        gram += y.T.astype(np.float64) @ y
+        y /= norm[:, None].astype(np.float32)
+        # in the order of slots each row of acc is met about once
+        order = np.argsort(slot.astype(np.uint16), kind="stable")
+        for a in range(0, len(order), _GROUP):
+            at = order[a : a + _GROUP]
+            by = slot[at]
             first = np.flatnonzero(np.concatenate([[True], by[1:] != by[:-1]]))
-            acc[by[first]] += _sum_rows((y / norm[a:z, None].astype(np.float32))[p[s:e][order] - p[s]], first)
+            acc[by[first]] += np.add.reduceat(y[p[at]], first, axis=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc, gram = np.zeros((DIM, l), np.float32), np.zeros((l, l))
         for batch in batches:
-            for part in slices(batch, 0):
+            for part in slices(batch, 0, _SLICE):
                 w = Words(part.column(0))
                 if len(w.doc):
                     add(w, acc, gram)
@@ -200,21 +212,19 @@ def probes(items: pa.Table, projection: np.ndarray) -> Probes | None:
 def _window_vectors(unit: np.ndarray, k: int, made: dict[int, np.ndarray]) -> np.ndarray:
     """Sums of k consecutive tiles, from sums of powers of two; rows near the end stay short."""
 
-    def of(n: int) -> np.ndarray:
-        if n not in made:
-            if n & (n - 1):
-                big = 1 << (n.bit_length() - 1)
-                low, high = of(big), of(n - big)
-            else:
-                big, low = n // 2, of(n // 2)
-                high = low
-            out = low.copy()
-            out[: len(out) - big] += high[big:]
-            made[n] = out
-        return made[n]
-
     made.setdefault(1, unit)
-    return of(k)
+    todo = [k]
+    while todo:  # no recursive closure: its cycle would keep the arrays alive
+        n = todo[-1]
+        big = 1 << (n.bit_length() - 1) if n & (n - 1) else max(n // 2, 1)
+        missing = [x for x in (big, n - big) if x and x not in made]
+        if n in made or not missing:
+            todo.pop()
+            if n not in made:
+                made[n] = made[big].copy()
+                made[n][: len(unit) - big] += made[n - big][big:]
+        todo += missing if n not in made else []
+    return made[k]
 
 
 def candidates(w: Words, projection: np.ndarray, pr: Probes) -> tuple[np.ndarray, ...]:
@@ -228,12 +238,7 @@ def candidates(w: Words, projection: np.ndarray, pr: Probes) -> tuple[np.ndarray
     out: list[tuple[np.ndarray, ...]] = []
     if not len(first):
         return tuple(np.zeros(0) for _ in range(5))
-    unit = np.empty((len(first), RANK), np.float32)
-    per = _GROUP // TILE
-    edges = np.append(first, len(slot))
-    for a in range(0, len(first), per):
-        z = min(a + per, len(first))
-        unit[a:z] = _sum_rows(projection[slot[edges[a] : edges[z]]], first[a:z] - edges[a])
+    unit = _sums(projection, slot, first)
     made: dict[int, np.ndarray] = {}
     for li in np.unique(pr.length):
         k = int(LENGTHS[li])
@@ -251,13 +256,13 @@ def candidates(w: Words, projection: np.ndarray, pr: Probes) -> tuple[np.ndarray
             for a in range(0, len(where), 4096):
                 part = where[a : a + 4096]
                 v = sums[part] if given is None else given[a : a + 4096]
-                norm = np.sqrt(np.einsum("ij,ij->i", v, v)) + 1e-12
+                v = v / (np.sqrt(np.einsum("ij,ij->i", v, v)) + 1e-12)[:, None]
                 cos = v @ pr.vector[own].T
-                hit, probe = np.nonzero(cos >= MIN_COSINE * norm[:, None])
+                hit, probe = np.divmod(np.flatnonzero(cos >= np.float32(MIN_COSINE)), len(own))
                 if len(hit):
                     t = part[hit]
                     end = np.minimum(first[t] + k * TILE, w.off[row[t] + 1])
-                    out.append((first[t], end, row[t], own[probe], cos[hit, probe] / norm[hit]))
+                    out.append((first[t], end, row[t], own[probe], cos[hit, probe]))
     if not out:
         return tuple(np.zeros(0) for _ in range(5))
     return tuple(np.concatenate(x) for x in zip(*out))
@@ -315,10 +320,10 @@ def _passes(docs: DataFrame, benchmark: DataFrame) -> tuple[np.ndarray, list[Pro
     bench = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
     n = bench.count()
     if n == 0:
-        return np.zeros((DIM, RANK), np.float32), []
+        return np.zeros((DIM + 1, RANK), np.float32), []
     df, total = passage_frequencies(docs)
     idf = inverse_frequencies(df, total)
-    projection = (idf[:, None] * sketch_matrix(docs, idf)).astype(np.float32)
+    projection = _with_zero((idf[:, None] * sketch_matrix(docs, idf)).astype(np.float32))
     blocks = -(-n // ITEMS_PER_PASS)
     part = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
     made = [probes(bench.where(part == k).toArrow(), projection) for k in range(blocks)]
@@ -342,7 +347,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             rounded = [pa.array(np.round(x.astype(np.float64), 4)) for x in (cosine, share, answer)]
             return pa.record_batch([batch.column(0).take(pa.array(row)), pa.array(item.astype(np.int64)), *rounded], names=["doc_id", "item_id", "cosine", "overlap", "answer"])
 
-        return map_text(docs, ["doc_id", "text"], "text", run, SCHEMA)
+        return map_text(docs, ["doc_id", "text"], "text", run, SCHEMA, _SLICE)
 
     if not passes:
         return docs.sparkSession.createDataFrame([], SCHEMA)
@@ -368,4 +373,4 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             clean[find(w, projection, pr)[0].astype(np.int64)] = False
         return batch.filter(pa.array(clean))
 
-    return map_text(docs, docs.columns, "text", keep, docs.schema) if passes else docs
+    return map_text(docs, docs.columns, "text", keep, docs.schema, _SLICE) if passes else docs

@@ -158,13 +158,13 @@ def slices(batch: pa.RecordBatch, column: int, max_bytes: int = CHUNK_BYTES) ->
         yield batch.slice(a, z - a)
 
 
-def map_text(df: DataFrame, columns: list[str], text: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def map_text(df: DataFrame, columns: list[str], text: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, max_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``fn`` over Arrow slices of ``columns``; only these columns leave the JVM."""
     at = columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, at):
+            for part in slices(batch, at, max_bytes):
                 out = fn(part)
                 if out is not None and out.num_rows:
                     yield out
