@@ -87,7 +87,7 @@ def passage_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def inverse_frequencies(df: np.ndarray, total: int) -> np.ndarray:
-    return np.log((1 + total) / (1 + df)) ** 2
+    return np.maximum(np.log((1 + total) / (1 + df)), 0.1) ** 2  # a word of all passages still counts a little
 
 
 def _sums(m: np.ndarray, slot: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -222,7 +222,7 @@ def _window_vectors(unit: np.ndarray, k: int, made: dict[int, np.ndarray]) -> np
             todo.pop()
             if n not in made:
                 made[n] = made[big].copy()
-                made[n][: len(unit) - big] += made[n - big][big:]
+                made[n][: max(len(unit) - big, 0)] += made[n - big][big:]
         todo += missing if n not in made else []
     return made[k]
 
