@@ -51,3 +51,20 @@ def candidates(docs: DataFrame, build: Callable, n: int, column: str = "text") -
     """doc_id and the JSON answers of the instances that succeeded."""
     answers = call(instances(docs, n), build, column)
     return answers.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("error").isNull(), F.struct("instance", "output")))), lambda x: x["output"]).alias("outputs"), F.count("error").alias("failed"))
+
+
+def decide_workflow(answers: DataFrame, registered: list[str], threshold: float = 0.5) -> DataFrame:
+    """doc_id, workflow and why there is none. ``answers``: doc_id, name, confidence, error."""
+    known = F.col("name").isin(*registered)
+    sure = F.col("confidence") >= threshold
+    reason = F.when(F.col("error").isNotNull(), F.concat(F.lit("error: "), F.col("error"))).when(~F.coalesce(known, F.lit(False)), "not registered").when(~F.coalesce(sure, F.lit(False)), "little confidence")
+    return answers.select("doc_id", F.when(reason.isNull(), F.col("name")).alias("workflow"), reason.alias("reason"))
+
+
+def split_sections(answers: DataFrame, pages: DataFrame) -> DataFrame:
+    """Sections with their pages that exist, and those asked for that do not. ``answers``: doc_id and a JSON object of lists of pages."""
+    asked = answers.select("doc_id", F.explode_outer(F.from_json("output", "map<string, array<int>>")).alias("section", "asked"))
+    have = pages.groupBy("doc_id").agg(F.collect_set("page").alias("have"))
+    none = F.array().cast("array<int>")
+    rows = asked.join(have, "doc_id", "left").select("doc_id", "section", F.coalesce("asked", none).alias("asked"), F.coalesce(F.col("have").cast("array<int>"), none).alias("have"))
+    return rows.where("section is not null").select("doc_id", "section", F.array_sort(F.array_intersect("asked", "have")).alias("pages"), F.array_except("asked", "have").alias("warned"))

@@ -41,6 +41,13 @@ def weak_pages(docs: DataFrame) -> DataFrame:
     return pages.withColumn("chars", F.length(F.regexp_replace("page_text", "\\s", ""))).where(F.col("chars") < MIN_CHARS_A_PAGE)
 
 
+def is_weak(text: Column, n_text_blocks: Column, has_image: Column) -> Column:
+    """A page that should be read by OCR: little text, no text block, an image and not much text, or over a tenth of private-use characters."""
+    size = F.length(F.regexp_replace(text, "^\\s+|\\s+$", ""))
+    private = F.regexp_count(text, F.lit("[\\x{F000}-\\x{FFFF}]"))
+    return (size < MIN_CHARS_A_PAGE) | (n_text_blocks == 0) | (has_image & (size < 100)) | (private > 0.1 * F.length(text))
+
+
 def word_confidence(word: Column) -> Column:
     """A stand-in for OCR: a fixed function of the word's length."""
     return (F.length(word) * 37 % 100).cast("double") / 100

@@ -28,3 +28,15 @@ def records(cells: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     data = cells.where(~F.col("is_header")).join(heads, [*keys, "col"], "left")
     name = F.coalesce(F.col("name"), F.concat(F.lit("col_"), F.col("col").cast("string")))
     return data.groupBy(*keys, "row").agg(*[F.max_by(F.when(name == n, F.col("text")), F.when(name == n, F.col("col"))).alias(n) for n in names])
+
+
+def resolve_headers(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Data cells with the texts of the column and row headers that span them, in order.
+
+    ``cells``: keys, row, col, row_span, col_span, text, col_header, row_header.
+    """
+    heads = lambda flag, at, span, other: cells.where(flag).select(*keys, F.explode(F.sequence(F.col(at), F.col(at) + F.col(span) - 1)).alias(at), F.col(other).alias("o"), "text").groupBy(*keys, at).agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "text"))), lambda x: x["text"]).alias(f"{at}_headers"))
+    data = cells.where("not col_header and not row_header")
+    out = data.join(heads("col_header", "col", "col_span", "row"), [*keys, "col"], "left").join(heads("row_header", "row", "row_span", "col"), [*keys, "row"], "left")
+    none = F.array().cast("array<string>")
+    return out.withColumn("col_headers", F.coalesce("col_headers", none)).withColumn("row_headers", F.coalesce("row_headers", none))
