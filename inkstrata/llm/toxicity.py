@@ -2,8 +2,8 @@
 
 Two states (clean, toxic) label every word. The labels table has one mark for
 each document, so token labels are made from it: a word of a toxic document is
-a toxic token if significantly more of the documents that have it are toxic than
-of all training documents.
+a toxic token if significantly more of the documents that have it, or its
+beginning, are toxic than of all training documents; near copies count once.
 The field has word, prefix, suffix and length features in a hashed table and
 learned transitions. Forward-backward marginals give the offending offsets;
 their sum, maximum and density give the document score through a logistic
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstrata.llm.textvec import U64, Words, map_text, mix, table
+from inkstrata.llm.textvec import U64, Words, map_text, mix, slices, table
 
 TRAIN_DOCS = 1200
 CLEAN_RATIO = 3
@@ -112,25 +112,81 @@ def chain(e: np.ndarray, off: np.ndarray, t: np.ndarray, start: float) -> tuple[
     return r, c - e, 1.0 / (1.0 + np.exp(-np.clip(r + c - e, -60, 60)))
 
 
-def token_labels(w: Words, toxic: np.ndarray) -> np.ndarray:
-    """Toxic tokens of toxic rows: words in at least four of these whose share of toxic rows is significantly high.
+@dataclass
+class Hashed:
+    """Hashes of all words of a training sample, or of their first letters."""
+
+    hash: np.ndarray
+    doc: np.ndarray
+    off: np.ndarray
+
+    @property
+    def n(self) -> int:
+        return len(self.off) - 1
+
+
+def hashed(text: pa.Array, prefix: int | None = None) -> Hashed:
+    """The words of a sample, found in slices that keep the memory of the driver small."""
+    hashes, counts = [], []
+    for part in slices(pa.record_batch([text], names=["text"]), 0):
+        w = Words(part.column(0))
+        hashes.append(w.hash if prefix is None else w.span_hash(w.start, np.minimum(w.start + prefix, w.end)))
+        counts.append(w.counts)
+    count = np.concatenate(counts)
+    return Hashed(np.concatenate(hashes), np.repeat(np.arange(len(count), dtype=np.int32), count), np.concatenate([[0], np.cumsum(count)]))
+
+
+def clusters(w: Hashed, bands: int = 6) -> np.ndarray:
+    """The least row of each row's group of near copies: rows that share two min-wise hashes of word trigrams."""
+    n = w.n
+    out = np.arange(n)
+    long = np.flatnonzero(np.diff(w.off) >= 3)
+    if not len(long):
+        return out
+    h = w.hash
+    tri = mix(h[:-2] * U64(0x9E3779B97F4A7C15) ^ mix(h[1:-1] * U64(0xD6E8FEB86659FD93) ^ mix(h[2:])))
+    tri[(w.doc[2:] != w.doc[:-2])] = U64(0xFFFFFFFFFFFFFFFF)
+    for k in range(bands):
+        key = np.zeros(len(long), U64)
+        for j in (2 * k, 2 * k + 1):
+            x = np.append(mix(tri ^ U64(j * 7919 + 1)), np.full(2, ~U64(0)))
+            x[:-2][tri == ~U64(0)] = ~U64(0)
+            key = mix(key * U64(31) ^ np.minimum.reduceat(x, w.off[long]))
+        _, group = np.unique(key, return_inverse=True)
+        for _ in range(8):
+            least = np.full(group.max() + 1, n)
+            np.minimum.at(least, group, out[long])
+            out[long] = least[group]
+            out = out[out]
+    return out
+
+
+def significant(w: Hashed, toxic: np.ndarray, group: np.ndarray, least: int, level: float) -> np.ndarray:
+    """Words, one mark each, in at least ``least`` groups of toxic rows and of a significantly high toxic share.
 
     Significance is the log likelihood ratio of the word's own share against
-    the share of the sample; repeated texts count once.
+    the share of the sample; a group of near copies counts once for each class.
     """
-    whole = np.add.reduceat(np.concatenate([w.hash, [U64(0)]]), np.minimum(w.off[:-1], len(w.hash))) if w.n else np.zeros(0, U64)
-    once = np.zeros(w.n, bool)
-    once[np.unique(whole, return_index=True)[1]] = True
     word, inverse = np.unique(w.hash, return_inverse=True)
-    pair = np.unique(inverse.astype(np.int64) * w.n + w.doc)
-    of, row = pair // w.n, pair % w.n
-    hit = np.bincount(of[toxic[row] & once[row]], minlength=len(word))
-    miss = np.bincount(of[~toxic[row] & once[row]], minlength=len(word))
-    base = (toxic & once).sum() / max(once.sum(), 1)
+    own = group * 2 + toxic
+    pair = np.unique(inverse.astype(np.int64) * (2 * w.n) + own[w.doc])
+    of, bad = pair // (2 * w.n), (pair & 1).astype(bool)
+    hit, miss = np.bincount(of[bad], minlength=len(word)), np.bincount(of[~bad], minlength=len(word))
+    every = np.unique(own)
+    base = np.clip((every & 1).mean(), 1e-9, 1 - 1e-9)
     share = np.clip(hit / np.maximum(hit + miss, 1), 1e-9, 1 - 1e-9)
     ratio = hit * np.log(share / base) + miss * np.log((1 - share) / (1 - base))
-    bad = (hit >= 4) & (share > (1 + base) / 2) & (ratio > SIGNIFICANCE)
-    return (bad[inverse] & toxic[w.doc]).astype(np.float64)
+    return ((hit >= least) & (share > (1 + base) / 2) & (ratio > level))[inverse]
+
+
+def token_labels(text: pa.Array, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Toxic tokens of toxic rows, which are words, or words with a beginning, that are significantly toxic; and offsets of the rows."""
+    w = hashed(text)
+    group = clusters(w)
+    bad = significant(w, toxic, group, 4, SIGNIFICANCE)
+    for n in _PREFIXES[1:]:
+        bad |= significant(hashed(text, n), toxic, group, 8, 2 * SIGNIFICANCE)
+    return (bad & toxic[w.doc]).astype(np.float64), w.off
 
 
 def fit_field(idx: np.ndarray, y: np.ndarray, off: np.ndarray, rounds: int = 25, l2: float = 1e-6) -> tuple[np.ndarray, np.ndarray, float]:
@@ -211,8 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, max_chars:
     if not toxic.any() or toxic.all():
         return None
     text = rows.column(1).combine_chunks()
-    w = Words(text)
-    y = token_labels(w, toxic)
+    y, off = token_labels(text, toxic)
     order = np.random.default_rng(11).permutation(len(toxic))
     own = np.zeros(len(toxic), bool)
     own[order[: -(-2 * len(toxic) // 3)]] = True
@@ -220,15 +275,14 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, max_chars:
         own[:] = True
     field = np.concatenate([order[own[order] & toxic[order]][:FIELD_DOCS], order[own[order] & ~toxic[order]][:FIELD_DOCS]])
     f = Words(text.take(pa.array(field)))
-    pos = np.concatenate([np.arange(w.off[i], w.off[i + 1]) for i in field])
+    pos = np.concatenate([np.arange(off[i], off[i + 1]) for i in field])
     weights, trans, start = fit_field(features(f), y[pos], f.off)
     model = Model(weights, trans, start, np.zeros(4))
     held = ~own if not own.all() else own
-    v = Words(text.filter(pa.array(held)))
-    _, p = score_rows(model, v)
+    seen = [doc_features(score_rows(model, v)[1], v.off) for v in (Words(p.column(0)) for p in slices(pa.record_batch([text.filter(pa.array(held))], names=["text"]), 0))]
     mark = toxic[held].astype(float)
     weight = np.where(mark > 0, share / max(mark.mean(), 1e-9), (1 - share) / max(1 - mark.mean(), 1e-9))
-    model.doc = fit_logistic(doc_features(p, v.off), mark, weight)
+    model.doc = fit_logistic(np.concatenate(seen), mark, weight)
     return model
 
 
