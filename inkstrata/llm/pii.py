@@ -21,6 +21,7 @@ kind wins; offsets count characters.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import lru_cache
 from random import Random
@@ -37,6 +38,8 @@ KINDS = ("EMAIL", "PHONE", "IP", "CARD", "SSN", "IBAN")
 MAX_TOKENS, MAX_GAPS = 20, 6
 FEATURES = 1 << 16
 TRAIN_TEXTS = 2600
+#: Tokens whose segments are scored at once; the path does not depend on it.
+BLOCK = 512
 SCHEMA = "doc_id bigint, kind string, begin_pos int, end_pos int, score double"
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _DIGITS = re.compile("[0-9]")
@@ -137,14 +140,20 @@ def span_features(text: str, begin: int, end: int, tokens: int, left: int, right
     ]
 
 
-def segments(text: str, left: int, right: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, list[int]]]]:
-    """Token offsets of an island and its candidate segments (first token, end token, features)."""
+def tokens(text: str, left: int, right: int) -> tuple[list[tuple[int, int]], list[int], list[int], list[int]]:
+    """Offsets of an island's tokens, and how many digits, ``@`` and gaps come before each."""
     spans = [(m.start(), m.end()) for m in _TOKEN.finditer(text, left, right)]
-    found = []
     digits = np.cumsum([0, *[len(_DIGITS.findall(text[s:e])) for s, e in spans]]).tolist()
     ats = np.cumsum([0, *[text[s:e] == "@" for s, e in spans]]).tolist()
     gaps = np.cumsum([0, 0, *[spans[i][0] > spans[i - 1][1] for i in range(1, len(spans))]]).tolist()
-    for j in range(1, len(spans) + 1):
+    return spans, digits, ats, gaps
+
+
+def ending(text: str, left: int, right: int, token: tuple, first: int, last: int) -> list[tuple[int, int, list[int]]]:
+    """Candidate segments (first token, end token, features) that end after tokens ``first`` .. ``last`` - 1."""
+    spans, digits, ats, gaps = token
+    found = []
+    for j in range(first + 1, last + 1):
         c = text[spans[j - 1][0]]
         if not (c.isalnum() or c == "_"):
             continue
@@ -153,7 +162,13 @@ def segments(text: str, left: int, right: int) -> tuple[list[tuple[int, int]], l
                 break
             if (ats[j] > ats[i] or digits[j] - digits[i] >= 4) and (text[spans[i][0]].isalnum() or text[spans[i][0]] in "+(_"):
                 found.append((i, j, span_features(text, spans[i][0], spans[j - 1][1], j - i, left, right)))
-    return spans, found
+    return found
+
+
+def segments(text: str, left: int, right: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, list[int]]]]:
+    """Token offsets of an island and all its candidate segments."""
+    token = tokens(text, left, right)
+    return token[0], ending(text, left, right, token, 0, len(token[0]))
 
 
 # --- the field ------------------------------------------------------------------------------
@@ -165,31 +180,35 @@ class Model:
     trans: np.ndarray  # (1 + kinds)^2, from and to; 0 is outside
 
 
-def best_path(n: int, found: list[tuple[int, int, list[int]]], model: Model) -> list[tuple[int, int, int, float]]:
-    """(first token, end token, kind, score) of the entities on the best path over ``n`` tokens."""
-    if not found:
-        return []
-    score = model.weights[np.array([f for _, _, f in found])].sum(1).tolist()
+def viterbi(n: int, blocks: Iterable[tuple[int, list]], model: Model) -> list[tuple[int, int, int, float]]:
+    """(first token, end token, kind, score) of the entities on the best path over ``n`` tokens.
+
+    ``blocks``: (tokens so far, segments that end in the block), so that only one
+    block's features are held at a time.
+    """
     trans = model.trans.tolist()
     states = range(len(KINDS) + 1)
-    value = [[-1e30] * len(states) for _ in range(n + 1)]
-    back: list[list] = [[None] * len(states) for _ in range(n + 1)]
-    value[0][0] = 0.0
-    k = 0
-    for j in range(1, n + 1):
-        prev = value[j - 1]
-        p = max(states, key=lambda q: prev[q] + trans[q][0])
-        value[j][0], back[j][0] = prev[p] + trans[p][0], (j - 1, p, 0.0)
-        while k < len(found) and found[k][1] == j:
-            i = found[k][0]
-            for t, s in enumerate(score[k], 1):
-                if s <= 0 and max(trans[q][t] for q in states) + s < -20:
-                    continue
-                p = max(states, key=lambda q: value[i][q] + trans[q][t])
-                v = value[i][p] + trans[p][t] + s
-                if v > value[j][t]:
-                    value[j][t], back[j][t] = v, (i, p, s)
-            k += 1
+    reach = [max(trans[q][t] for q in states) for t in states]
+    value = [[0.0] + [-1e30] * len(KINDS)]
+    back: list[list] = [[None] * len(states)]
+    for stop, found in blocks:
+        score = model.weights[np.array([f for _, _, f in found])].sum(1).tolist() if found else []
+        k = 0
+        for j in range(len(value), stop + 1):
+            prev = value[j - 1]
+            p = max(states, key=lambda q: prev[q] + trans[q][0])
+            own, steps = [prev[p] + trans[p][0]] + [-1e30] * len(KINDS), [(j - 1, p, 0.0)] + [None] * len(KINDS)
+            while k < len(found) and found[k][1] == j:
+                i = found[k][0]
+                for t, s in enumerate(score[k], 1):
+                    if s <= 0 and reach[t] + s < -20:
+                        continue
+                    p = max(states, key=lambda q: value[i][q] + trans[q][t])
+                    v = value[i][p] + trans[p][t] + s
+                    if v > own[t]:
+                        own[t], steps[t] = v, (i, p, s)
+                k += 1
+            value.append(own), back.append(steps)
     out, j, t = [], n, max(states, key=lambda q: value[n][q])
     while j > 0:
         i, p, s = back[j][t]
@@ -199,6 +218,10 @@ def best_path(n: int, found: list[tuple[int, int, list[int]]], model: Model) ->
     return out[::-1]
 
 
+def best_path(n: int, found: list[tuple[int, int, list[int]]], model: Model) -> list[tuple[int, int, int, float]]:
+    return viterbi(n, [(n, found)], model) if found else []
+
+
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     m = x.max(axis, keepdims=True)
     m = np.where(np.isfinite(m), m, 0.0)
@@ -411,8 +434,12 @@ def find(text: pa.Array, model: Model) -> list[tuple[int, str, int, int, float]]
     whole = dict(zip(rows, text.take(pa.array(rows)).to_pylist()))
     out = []
     for r, left, right in spots:
-        spans, found = segments(whole[r], left, right)
-        out += [(r, KINDS[t], spans[i][0], spans[j - 1][1], s) for i, j, t, s in best_path(len(spans), found, model)]
+        token = tokens(whole[r], left, right)
+        spans = token[0]
+        n = len(spans)
+        stops = range(0, n, BLOCK)
+        parts = ((min(a + BLOCK, n), ending(whole[r], left, right, token, a, min(a + BLOCK, n))) for a in stops)
+        out += [(r, KINDS[t], spans[i][0], spans[j - 1][1], s) for i, j, t, s in viterbi(n, parts, model)]
     return out
 
 

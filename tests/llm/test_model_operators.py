@@ -197,6 +197,13 @@ def test_entities_of_documents_equal_exact_patterns(spark, field):
     assert got == {k: v for k, v in want.items() if v}
 
 
+def test_blocks_of_tokens_do_not_matter(field, monkeypatch):
+    text = pa.array([" ".join(t.replace("\n", " ") for t, _ in pii.training_texts(40, seed=8)), "1 " * 700 + "+1 (415) 555-0199 " + "22 " * 700])
+    want = pii.find(text, field)
+    monkeypatch.setattr(pii, "BLOCK", 7)
+    assert pii.find(text, field) == want and (1, "PHONE", 1400, 1417) in {w[:4] for w in want}
+
+
 def test_islands_join_across_single_blanks_only():
     text = pa.array(["a 1 2 b", "x@y  3\n4", "", "9", "é 5é ü"])
     got = [(r, text[r].as_py()[b:e]) for r, b, e in pii.islands(text)]
