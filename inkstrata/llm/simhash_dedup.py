@@ -4,9 +4,11 @@ Each text becomes a 256-bit SimHash of its distinct word trigrams. Texts with
 the same words are exact copies and collapse to one representative first.
 Representatives are routed, as queries and as graph nodes alike, to the shards
 named by six min-wise hashes of their trigrams, so that the shards a signature
-visits do not grow in number with the corpus. In each shard a navigable
-small-world graph over Hamming distance is built, every member is a query, and
-the beam is doubled until recall, audited against exact search, is reached.
+visits do not grow in number with the corpus. In shards of over ``COMPLETE``
+members a navigable small-world graph over Hamming distance is built, every
+member is a query, and the beam is doubled until recall, audited against exact
+search over all pairs within ``RADIUS``, is reached; a query whose whole beam is
+within ``RADIUS`` is compared with all members. In smaller shards all pairs are.
 Edges are verified by the Jaccard similarity of bottom-k trigram sketches
 (exact up to ``SKETCH`` distinct trigrams) and united to groups.
 
@@ -35,6 +37,10 @@ RADIUS = 92
 MIN_JACCARD = 0.5
 #: Members of a bucket beyond which its min-wise key is refined by another one.
 HOT_BUCKET = 100_000
+#: Members of a shard up to which comparing all pairs costs less than a graph.
+COMPLETE = 2048
+#: Candidate pairs that a task holds before it passes them on.
+EDGES_HELD = 1 << 20
 _DIM = 4096
 _PLANES: list[np.ndarray] = []
 
@@ -187,49 +193,67 @@ class SmallWorld:
             open_[live] = np.take_along_axis(all_open, keep, 1) & (dist[live] <= BITS)
         return ids
 
-    def neighbours(self, radius: int, k: int = 10, target: float = 0.95, audit: int = 64) -> tuple[np.ndarray, np.ndarray, float, int]:
-        """Pairs within ``radius`` among each node's nearest, with audited recall and the beam that reached it.
+    def neighbours(self, radius: int, target: float = 0.95, audit: int = 64) -> tuple[np.ndarray, np.ndarray, float, int]:
+        """All pairs within ``radius``, with audited recall and the beam that reached it."""
+        beam, recall = self.reach(radius, target, audit)
+        parts = list(self.pairs(radius, beam))
+        return np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts]), recall, beam
 
-        The audit compares ``audit`` evenly spaced queries with exact search:
-        the share of their exact ``k`` nearest within the radius that the beam
-        found. Below ``target`` the beam doubles; once it spans the shard the
-        search is exhaustive.
+    def reach(self, radius: int, target: float = 0.95, audit: int = 64) -> tuple[int, float]:
+        """The beam that finds ``target`` of all pairs within ``radius`` of ``audit`` evenly spaced nodes, and the share it finds.
+
+        Once the beam spans the shard the search is exhaustive.
         """
-        everyone = np.arange(self.n)
         probe = self.order[:: max(1, self.n // audit)]
-        exact = hamming(self.sig[probe][:, None], self.sig[None])
-        exact[np.arange(len(probe)), probe] = BITS + 1
-        kth = np.partition(exact, min(k, self.n) - 1, axis=1)[:, min(k, self.n) - 1]
-        limit = np.minimum(kth, radius)
-        want = np.minimum((exact <= limit[:, None]).sum(1), k)
+        want = sum(len(a) for a, _ in within(self.sig[probe], self.sig, radius)) - len(probe)
         beam = 16
-        while True:
-            if beam >= self.n:
-                d = [np.flatnonzero(hamming(self.sig[i][None], self.sig) <= radius) for i in everyone]
-                a = np.repeat(everyone, [len(x) for x in d])
-                b = np.concatenate(d)
-                return a[a != b], b[a != b], 1.0, beam
-            found = self.search(probe, self.adj[probe, : self.LINKS], beam)
-            near = np.where(found >= 0, hamming(self.sig[probe][:, None], self.sig[found]), BITS + 1)
-            got = np.minimum((near <= limit[:, None]).sum(1), want)
-            recall = float(got.sum() / want.sum()) if want.sum() else 1.0
-            if recall >= target:
-                break
+        while beam < self.n:
+            got = sum(len(a) for a, _ in self._range(probe, radius, beam))
+            if got >= target * want:
+                return beam, got / want if want else 1.0
             beam *= 2
-        found = self.search(everyone, self.adj[:, : self.LINKS], beam)
-        near = np.where(found >= 0, hamming(self.sig[:, None], self.sig[found]), BITS + 1)
-        row, col = np.nonzero(near <= radius)
-        return row, found[row, col], recall, beam
-
-
-def bucket_pairs(sig: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one bucket within ``radius``; a small bucket's graph is complete."""
-    n = len(sig)
-    if n <= 4 * SmallWorld.LINKS:
-        d = hamming(sig[:, None], sig[None])
-        return np.nonzero(np.triu(d <= radius, 1))
-    a, b, _, _ = SmallWorld(sig).neighbours(radius)
-    return a, b
+        return beam, 1.0
+
+    def pairs(self, radius: int, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Every node with all nodes within ``radius`` that the search finds, in parts."""
+        for a in range(0, self.n, 4096):
+            yield from self._range(np.arange(a, min(a + 4096, self.n)), radius, beam)
+
+    def _range(self, q: np.ndarray, radius: int, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Nodes within ``radius`` of each of ``q``; where the whole beam is that near there may be more, and all nodes are compared."""
+        full = np.ones(len(q), bool)
+        if beam < self.n:
+            found = self.search(q, self.adj[q, : self.LINKS], beam)
+            near = np.where(found >= 0, hamming(self.sig[q][:, None], self.sig[found]), BITS + 1)
+            full = near.max(1) <= radius
+            row, col = np.nonzero((near <= radius) & ~full[:, None])
+            yield q[row], found[row, col]
+        rest = q[full]
+        for row, col in within(self.sig[rest], self.sig, radius):
+            other = rest[row] != col
+            yield rest[row[other]], col[other]
+
+
+def within(q: np.ndarray, pool: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row of ``q``, row of ``pool``) of all pairs within ``radius``, in parts."""
+    step = max(1, (1 << 20) // max(len(pool), 1))
+    for a in range(0, len(q), step):
+        part = q[a : a + step]
+        d = np.zeros((len(part), len(pool)), dtype=np.uint16)
+        for k in range(part.shape[1]):
+            d += np.bitwise_count(part[:, k, None] ^ pool[None, :, k])
+        row, col = np.nonzero(d <= radius)
+        yield row + a, col
+
+
+def bucket_pairs(sig: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one bucket within ``radius``, in parts; up to ``COMPLETE`` members all pairs are compared."""
+    if len(sig) <= COMPLETE:
+        for a, b in within(sig, sig, radius):
+            yield a[a < b], b[a < b]
+        return
+    world = SmallWorld(sig)
+    yield from world.pairs(radius, world.reach(radius)[0])
 
 
 _EDGE_SCHEMA = "a bigint, b bigint"
@@ -239,25 +263,29 @@ def _graph_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of (t, key, doc_id, sig) sorted by bucket -> candidate edges a < b."""
     held: list[pa.RecordBatch] = []
 
-    def work(rows: pa.Table) -> pa.RecordBatch | None:
+    def packed(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+        x, y = np.concatenate(a), np.concatenate(b)
+        pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[x != y], axis=0)
+        return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         ids = rows.column("doc_id").to_numpy()
         t, key = rows.column("t").to_numpy(), rows.column("key").to_numpy()
         sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), dtype=U64).reshape(-1, BITS // 64)
         cut = np.concatenate([[0], np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1])) + 1, [len(ids)]])
-        a, b = [], []
         twos = cut[:-1][np.diff(cut) == 2]
-        if len(twos):
-            ok = twos[hamming(sig[twos], sig[twos + 1]) <= RADIUS]
-            a.append(ids[ok]), b.append(ids[ok + 1])
-        for s, e in zip(cut[:-1], cut[1:]):
-            if e - s > 2:
-                i, j = bucket_pairs(sig[s:e])
+        ok = twos[hamming(sig[twos], sig[twos + 1]) <= RADIUS]
+        a, b, held_pairs = [ids[ok]], [ids[ok + 1]], len(ok)
+        many = np.flatnonzero(np.diff(cut) > 2)
+        for s, e in zip(cut[many], cut[many + 1]):
+            for i, j in bucket_pairs(sig[s:e]):
                 a.append(ids[s:e][i]), b.append(ids[s:e][j])
-        if not a:
-            return None
-        x, y = np.concatenate(a), np.concatenate(b)
-        pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[x != y], axis=0)
-        return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"]) if len(pairs) else None
+                held_pairs += len(i)
+                if held_pairs >= EDGES_HELD:
+                    yield packed(a, b)
+                    a, b, held_pairs = [], [], 0
+        if held_pairs:
+            yield packed(a, b)
 
     for batch in batches:
         if batch.num_rows == 0:
@@ -267,15 +295,11 @@ def _graph_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = np.flatnonzero((t != last[0]) | (key != last[1]))
         start = int(tail[-1]) + 1 if len(tail) else 0
         if start or (held and (held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py()) != last):
-            out = work(pa.Table.from_batches([*held, batch.slice(0, start)]))
+            yield from work(pa.Table.from_batches([*held, batch.slice(0, start)]))
             held = []
-            if out is not None:
-                yield out
         held.append(batch.slice(start))
     if held:
-        out = work(pa.Table.from_batches(held))
-        if out is not None:
-            yield out
+        yield from work(pa.Table.from_batches(held))
 
 
 def candidate_edges(reps: DataFrame, hot: int = HOT_BUCKET) -> DataFrame:

@@ -380,6 +380,18 @@ def test_small_world_recall_against_exact_search():
     assert recall >= 0.9 and len(want & set(zip(a.tolist(), b.tolist()))) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("complete", [0, simhash_dedup.COMPLETE])
+def test_more_neighbours_than_the_first_beam_are_all_found(monkeypatch, complete):
+    monkeypatch.setattr(simhash_dedup, "COMPLETE", complete)
+    rng = np.random.default_rng(6)
+    centres = rng.integers(0, 2, (4, simhash_dedup.BITS), dtype=np.uint8)
+    bits = np.repeat(centres, 150, axis=0) ^ (rng.random((600, simhash_dedup.BITS)) < 0.18).astype(np.uint8)
+    sig = np.packbits(bits, axis=1).view(np.uint64)
+    want = {(i, j) for i in range(600) for j in np.flatnonzero(simhash_dedup.hamming(sig[i][None], sig) <= simhash_dedup.RADIUS).tolist() if i < j}
+    got = {(min(i, j), max(i, j)) for a, b in simhash_dedup.bucket_pairs(sig) for i, j in zip(a.tolist(), b.tolist())}
+    assert len(want) > 30_000 and got <= want and len(got) >= (1 if complete else 0.95) * len(want)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(200, 100), (5, 5), (200, 100)], "a long, b long")
     got = {r.node: r.root for r in simhash_dedup.connected(edges, spark).collect()}
