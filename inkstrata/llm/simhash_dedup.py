@@ -35,7 +35,7 @@ TABLES = 6
 SKETCH = 128
 RADIUS = 92
 MIN_JACCARD = 0.5
-#: Members of a bucket beyond which its min-wise key is refined by another one.
+#: Members of a bucket beyond which it is searched in parts.
 HOT_BUCKET = 100_000
 #: Members of a shard up to which comparing all pairs costs less than a graph.
 COMPLETE = 2048
@@ -56,7 +56,7 @@ def planes() -> np.ndarray:
     return _PLANES[0]
 
 
-_KEY_SEEDS = mix(np.arange(1, 2 * TABLES + 1, dtype=U64) * U64(0xA0761D6478BD642F))
+_KEY_SEEDS = mix(np.arange(1, TABLES + 1, dtype=U64) * U64(0xA0761D6478BD642F))
 
 
 def sign_texts(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -69,7 +69,7 @@ def sign_texts(batch: pa.RecordBatch) -> pa.RecordBatch | None:
     g, off = w.grams(SHINGLE)
     word_hash = w.hash
     acc = np.zeros((n, _DIM), dtype=np.float32)
-    body, keys, sketch = [], np.zeros((n, 2 * TABLES), dtype=np.int64), []
+    body, keys, sketch = [], np.zeros((n, TABLES), dtype=np.int64), []
     texts: pa.Array = batch.column(1)
     for i in range(n):
         x = g[off[i] : off[i + 1]]
@@ -89,7 +89,7 @@ def sign_texts(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         acc[i] = np.bincount((x & U64(_DIM - 1)).astype(np.int64), weights=((x >> U64(12)) & U64(1)).astype(np.float32) * 2 - 1, minlength=_DIM)
         keys[i] = signed((x[None, :] * _KEY_SEEDS[:, None]).min(1))
     bits = np.packbits(acc @ planes() > 0, axis=1)
-    off = np.arange(0, 2 * TABLES * (n + 1), 2 * TABLES, dtype=np.int32)
+    off = np.arange(0, TABLES * (n + 1), TABLES, dtype=np.int32)
     return pa.record_batch([batch.column(0), pa.array(body, pa.binary()), pa.array([r.tobytes() for r in bits], pa.binary()), pa.ListArray.from_arrays(pa.array(off), pa.array(keys.ravel())), pa.array(sketch, pa.binary())], names=["doc_id", "body", "sig", "keys", "sketch"])
 
 
@@ -260,7 +260,7 @@ _EDGE_SCHEMA = "a bigint, b bigint"
 
 
 def _graph_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (t, key, doc_id, sig) sorted by bucket -> candidate edges a < b."""
+    """Rows of (t, key, doc_id, sig, side) sorted by bucket -> candidate edges a < b; where both sides are there, those between them."""
     held: list[pa.RecordBatch] = []
 
     def packed(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
@@ -272,13 +272,18 @@ def _graph_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = rows.column("doc_id").to_numpy()
         t, key = rows.column("t").to_numpy(), rows.column("key").to_numpy()
         sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), dtype=U64).reshape(-1, BITS // 64)
+        side = rows.column("side").to_numpy()
         cut = np.concatenate([[0], np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1])) + 1, [len(ids)]])
         twos = cut[:-1][np.diff(cut) == 2]
         ok = twos[hamming(sig[twos], sig[twos + 1]) <= RADIUS]
         a, b, held_pairs = [ids[ok]], [ids[ok + 1]], len(ok)
         many = np.flatnonzero(np.diff(cut) > 2)
         for s, e in zip(cut[many], cut[many + 1]):
+            own = side[s:e]
             for i, j in bucket_pairs(sig[s:e]):
+                if own.any() and not own.all():
+                    across = own[i] != own[j]
+                    i, j = i[across], j[across]
                 a.append(ids[s:e][i]), b.append(ids[s:e][j])
                 held_pairs += len(i)
                 if held_pairs >= EDGES_HELD:
@@ -303,11 +308,17 @@ def _graph_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidate_edges(reps: DataFrame, hot: int = HOT_BUCKET) -> DataFrame:
-    """Edges a < b of representatives (doc_id, sig, keys) within ``RADIUS`` of each other in some shard."""
-    routed = reps.select("doc_id", "sig", F.posexplode(F.slice("keys", 1, TABLES)).alias("t", "key"), F.slice("keys", TABLES + 1, TABLES).alias("finer"))
-    sizes = routed.groupBy("t", "key").count().where(F.col("count") > hot).select("t", "key", F.lit(True).alias("hot"))
-    routed = routed.join(sizes, ["t", "key"], "left").select("t", F.when(F.col("hot"), F.xxhash64("key", F.element_at("finer", F.col("t") + 1))).otherwise(F.col("key")).alias("key"), "doc_id", "sig")
-    shards = routed.repartition("t", "key").sortWithinPartitions("t", "key", "doc_id").select("t", "key", "doc_id", "sig")
+    """Edges a < b of representatives (doc_id, sig, keys) within ``RADIUS`` of each other in some shard.
+
+    A shard of over ``hot`` members is dealt into blocks of half that size, and every two blocks meet in a part of their own.
+    """
+    routed = reps.select("doc_id", "sig", F.posexplode("keys").alias("t", "key"))
+    sizes = routed.groupBy("t", "key").count().where(F.col("count") > hot).select("t", "key", F.ceil(F.col("count") * 2 / hot).cast("int").alias("blocks"))
+    routed = routed.join(sizes, ["t", "key"], "left").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = routed.select("t", "key", "doc_id", "sig", "blocks", "own", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("other"))
+    part = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    dealt = dealt.select("t", F.when(F.col("blocks").isNull(), F.col("key")).otherwise(part).alias("key"), "doc_id", "sig", F.coalesce(F.col("own") > F.col("other"), F.lit(False)).alias("side"))
+    shards = dealt.repartition("t", "key").sortWithinPartitions("t", "key", "doc_id").select("t", "key", "doc_id", "sig", "side")
     return shards.mapInArrow(_graph_edges, _EDGE_SCHEMA).distinct()
 
 

@@ -392,6 +392,16 @@ def test_more_neighbours_than_the_first_beam_are_all_found(monkeypatch, complete
     assert len(want) > 30_000 and got <= want and len(got) >= (1 if complete else 0.95) * len(want)
 
 
+def test_a_hot_shard_keeps_all_its_edges(make):
+    r = random.Random(11)
+    passage = " ".join(f"p{n}" for n in range(60))
+    texts = [f"{passage} " + " ".join(f"w{r.randrange(10**6)}" for _ in range(40)) for _ in range(120)]
+    reps = simhash_dedup.signatures(make(texts))
+    whole = {tuple(e) for e in simhash_dedup.candidate_edges(reps).collect()}
+    split = {tuple(e) for e in simhash_dedup.candidate_edges(reps, hot=10).collect()}
+    assert len(whole) > 100 and split == whole
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(200, 100), (5, 5), (200, 100)], "a long, b long")
     got = {r.node: r.root for r in simhash_dedup.connected(edges, spark).collect()}
