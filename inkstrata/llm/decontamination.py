@@ -35,8 +35,8 @@ DIM = 1 << 14
 PASSAGE = 32
 RANK, OVERSAMPLE = 32, 8
 TILE = 4
-LENGTHS = np.array([3, 4, 6, 8, 12, 16])  # window lengths in tiles
-MIN_COSINE = 0.8
+LENGTHS = np.array([1, 2, 3, 4, 6, 8, 12, 16])  # window lengths in tiles
+MIN_COSINE = 0.5
 VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.6, 0.8
 SLACK = 6  # words of context on either side of a window that its check may use
 #: Items compared in one pass over the texts; a larger benchmark takes several passes.

@@ -107,6 +107,65 @@ def test_verbatim_items_are_found_and_only_texts_that_hold_them(spark):
     assert want and want <= got and len(got - want) <= 0.5 * len(want)
 
 
+@pytest.fixture(scope="module")
+def latent(spark):
+    """The projection, prose to plant in, and the items of a benchmark."""
+    docs, bench = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "benchmark")
+    hosts = [r.text.split() for r in docs.collect() if 600 < len(r.text) < 4000]
+    return decontamination._passes(docs, bench)[0], hosts, [(r.item_id, r.text) for r in bench.collect()]
+
+
+def planted(r, hosts, texts):
+    out = []
+    for k, text in enumerate(texts):
+        host = hosts[k % len(hosts)]
+        at = r.randrange(len(host))
+        out.append(" ".join(host[:at] + text.split() + host[at:]))
+    return Words(pa.array(out))
+
+
+def found_by(w, projection, pr):
+    row, item = decontamination.find(w, projection, pr)[:2]
+    return set(zip(row.astype(int).tolist(), item.tolist()))
+
+
+@pytest.mark.parametrize("replaced", [0.1, 0.2, 0.3, 0.38])
+def test_paraphrases_with_their_answer_are_found(latent, replaced):
+    projection, hosts, items = latent
+    r = random.Random(4)
+    vocab = [x for h in hosts[:100] for x in h]
+    texts = []
+    for _, text in items:
+        own = text.split()
+        answer = max([j for j in range(1, len(own)) if own[j - 1][-1] in ".?!:"], default=len(own) * 3 // 4)
+        texts.append(" ".join(x if j >= answer or r.random() > replaced else r.choice(vocab) for j, x in enumerate(own)))
+    w = planted(r, hosts, texts)
+    pr = decontamination.probes(pa.table({"item_id": [i for i, _ in items], "text": [t for _, t in items]}), projection)
+    number = np.searchsorted(pr.vocab, w.hash)
+    word = np.where(pr.vocab[np.minimum(number, len(pr.vocab) - 1)] == w.hash, number + 1, 0)
+    want = set()
+    for k, (i, _) in enumerate(items):
+        start = np.arange(w.off[k], w.off[k + 1], 2)
+        for q in np.flatnonzero(pr.item == i):
+            of, end = np.full(len(start), q), np.minimum(start + pr.size[q] + 8, w.off[k + 1])
+            share = decontamination.common_subsequence(word, start, end, of, pr.masks) / pr.size[q]
+            answer = decontamination.common_subsequence(word, start, end, of, pr.masks, np.full(len(start), pr.tail[q])) / np.bitwise_count(pr.tail[q])
+            if ((share >= decontamination.VERBATIM) | ((share >= decontamination.PARAPHRASE) & (answer >= decontamination.ANSWER))).any():
+                want.add((k, i))
+    assert len(want) >= 0.8 * len(items) and len(want & found_by(w, projection, pr)) >= 0.9 * len(want)
+
+
+@pytest.mark.parametrize("size", [4, 5, 6, 8])
+def test_short_items_are_found(latent, size):
+    projection, hosts, _ = latent
+    r = random.Random(size)
+    vocab = [x for h in hosts[:100] for x in h if x.isalpha()]
+    items = [(i, " ".join(r.sample(vocab, size))) for i in range(40)]
+    pr = decontamination.probes(pa.table({"item_id": [i for i, _ in items], "text": [t for _, t in items]}), projection)
+    got = found_by(planted(r, hosts, [t for _, t in items]), projection, pr)
+    assert sum((i, i) in got for i in range(40)) >= 0.9 * 40
+
+
 def test_decontamination_edge_cases(spark, messy, none, make):
     bench = spark.createDataFrame([(1, None), (None, "a b c d"), (3, ""), (4, "!!!"), (5, "plain words here"), (5, "lorem ipsum dolor sit amet consectetur lorem ipsum dolor"), (6, "x y z " * 100)], "item_id long, text string")
     got = decontamination.leaks(messy, bench).collect()
