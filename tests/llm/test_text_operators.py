@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -209,6 +210,22 @@ def test_notice_in_a_long_line_is_found(model):
     assert [(r, line, f) for r, line, f, _, _ in license_scan.detect(model, pa.array(["x", text]))] == [(1, 0, "MIT")]
 
 
+LONG = {f: max(license_scan.NOTICES[f], key=len) for f in ("MIT", "GPL", "BSD")}
+
+
+@pytest.mark.parametrize("family", LONG)
+@pytest.mark.parametrize("columns", [40, 72, 80])
+def test_wrapped_notices_are_found_where_they_begin(model, family, columns):
+    text = "An ordinary first line.\n\n" + textwrap.fill(LONG[family], columns) + "\n\nMore text."
+    assert [(line, f) for _, line, f, _, _ in license_scan.detect(model, pa.array([text]))] == [(2, family)]
+
+
+@pytest.mark.parametrize("family", LONG)
+def test_long_notices_are_found_at_all_offsets_of_a_long_line(model, family):
+    texts = ["word " * k + LONG[family] + " word" * 60 for k in range(20, 68)]
+    assert [(r, f) for r, _, f, _, _ in license_scan.detect(model, pa.array(texts))] == [(r, family) for r in range(48)]
+
+
 def test_scores_equal_a_plain_sum(model):
     p = license_scan.paragraphs(pa.array(["one two three\nfour", "five " * 200]))
     one, two = license_scan._slots(p.words)
