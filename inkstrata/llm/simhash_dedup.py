@@ -1,21 +1,29 @@
 """SimHash near-duplicate groups found with navigable small-world graphs.
 
-Each text becomes a 256-bit SimHash of its distinct word trigrams. Texts with
-the same words are exact copies and collapse to one representative first.
-Representatives are routed, as queries and as graph nodes alike, to the shards
-named by six min-wise hashes of their trigrams, so that the shards a signature
-visits do not grow in number with the corpus. In shards of over ``COMPLETE``
-members a navigable small-world graph over Hamming distance is built, every
-member is a query, and the beam is doubled until recall, audited against exact
-search over all pairs within ``RADIUS``, is reached; a query whose whole beam is
-within ``RADIUS`` is compared with all members. In smaller shards all pairs are.
-Edges are verified by the Jaccard similarity of bottom-k trigram sketches
-(exact up to ``SKETCH`` distinct trigrams) and united to groups.
+1. Each text becomes a 256-bit SimHash of its distinct word trigrams. Texts with
+   the same words are copies; one representative of each such class goes on.
+2. A shard holds the representatives that share one of ``TABLES`` min-wise
+   hashes of their trigrams, so the shards that a text visits do not grow in
+   number with the corpus. A shard of over ``SHARD_NODES`` members is dealt into
+   blocks, each with a graph of its own, and its members are broadcast as
+   queries to the graphs of the blocks before theirs.
+3. In a shard a navigable small-world graph over Hamming distance is built. Every
+   member is a query; beams expand until recall, audited against exact search
+   over the whole shard, is reached, and a query whose whole beam lies within
+   ``RADIUS`` is compared with all members, so that no number of neighbours is
+   the limit. Up to ``GRAPH_FROM`` members the graph is complete: all pairs.
+4. Every candidate pair is verified on the two texts' whole trigram sets (32-bit
+   hashes) in the one shard that comes first among those the two share. The
+   shard returns each member's number of links and its local root, not the pairs.
+5. Local roots are united to groups by large-star and small-star steps.
 
 Defined results: a null ``doc_id`` is never compared; a null or empty text has
-no copies; texts without any word are copies if their bytes are equal; a
-repeated ``doc_id`` with the same text counts once, with differing texts it
-joins the groups of all its texts.
+no copies; texts without any word are copies if their bytes are equal; rows
+equal in ``doc_id`` and text count once; a ``doc_id`` with differing texts has a
+row for each text that has copies or links; of equal candidates to keep, the one
+with the least ``doc_id``, then the least text hash, stays. A ``doc_id`` that is
+no integer is an error of the cast. Classes have 64-bit numbers: of n classes,
+two share a number with a probability of n * n / 2^65.
 """
 
 from __future__ import annotations
@@ -24,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,19 +41,21 @@ from inkstrata.llm.textvec import U64, Words, ensure_checkpoint, map_text, mix,
 BITS = 256
 SHINGLE = 3
 TABLES = 6
-SKETCH = 128
 RADIUS = 92
 MIN_JACCARD = 0.5
-#: Members of a bucket beyond which it is searched in parts.
-HOT_BUCKET = 100_000
-#: Members of a shard up to which comparing all pairs costs less than a graph.
-COMPLETE = 2048
-#: Candidate pairs that a task holds before it passes them on.
-EDGES_HELD = 1 << 20
+#: Members of a shard up to which its graph would be all but complete and all pairs are compared.
+GRAPH_FROM = 256
+#: Nodes of one graph; a larger shard is dealt into blocks.
+SHARD_NODES = 1 << 14
+#: Blocks whose members query one build of a block's graph.
+BLOCKS_PER_UNIT = 8
+#: Rows of shards that one task should get.
+ROWS_PER_TASK = 1 << 14
 _DIM = 4096
 _PLANES: list[np.ndarray] = []
 
-SIGNATURE_SCHEMA = "doc_id bigint, body binary, sig binary, keys array<bigint>, sketch binary"
+SIGNATURE_SCHEMA = "doc_id bigint, h bigint, cls bigint, sig binary, keys array<bigint>"
+GRAM_SCHEMA = "doc_id bigint, h bigint, grams binary"
 
 
 def planes() -> np.ndarray:
@@ -59,42 +70,59 @@ def planes() -> np.ndarray:
 _KEY_SEEDS = mix(np.arange(1, TABLES + 1, dtype=U64) * U64(0xA0761D6478BD642F))
 
 
+def _texts(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows of doc_id, h, text that have an id and a text."""
+    return batch.filter(pc.and_(pc.is_valid(batch.column(0)), pc.greater(pc.fill_null(pc.binary_length(batch.column(2)), 0), 0)))
+
+
+def _trigrams(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The word hashes and the sorted distinct trigram hashes of each text; a text without words counts as its characters."""
+    w = Words(texts)
+    g, off = w.grams(SHINGLE)
+    for i in range(w.n):
+        x, ids = g[off[i] : off[i + 1]], w.hash[w.off[i] : w.off[i + 1]]
+        if len(x) == 0:
+            raw = Words(pa.array(["".join(f"{ord(c):x} " for c in texts[i].as_py())]))
+            x, ids = raw.grams(SHINGLE)[0] ^ U64(0xABCDEF), raw.hash ^ U64(0xFFFF)
+        x = np.sort(x)
+        yield ids, x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) > 1 else x
+
+
 def sign_texts(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-    """doc_id, text -> signature rows; rows without an id or a text are left out."""
-    batch = batch.filter(pa.compute.and_(pa.compute.is_valid(batch.column(0)), pa.compute.greater(pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0), 0)))
+    """doc_id, h, text -> signature rows; rows without an id or a text are left out."""
+    batch = _texts(batch)
     n = batch.num_rows
     if n == 0:
         return None
-    w = Words(batch.column(1))
-    g, off = w.grams(SHINGLE)
-    word_hash = w.hash
     acc = np.zeros((n, _DIM), dtype=np.float32)
-    body, keys, sketch = [], np.zeros((n, TABLES), dtype=np.int64), []
-    texts: pa.Array = batch.column(1)
-    for i in range(n):
-        x = g[off[i] : off[i + 1]]
-        if len(x) == 0:
-            raw = Words(pa.array(["".join(f"{ord(c):x} " for c in texts[i].as_py())]))
-            x, ids = raw.grams(SHINGLE)[0], raw.hash ^ U64(0xFFFF)
-            x = x ^ U64(0xABCDEF)
-        else:
-            ids = word_hash[w.off[i] : w.off[i + 1]]
+    cls, keys = np.zeros(n, dtype=U64), np.zeros((n, TABLES), dtype=np.int64)
+    for i, (ids, x) in enumerate(_trigrams(batch.column(2))):
         pos = np.arange(1, len(ids) + 1, dtype=U64)
-        both = [int(mix(ids * (pos * U64(2 * k + 1) * U64(0x9E3779B97F4A7C15) | U64(1)) + U64(k)).sum(dtype=U64)) for k in (1, 2)]
-        body.append(b"".join(v.to_bytes(8, "little") for v in both) + len(ids).to_bytes(4, "little"))
-        x = np.sort(x)
-        if len(x) > 1:
-            x = x[np.concatenate([[True], x[1:] != x[:-1]])]
-        sketch.append(x[:SKETCH].tobytes())
+        cls[i] = mix(ids * (pos * U64(0x9E3779B97F4A7C15) | U64(1)) + U64(1)).sum(dtype=U64)
         acc[i] = np.bincount((x & U64(_DIM - 1)).astype(np.int64), weights=((x >> U64(12)) & U64(1)).astype(np.float32) * 2 - 1, minlength=_DIM)
         keys[i] = signed((x[None, :] * _KEY_SEEDS[:, None]).min(1))
     bits = np.packbits(acc @ planes() > 0, axis=1)
     off = np.arange(0, TABLES * (n + 1), TABLES, dtype=np.int32)
-    return pa.record_batch([batch.column(0), pa.array(body, pa.binary()), pa.array([r.tobytes() for r in bits], pa.binary()), pa.ListArray.from_arrays(pa.array(off), pa.array(keys.ravel())), pa.array(sketch, pa.binary())], names=["doc_id", "body", "sig", "keys", "sketch"])
+    return pa.record_batch([batch.column(0), batch.column(1), pa.array(signed(cls)), pa.array([r.tobytes() for r in bits], pa.binary()), pa.ListArray.from_arrays(pa.array(off), pa.array(keys.ravel()))], names=["doc_id", "h", "cls", "sig", "keys"])
+
+
+def gram_sets(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+    """doc_id, h, text -> the sorted distinct 32-bit trigram hashes of each text."""
+    batch = _texts(batch)
+    if batch.num_rows == 0:
+        return None
+    sets = [np.unique((x >> U64(32)).astype(np.uint32)).tobytes() for _, x in _trigrams(batch.column(2))]
+    return pa.record_batch([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["doc_id", "h", "grams"])
+
 
+def _keyed(docs: DataFrame, doc_id: str | Column, text: str) -> DataFrame:
+    id_ = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    body = F.col(text).cast("string")
+    return docs.select(id_.cast("bigint").alias("doc_id"), F.xxhash64(body).alias("h"), body.alias("text"))
 
-def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    return map_text(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")), ["doc_id", "text"], "text", sign_texts, SIGNATURE_SCHEMA)
+
+def signatures(docs: DataFrame, doc_id: str | Column = "doc_id", text: str = "text") -> DataFrame:
+    return map_text(_keyed(docs, doc_id, text), ["doc_id", "h", "text"], "text", sign_texts, SIGNATURE_SCHEMA)
 
 
 # --- the graph ------------------------------------------------------------------------------
@@ -104,10 +132,23 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int32)
 
 
+def within(q: np.ndarray, pool: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row of ``q``, row of ``pool``) of all pairs within ``radius``, in parts."""
+    step = max(1, (1 << 20) // max(len(pool), 1))
+    for a in range(0, len(q), step):
+        part = q[a : a + step]
+        d = np.zeros((len(part), len(pool)), dtype=np.uint16)
+        for k in range(part.shape[1]):
+            d += np.bitwise_count(part[:, k, None] ^ pool[None, :, k])
+        row, col = np.nonzero(d <= radius)
+        yield row + a, col
+
+
 class SmallWorld:
     """A navigable small-world graph over packed signatures, searched in bulk."""
 
-    LINKS = 12
+    LINKS = 8
+    PROBES = 64
 
     def __init__(self, sig: np.ndarray, seed: int = 7):
         self.sig, self.n = sig, len(sig)
@@ -117,11 +158,15 @@ class SmallWorld:
         self._link(self.order[:done], self._exact(self.order[:done], self.order[:done]))
         while done < self.n:
             new = self.order[done : done + min(done, 1024)]
-            seeds = self.order[np.arange(len(new))[:, None] * 7 % done, None].reshape(len(new), 1)
-            far = self.search(new, seeds, 2 * self.LINKS)
-            own = self._exact(new, new)
-            self._link(new, self._closest(new, np.hstack([far, own]), self.LINKS))
+            far = self.search(sig[new], self._spread(len(new), done), 2 * self.LINKS)
+            self._link(new, self._closest(new, np.hstack([far, self._exact(new, new)]), self.LINKS))
             done += len(new)
+        self.beam, self.recall = 16, 1.0
+
+    def _spread(self, count: int, done: int) -> np.ndarray:
+        """Two entry nodes among the first ``done`` for each of ``count`` queries."""
+        at = np.arange(count)
+        return np.stack([self.order[at * 7 % done], self.order[(at * 13 + done // 2) % done]], 1)
 
     def _exact(self, q: np.ndarray, pool: np.ndarray) -> np.ndarray:
         """The closest LINKS of ``pool`` for each of ``q``."""
@@ -140,8 +185,7 @@ class SmallWorld:
         found[:, 1:][found[:, 1:] == found[:, :-1]] = -1
         found[found == q[:, None]] = -1
         d = np.where(found >= 0, hamming(self.sig[q][:, None], self.sig[found]), BITS + 1)
-        best = np.argsort(d, axis=1, kind="stable")[:, :k]
-        return np.take_along_axis(found, best, 1)
+        return np.take_along_axis(found, np.argsort(d, axis=1, kind="stable")[:, :k], 1)
 
     def _link(self, q: np.ndarray, to: np.ndarray) -> None:
         """Forward links to ``to``; backward links while the other end has room."""
@@ -149,40 +193,43 @@ class SmallWorld:
         self.adj[q, : to.shape[1]] = to
         src, dst = np.repeat(q, to.shape[1]), to.ravel()
         src, dst = src[dst >= 0], dst[dst >= 0]
+        if not len(dst):
+            return
         by = np.argsort(dst, kind="stable")
         src, dst = src[by], dst[by]
-        first = np.concatenate([[True], dst[1:] != dst[:-1]]) if len(dst) else np.zeros(0, bool)
-        rank = np.arange(len(dst)) - np.maximum.accumulate(np.where(first, np.arange(len(dst)), 0)) if len(dst) else dst
-        used = (self.adj[dst, k:] >= 0).sum(1) if len(dst) else dst
+        at = np.arange(len(dst))
+        rank = at - np.maximum.accumulate(np.where(np.concatenate([[True], dst[1:] != dst[:-1]]), at, 0))
+        used = (self.adj[dst, k:] >= 0).sum(1)
         ok = used + rank < 2 * k
         self.adj[dst[ok], k + used[ok] + rank[ok]] = src[ok]
 
     def search(self, q: np.ndarray, entry: np.ndarray, beam: int) -> np.ndarray:
-        """Best-first search of all ``q`` at once from ``entry``; the ``beam`` closest found, -1 beyond."""
+        """Best-first search for all signatures ``q`` at once from ``entry``; the ``beam`` closest found, -1 beyond."""
         out = np.full((len(q), beam), -1, dtype=np.int64)
-        step = max(1, (1 << 21) // max(beam * 64, 1))
+        step = max(1, (1 << 20) // (beam * 48))
         for a in range(0, len(q), step):
             out[a : a + step] = self._search(q[a : a + step], entry[a : a + step], beam)
         return out
 
     def _search(self, q: np.ndarray, entry: np.ndarray, beam: int) -> np.ndarray:
-        m = len(q)
-        ids = np.full((m, beam), -1, dtype=np.int64)
-        ids[:, : min(beam, entry.shape[1])] = entry[:, :beam]
-        dist = np.where(ids >= 0, hamming(self.sig[q][:, None], self.sig[ids]), BITS + 1)
+        ids = np.full((len(q), beam), -1, dtype=np.int64)
+        k = min(beam, entry.shape[1])
+        ids[:, :k] = entry[:, :k]
+        dist = np.where(ids >= 0, hamming(q[:, None], self.sig[ids]), BITS + 1)
         open_ = ids >= 0
-        live = np.arange(m)
+        live = np.arange(len(q))
         while len(live):
             d = np.where(open_[live], dist[live], BITS + 1)
             pick = d.argmin(1)
-            live, pick = live[d[np.arange(len(live)), pick] <= BITS], pick[d[np.arange(len(live)), pick] <= BITS]
+            ok = d[np.arange(len(live)), pick] <= BITS
+            live, pick = live[ok], pick[ok]
             if not len(live):
                 break
             node = ids[live, pick]
             open_[live, pick] = False
             near = self.adj[node]
-            seen = (near[:, :, None] == ids[live][:, None, :]).any(2) | (near < 0) | (near == q[live][:, None])
-            nd = np.where(seen, BITS + 1, hamming(self.sig[q[live]][:, None], self.sig[near]))
+            seen = (near[:, :, None] == ids[live][:, None, :]).any(2) | (near < 0)
+            nd = np.where(seen, BITS + 1, hamming(q[live][:, None], self.sig[near]))
             # the beam keeps the closest; the farther ones, expanded or not, drop out
             all_ids = np.hstack([ids[live], np.where(seen, -1, near)])
             all_d = np.hstack([dist[live], nd])
@@ -193,160 +240,241 @@ class SmallWorld:
             open_[live] = np.take_along_axis(all_open, keep, 1) & (dist[live] <= BITS)
         return ids
 
-    def neighbours(self, radius: int, target: float = 0.95, audit: int = 64) -> tuple[np.ndarray, np.ndarray, float, int]:
-        """All pairs within ``radius``, with audited recall and the beam that reached it."""
-        beam, recall = self.reach(radius, target, audit)
-        parts = list(self.pairs(radius, beam))
-        return np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts]), recall, beam
+    def audit(self, radius: int, target: float = 0.95) -> None:
+        """Sets ``beam`` to the least that finds ``target`` of all pairs within ``radius`` of evenly spaced probes, ``recall`` to that share.
 
-    def reach(self, radius: int, target: float = 0.95, audit: int = 64) -> tuple[int, float]:
-        """The beam that finds ``target`` of all pairs within ``radius`` of ``audit`` evenly spaced nodes, and the share it finds.
-
-        Once the beam spans the shard the search is exhaustive.
+        A beam of a sixteenth of the shard costs more than exact search; then ``beam`` is the whole shard and recall 1.
         """
-        probe = self.order[:: max(1, self.n // audit)]
-        want = sum(len(a) for a, _ in within(self.sig[probe], self.sig, radius)) - len(probe)
-        beam = 16
-        while beam < self.n:
-            got = sum(len(a) for a, _ in self._range(probe, radius, beam))
+        probe = self.order[:: max(1, self.n // self.PROBES)]
+        want = sum(len(a) for a, _ in within(self.sig[probe], self.sig, radius))
+        self.beam = 16
+        while self.beam * 16 < self.n:
+            got = sum(len(a) for a, _ in self.range(self.sig[probe], radius))
+            self.recall = got / want if want else 1.0
             if got >= target * want:
-                return beam, got / want if want else 1.0
-            beam *= 2
-        return beam, 1.0
-
-    def pairs(self, radius: int, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Every node with all nodes within ``radius`` that the search finds, in parts."""
-        for a in range(0, self.n, 4096):
-            yield from self._range(np.arange(a, min(a + 4096, self.n)), radius, beam)
-
-    def _range(self, q: np.ndarray, radius: int, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Nodes within ``radius`` of each of ``q``; where the whole beam is that near there may be more, and all nodes are compared."""
-        full = np.ones(len(q), bool)
-        if beam < self.n:
-            found = self.search(q, self.adj[q, : self.LINKS], beam)
-            near = np.where(found >= 0, hamming(self.sig[q][:, None], self.sig[found]), BITS + 1)
-            full = near.max(1) <= radius
-            row, col = np.nonzero((near <= radius) & ~full[:, None])
-            yield q[row], found[row, col]
-        rest = q[full]
-        for row, col in within(self.sig[rest], self.sig, radius):
-            other = rest[row] != col
-            yield rest[row[other]], col[other]
-
-
-def within(q: np.ndarray, pool: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row of ``q``, row of ``pool``) of all pairs within ``radius``, in parts."""
-    step = max(1, (1 << 20) // max(len(pool), 1))
-    for a in range(0, len(q), step):
-        part = q[a : a + step]
-        d = np.zeros((len(part), len(pool)), dtype=np.uint16)
-        for k in range(part.shape[1]):
-            d += np.bitwise_count(part[:, k, None] ^ pool[None, :, k])
-        row, col = np.nonzero(d <= radius)
-        yield row + a, col
-
-
-def bucket_pairs(sig: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of one bucket within ``radius``, in parts; up to ``COMPLETE`` members all pairs are compared."""
-    if len(sig) <= COMPLETE:
-        for a, b in within(sig, sig, radius):
-            yield a[a < b], b[a < b]
-        return
-    world = SmallWorld(sig)
-    yield from world.pairs(radius, world.reach(radius)[0])
-
-
-_EDGE_SCHEMA = "a bigint, b bigint"
-
-
-def _graph_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (t, key, doc_id, sig, side) sorted by bucket -> candidate edges a < b; where both sides are there, those between them."""
-    held: list[pa.RecordBatch] = []
-
-    def packed(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
-        x, y = np.concatenate(a), np.concatenate(b)
-        pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[x != y], axis=0)
-        return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        ids = rows.column("doc_id").to_numpy()
-        t, key = rows.column("t").to_numpy(), rows.column("key").to_numpy()
+                return
+            self.beam *= 2
+        self.beam, self.recall = self.n, 1.0
+
+    def range(self, q: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row of ``q``, node) within ``radius``; where the whole beam is that near there may be more, and all nodes are compared."""
+        for a in range(0, len(q), 4096):
+            part = q[a : a + 4096]
+            rest = np.arange(len(part))
+            if self.beam < self.n:
+                found = self.search(part, self._spread(len(part), self.n), self.beam)
+                near = np.where(found >= 0, hamming(part[:, None], self.sig[found]), BITS + 1)
+                full = near.max(1) <= radius
+                row, col = np.nonzero((near <= radius) & ~full[:, None])
+                yield row + a, found[row, col]
+                rest = np.flatnonzero(full)
+            for row, col in within(part[rest], self.sig, radius):
+                yield rest[row] + a, col
+
+
+# --- verified links of a shard ---------------------------------------------------------------
+
+
+class Members:
+    """Rows of a shard as arrays; trigram sets lie end to end in ``grams``."""
+
+    def __init__(self, cls: np.ndarray, sig: np.ndarray, keys: np.ndarray, off: np.ndarray, grams: np.ndarray):
+        self.cls, self.sig, self.keys, self.off, self.grams = cls, sig, keys, off, grams
+
+    def __len__(self) -> int:
+        return len(self.cls)
+
+    @staticmethod
+    def of(rows: pa.RecordBatch) -> Members:
+        """From the columns cls, sig, keys and grams of ``rows``; repeated classes count once."""
+        cls = rows.column("cls").to_numpy()
+        if len(cls) > 1 and (cls[1:] == cls[:-1]).any():
+            rows = rows.filter(pa.array(np.concatenate([[True], cls[1:] != cls[:-1]])))
+            cls = rows.column("cls").to_numpy()
         sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), dtype=U64).reshape(-1, BITS // 64)
-        side = rows.column("side").to_numpy()
-        cut = np.concatenate([[0], np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1])) + 1, [len(ids)]])
-        twos = cut[:-1][np.diff(cut) == 2]
-        ok = twos[hamming(sig[twos], sig[twos + 1]) <= RADIUS]
-        a, b, held_pairs = [ids[ok]], [ids[ok + 1]], len(ok)
-        many = np.flatnonzero(np.diff(cut) > 2)
-        for s, e in zip(cut[many], cut[many + 1]):
-            own = side[s:e]
-            for i, j in bucket_pairs(sig[s:e]):
-                if own.any() and not own.all():
-                    across = own[i] != own[j]
-                    i, j = i[across], j[across]
-                a.append(ids[s:e][i]), b.append(ids[s:e][j])
-                held_pairs += len(i)
-                if held_pairs >= EDGES_HELD:
-                    yield packed(a, b)
-                    a, b, held_pairs = [], [], 0
-        if held_pairs:
-            yield packed(a, b)
-
+        keys = rows.column("keys").flatten().to_numpy().reshape(-1, TABLES)
+        sets = rows.column("grams").to_pylist()
+        off = np.concatenate([[0], np.cumsum([len(s) // 4 for s in sets])]).astype(np.int64)
+        return Members(cls, sig, keys, off, np.frombuffer(b"".join(sets), dtype=np.uint32))
+
+    def slice(self, s: int, e: int) -> Members:
+        return Members(self.cls[s:e], self.sig[s:e], self.keys[s:e], self.off[s : e + 1] - self.off[s], self.grams[self.off[s] : self.off[e]])
+
+    @staticmethod
+    def joined(parts: list[Members]) -> Members:
+        if len(parts) == 1:
+            return parts[0]
+        ends = np.cumsum([0, *(len(p.grams) for p in parts)])
+        off = np.concatenate([[0], *(p.off[1:] + e for p, e in zip(parts, ends))])
+        return Members(*(np.concatenate([getattr(p, k) for p in parts]) for k in ("cls", "sig", "keys")), off, np.concatenate([p.grams for p in parts]))
+
+
+def similar(q: Members, nodes: Members, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the trigram sets of ``q[i]`` and ``nodes[j]`` reach ``MIN_JACCARD``; exact."""
+    a, b = np.diff(q.off)[i], np.diff(nodes.off)[j]
+    out = np.minimum(a, b) >= MIN_JACCARD * np.maximum(a, b)
+    at = np.flatnonzero(out)
+    at = at[np.argsort(i[at], kind="stable")]
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(i[at])) + 1, [len(at)]]) if len(at) else [0]
+    for s, e in zip(cut[:-1], cut[1:]):
+        for lo in range(s, e, 512):
+            pairs = at[lo : min(lo + 512, e)]
+            x = q.grams[q.off[i[pairs[0]]] : q.off[i[pairs[0]] + 1]]
+            size = b[pairs]
+            start = np.concatenate([[0], np.cumsum(size)[:-1]])
+            y = nodes.grams[np.repeat(nodes.off[j[pairs]] - start, size) + np.arange(size.sum())] if len(pairs) > 1 else nodes.grams[nodes.off[j[pairs[0]]] : nodes.off[j[pairs[0]] + 1]]
+            place = np.searchsorted(x, y)
+            both = np.add.reduceat(x[np.minimum(place, len(x) - 1)] == y, start, dtype=np.int64)
+            out[pairs] = both >= MIN_JACCARD * (len(x) + size - both)
+    return out
+
+
+class Links:
+    """Numbers of links and local roots of the members met in a shard."""
+
+    def __init__(self) -> None:
+        self.count: dict[int, int] = {}
+        self.root: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        r = self.root
+        while r.setdefault(x, x) != x:
+            r[x] = r[r[x]]
+            x = r[x]
+        return x
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        for side in (a, b):
+            for c, n in zip(*(v.tolist() for v in np.unique(side, return_counts=True))):
+                self.count[c] = self.count.get(c, 0) + n
+        for x, y in zip(a.tolist(), b.tolist()):
+            p, q = self.find(x), self.find(y)
+            if p != q:
+                self.root[max(p, q)] = min(p, q)
+
+    def rows(self) -> pa.RecordBatch:
+        own = sorted(self.count)
+        return pa.record_batch([pa.array(own, pa.int64()), pa.array([self.find(x) for x in own], pa.int64()), pa.array([self.count[x] for x in own], pa.int64())], names=["cls", "root", "links"])
+
+
+class Shard:
+    """One unit of work: the nodes of a block, then the queries broadcast to it."""
+
+    def __init__(self, t: int, own: bool, links: Links, radius: int = RADIUS):
+        self.t, self.own, self.links, self.radius = t, own, links, radius
+        self.parts: list[Members] = []
+        self.nodes: Members | None = None
+        self.world: SmallWorld | None = None
+
+    def _first_here(self, q: Members, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Pairs that share no min-wise hash of a table before this one."""
+        ok = np.ones(len(i), bool)
+        for s in range(self.t):
+            ok &= q.keys[i, s] != self.nodes.keys[j, s]
+        return ok
+
+    def _verify(self, q: Members, i: np.ndarray, j: np.ndarray) -> None:
+        ok = self._first_here(q, i, j)
+        i, j = i[ok], j[ok]
+        if len(i):
+            ok = similar(q, self.nodes, i, j)
+            self.links.add(q.cls[i[ok]], self.nodes.cls[j[ok]])
+
+    def build(self) -> None:
+        """The graph, and the links among its own nodes where this unit has to find them."""
+        self.nodes = Members.joined(self.parts)
+        self.parts = []
+        n = len(self.nodes)
+        if n > GRAPH_FROM:
+            self.world = SmallWorld(self.nodes.sig)
+            self.world.audit(self.radius)
+        if not self.own or n < 2:
+            return
+        if self.world is None or self.world.beam >= n:
+            for i, j in within(self.nodes.sig, self.nodes.sig, self.radius):
+                self._verify(self.nodes, i[i < j], j[i < j])
+            return
+        codes = []
+        for i, j in self.world.range(self.nodes.sig, self.radius):
+            other = i != j
+            codes.append(np.unique(np.minimum(i, j)[other] * n + np.maximum(i, j)[other]))
+            if sum(map(len, codes)) > 1 << 22:  # a pair is found from either side; both ends are here before it is verified
+                codes = [np.unique(np.concatenate(codes))]
+        code = np.unique(np.concatenate(codes))
+        for a in range(0, len(code), 1 << 20):
+            self._verify(self.nodes, *np.divmod(code[a : a + (1 << 20)], n))
+
+    def query(self, q: Members) -> None:
+        if self.nodes is None:
+            self.build()
+        found = self.world.range(q.sig, self.radius) if self.world is not None else within(q.sig, self.nodes.sig, self.radius)
+        for i, j in found:
+            self._verify(q, i, j)
+
+
+LINK_SCHEMA = "cls bigint, root bigint, links bigint"
+
+
+def _links_of_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (t, key, unit, own, query, cls, sig, keys, grams), sorted by the first three, nodes before queries -> links and local roots."""
+    shard: Shard | None = None
+    at: tuple | None = None
+    links = Links()
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        last = (batch.column(0)[-1].as_py(), batch.column(1)[-1].as_py())
-        t, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        tail = np.flatnonzero((t != last[0]) | (key != last[1]))
-        start = int(tail[-1]) + 1 if len(tail) else 0
-        if start or (held and (held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py()) != last):
-            yield from work(pa.Table.from_batches([*held, batch.slice(0, start)]))
-            held = []
-        held.append(batch.slice(start))
-    if held:
-        yield from work(pa.Table.from_batches(held))
-
-
-def candidate_edges(reps: DataFrame, hot: int = HOT_BUCKET) -> DataFrame:
-    """Edges a < b of representatives (doc_id, sig, keys) within ``RADIUS`` of each other in some shard.
-
-    A shard of over ``hot`` members is dealt into blocks of half that size, and every two blocks meet in a part of their own.
+        t, key, unit, query = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("t", "key", "unit", "query"))
+        change = np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1]) | (unit[1:] != unit[:-1]) | (query[1:] != query[:-1])) + 1
+        cut = np.concatenate([[0], change, [batch.num_rows]])
+        for s, e in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            here = (int(t[s]), int(key[s]), int(unit[s]))
+            if here != at:
+                if shard is not None and shard.nodes is None:
+                    shard.build()
+                if len(links.count) > 1 << 16:
+                    yield links.rows()
+                    links = Links()
+                at, shard = here, Shard(here[0], bool(batch.column("own")[s].as_py()), links)
+            part = Members.of(batch.slice(s, e - s))
+            if query[s]:
+                shard.query(part)
+            else:
+                shard.parts.append(part)
+    if shard is not None and shard.nodes is None:
+        shard.build()
+    if links.count:
+        yield links.rows()
+
+
+def shard_rows(reps: DataFrame, live: DataFrame, grams: DataFrame, tasks: int, nodes: int = SHARD_NODES) -> DataFrame:
+    """The rows of every unit of work, sorted within its partition.
+
+    A shard of n members has ceil(n / ``nodes``) blocks. Member of block b: node of the units (b, 0 .. b / BLOCKS_PER_UNIT),
+    the last of which finds the links within the block, and query to one unit of every later block.
     """
-    routed = reps.select("doc_id", "sig", F.posexplode("keys").alias("t", "key"))
-    sizes = routed.groupBy("t", "key").count().where(F.col("count") > hot).select("t", "key", F.ceil(F.col("count") * 2 / hot).cast("int").alias("blocks"))
-    routed = routed.join(sizes, ["t", "key"], "left").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    dealt = routed.select("t", "key", "doc_id", "sig", "blocks", "own", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("other"))
-    part = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    dealt = dealt.select("t", F.when(F.col("blocks").isNull(), F.col("key")).otherwise(part).alias("key"), "doc_id", "sig", F.coalesce(F.col("own") > F.col("other"), F.lit(False)).alias("side"))
-    shards = dealt.repartition("t", "key").sortWithinPartitions("t", "key", "doc_id").select("t", "key", "doc_id", "sig", "side")
-    return shards.mapInArrow(_graph_edges, _EDGE_SCHEMA).distinct()
-
-
-def _jaccard(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in rows:
-        keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            keep.append(sketch_jaccard(np.frombuffer(x, dtype=U64), np.frombuffer(y, dtype=U64)) >= MIN_JACCARD)
-        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-
-def sketch_jaccard(x: np.ndarray, y: np.ndarray) -> float:
-    """Jaccard similarity of two sets from their ``SKETCH`` least hashes; exact if both sets are that small."""
-    both = np.sort(np.concatenate([x, y]))
-    dup = np.flatnonzero(both[1:] == both[:-1])
-    union = len(both) - len(dup)
-    if len(x) < SKETCH and len(y) < SKETCH:
-        return len(dup) / union if union else 0.0
-    distinct = np.delete(both, dup)[:SKETCH]
-    return float(np.count_nonzero(both[dup] <= distinct[-1]) / len(distinct))
-
-
-def verified_edges(reps: DataFrame, edges: DataFrame) -> DataFrame:
-    """The edges whose sketches reach ``MIN_JACCARD``; only sketches of documents with an edge are moved."""
-    s = reps.select(F.col("doc_id").alias("id"), "sketch")
-    e = edges.join(s.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a")
-    e = e.join(s.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
-    return e.select("a", "b", "x", "y").mapInArrow(_jaccard, _EDGE_SCHEMA)
+    blocks = F.ceil(F.col("n") / nodes).cast("int")
+    block = F.pmod(F.xxhash64("cls"), F.ceil(F.col("n") / nodes)).cast("int")
+    routes = live.select("cls", F.struct("t", "key", blocks.alias("blocks"), block.alias("block")).alias("r")).groupBy("cls").agg(F.collect_list("r").alias("routes"))
+    rows = reps.join(routes, "cls").join(grams, ["doc_id", "h"]).select("cls", "sig", "keys", "grams", F.explode("routes").alias("r"))
+    unit = lambda b, g: b.cast("bigint") * (1 << 24) + g
+    group = F.floor(F.col("r.block") / BLOCKS_PER_UNIT).cast("int")
+    as_node = F.transform(F.sequence(F.lit(0), group), lambda g: F.struct(unit(F.col("r.block"), g).alias("unit"), (g == group).alias("own"), F.lit(False).alias("query")))
+    as_query = F.when(F.col("r.block") + 1 < F.col("r.blocks"), F.transform(F.sequence(F.col("r.block") + 1, F.col("r.blocks") - 1), lambda b: F.struct(unit(b, group).alias("unit"), (group == F.floor(b / BLOCKS_PER_UNIT)).alias("own"), F.lit(True).alias("query"))))
+    rows = rows.select(F.col("r.t").alias("t"), F.col("r.key").alias("key"), F.explode(F.concat(as_node, F.coalesce(as_query, F.slice(as_node, 1, 0)))).alias("u"), "cls", "sig", "keys", "grams")
+    rows = rows.select("t", "key", "u.unit", "u.own", "u.query", "cls", "sig", "keys", "grams")
+    return rows.repartition(tasks, "t", "key", "unit").sortWithinPartitions("t", "key", "unit", "query", "cls")
+
+
+def verified_links(docs: DataFrame, light: DataFrame, doc_id: str | Column = "doc_id", text: str = "text", nodes: int = SHARD_NODES) -> DataFrame:
+    """(cls, root, links): links of each class found in a shard, and the least class that it is joined to there."""
+    spark = docs.sparkSession
+    reps = light.dropDuplicates(["cls"])
+    routed = reps.select("cls", F.posexplode("keys").alias("t", "key"))
+    sizes = routed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
+    live = routed.join(sizes, ["t", "key"]).checkpoint()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-live.count() // ROWS_PER_TASK))
+    grams = map_text(_keyed(docs, doc_id, text), ["doc_id", "h", "text"], "text", gram_sets, GRAM_SCHEMA)
+    return shard_rows(reps, live, grams, tasks, nodes).mapInArrow(_links_of_shards, LINK_SCHEMA)
 
 
 # --- union ----------------------------------------------------------------------------------
@@ -381,29 +509,47 @@ def connected(edges: DataFrame, spark: SparkSession) -> DataFrame:
     return cur.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str | Column = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, group_id) of every document in a group of two or more; group_id is the least doc_id."""
+def _grouped(docs: DataFrame, doc_id: str | Column = "doc_id", text: str = "text", nodes: int = SHARD_NODES) -> tuple[DataFrame, DataFrame]:
+    """The signatures, and (doc_id, h, class_id, group_id, links, kept) of every row in a group of two or more."""
     spark = docs.sparkSession
     ensure_checkpoint(spark)
-    sig = signatures(docs, doc_id, text).checkpoint()
-    bodies = sig.groupBy("body").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).where("n > 1").select("body", "b")
-    exact = sig.select(F.col("doc_id").alias("a"), "body").join(bodies, "body").where("a <> b").select("a", "b")
-    reps = sig.join(exact.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_anti")
-    near = verified_edges(reps, candidate_edges(reps))
-    roots = connected(exact.union(near.select("a", "b")), spark)
-    members = roots.union(roots.select(F.col("root").alias("node"), "root")).distinct()
-    return members.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"))
+    light = signatures(docs, doc_id, text).checkpoint()
+    found = verified_links(docs, light, doc_id, text, nodes).checkpoint()
+    roots = connected(found.select(F.col("cls").alias("a"), F.col("root").alias("b")), spark)
+    linked = found.groupBy("cls").agg(F.sum("links").alias("links")).join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+    rows = light.select("doc_id", "h", "cls").distinct()
+    classes = rows.groupBy("cls").agg(F.count("*").alias("n"), F.min("doc_id").alias("class_id"), F.min(F.struct("doc_id", "h")).alias("first")).join(linked, "cls", "left")
+    classes = classes.where("n > 1 or links > 0").select("cls", "class_id", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "cls").alias("root"))
+    groups = classes.groupBy("root").agg(F.min("class_id").alias("group_id"), F.min("first").alias("first"))
+    known = classes.drop("first").join(groups, "root")
+    out = rows.join(known, "cls").select("doc_id", "h", "class_id", "group_id", "links", (F.struct("doc_id", "h") == F.col("first")).alias("kept"))
+    return light, out
+
+
+def near_duplicates(docs: DataFrame, doc_id: str | Column = "doc_id", text: str = "text", nodes: int = SHARD_NODES) -> DataFrame:
+    """(doc_id, group_id, class_id, links, kept) of every document in a group of two or more.
+
+    ``group_id`` and ``class_id`` are the least doc_id of the group and of the documents with the same words; ``links`` counts the
+    different texts that reach ``MIN_JACCARD`` with this one; ``kept`` marks the one row of the group that stays.
+    """
+    return _grouped(docs, doc_id, text, nodes)[1].select("doc_id", "group_id", "class_id", "links", "kept")
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document of a near-duplicate group with its group and whether it is the one that stays."""
-    groups = near_duplicates(table(spark, sf_dir, "documents"))
-    return groups.select("doc_id", "group_id", (F.col("doc_id") == F.col("group_id")).alias("kept"))
+    """Every document of a near-duplicate group with its group, its class of equal words, its links and whether it stays."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group stays, that with the least doc_id; repeated rows of an id collapse."""
-    drop = near_duplicates(docs).where("doc_id <> group_id").select("doc_id")
-    kept = docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
-    named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(kept.where("doc_id is null"))
+    """Pipeline stage: one row of each group stays, and one of rows equal in doc_id and text; rows without id or text stay as they are.
+
+    The text meets the decisions of its rows in one shuffle.
+    """
+    light, groups = _grouped(docs)
+    gone = groups.where("not kept").select(F.col("doc_id").alias("ink_id"), F.col("h").alias("ink_h"), F.lit(True).alias("ink_gone"))
+    rows = light.groupBy(F.col("doc_id").alias("ink_id"), F.col("h").alias("ink_h")).agg(F.count("*").alias("ink_n"))
+    decided = rows.join(gone, ["ink_id", "ink_h"], "left").where("ink_gone or ink_n > 1").drop("ink_n")
+    own = docs.withColumns({"ink_id": F.col("doc_id").cast("bigint"), "ink_h": F.xxhash64(F.col("text").cast("string"))})
+    left = own.join(decided.withColumn("ink_seen", F.lit(True)), ["ink_id", "ink_h"], "left").where("ink_gone is null")
+    once = left.where("ink_seen").dropDuplicates(["ink_id", "ink_h"])
+    return left.where("ink_seen is null").unionByName(once).select(*docs.columns)
