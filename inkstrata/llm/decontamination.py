@@ -16,7 +16,8 @@
 Items of more than 64 words are probed in equal parts; each part counts alone.
 Defined results: null or wordless texts and items leak nothing; null doc_ids
 keep their row with a null id; repeated document rows repeat their leaks,
-repeated items (same id) count by their best part.
+repeated items (same id) count by their best part: the greatest overlap, then
+answer, then cosine.
 """
 
 from __future__ import annotations
@@ -154,14 +155,16 @@ def sketch_matrix(docs: DataFrame, idf: np.ndarray, seed: int = 5) -> np.ndarray
 
 @dataclass
 class Probes:
-    """Benchmark parts of at most 64 words, ready for comparison."""
+    """Benchmark parts of at most 64 words, ready for comparison; the size is in proportion to the items' words."""
 
     item: np.ndarray  # item_id of each probe
     size: np.ndarray
     length: np.ndarray  # index into LENGTHS
     vector: np.ndarray
     vocab: np.ndarray  # sorted word hashes; word k has number k + 1, 0 is any other word
-    masks: np.ndarray  # (probe, word number) -> positions in the probe
+    off: np.ndarray  # the distinct words of probe k are number[off[k] : off[k + 1]]
+    number: np.ndarray
+    mask: np.ndarray  # positions of each such word in the probe
     tail: np.ndarray  # positions of the answer
 
 
@@ -197,16 +200,20 @@ def probes(items: pa.Table, projection: np.ndarray) -> Probes | None:
             answer.append(sum(1 << j for j in tail))
     begin, size = np.array(begin), np.array(size)
     word = np.searchsorted(vocab, w.hash) + 1
-    masks = np.zeros((len(item), len(vocab) + 1), U64)
     vector = np.zeros((len(item), RANK), np.float32)
     slot = _slot(w.hash)
+    numbers, masks = [], []
     for k in range(len(item)):
         own = slice(begin[k], begin[k] + size[k])
-        np.bitwise_or.at(masks[k], word[own], U64(1) << np.arange(size[k], dtype=U64))
+        number, at = np.unique(word[own], return_inverse=True)
+        mask = np.zeros(len(number), U64)
+        np.bitwise_or.at(mask, at, U64(1) << np.arange(size[k], dtype=U64))
+        numbers.append(number), masks.append(mask)
         v = projection[slot[own]].sum(0)
         vector[k] = v / (np.linalg.norm(v) + 1e-12)
     length = np.abs(np.log(np.maximum(size, 1)[:, None] / (LENGTHS[None] * TILE))).argmin(1)
-    return Probes(np.array(item), size, length, vector, vocab, masks, np.array(answer, dtype=U64))
+    off = np.cumsum([0, *map(len, numbers)])
+    return Probes(np.array(item), size, length, vector, vocab, off, np.concatenate(numbers), np.concatenate(masks), np.array(answer, dtype=U64))
 
 
 def _window_vectors(unit: np.ndarray, k: int, made: dict[int, np.ndarray]) -> np.ndarray:
@@ -268,51 +275,72 @@ def candidates(w: Words, projection: np.ndarray, pr: Probes) -> tuple[np.ndarray
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def common_subsequence(word: np.ndarray, start: np.ndarray, end: np.ndarray, probe: np.ndarray, masks: np.ndarray, only: np.ndarray | None = None) -> np.ndarray:
-    """Length of the longest common subsequence of each probe and ``word[start:end]``, all pairs at once.
+def common_subsequence(seq: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of a probe and each run ``seq[lo:hi]`` of words, given by their positions in the probe.
 
-    Bit-parallel after Hyyro: one 64-bit addition for each word and pair.
+    Bit-parallel after Hyyro: one 64-bit addition for each word and run.
     """
-    v = np.full(len(start), ~U64(0))
-    for t in range(int((end - start).max()) if len(start) else 0):
-        at = start + t
-        m = np.where(at < end, masks[probe, word[np.minimum(at, len(word) - 1)]], U64(0))
-        if only is not None:
-            m &= only
-        u = v & m
-        v = (v + u) | (v - u)
-    return np.bitwise_count(~v).astype(np.int64)
+    v = np.full(len(lo), ~U64(0))
+    by = np.argsort(lo - hi, kind="stable")  # the longest first, so that the runs still going on are a prefix
+    lo, size = lo[by], (hi - lo)[by]
+    going = len(lo)
+    for t in range(int(size[0]) if going else 0):
+        while size[going - 1] <= t:
+            going -= 1
+        m = seq[lo[:going] + t]
+        u = v[:going] & m
+        v[:going] = (v[:going] + u) | (v[:going] - u)
+    out = np.empty(len(by), np.int64)
+    out[by] = np.bitwise_count(~v)
+    return out
 
 
 def verify(w: Words, found: tuple[np.ndarray, ...], pr: Probes) -> list[np.ndarray]:
-    """(row, item, cosine, overlap, answer) of the candidates that pass, the best of each row and item."""
+    """(row, item, cosine, overlap, answer) of the candidates that pass, the best of each row and item.
+
+    Words that a probe lacks cannot take part in a common subsequence: only the others are looked at, and a window with fewer
+    of them than ``PARAPHRASE`` asks for is out before any comparison.
+    """
     start, end, row, probe, cosine = found
     if not len(start):
         return [np.zeros(0)] * 5
     number = np.searchsorted(pr.vocab, w.hash)
     word = np.where(pr.vocab[np.minimum(number, len(pr.vocab) - 1)] == w.hash, number + 1, 0)
-    s = np.maximum(start - SLACK, w.off[row])
-    e = np.minimum(end + SLACK, w.off[row + 1])
+    known = np.flatnonzero(word)
+    word = word[known]
+    by = np.argsort(probe, kind="stable")
+    start, end, row, probe, cosine = (x[by] for x in (start, end, row, probe, cosine))
+    s, e = np.maximum(start - SLACK, w.off[row]), np.minimum(end + SLACK, w.off[row + 1])
+    cut = np.concatenate([[0], np.flatnonzero(probe[1:] != probe[:-1]) + 1, [len(probe)]])
+    table = np.zeros(len(pr.vocab) + 1, U64)
     keep: list[tuple] = []
-    for a in range(0, len(s), 1 << 15):
-        x = slice(a, a + (1 << 15))
-        p = probe[x]
-        n = pr.size[p]
-        share = common_subsequence(word, s[x], e[x], p, pr.masks) / n
-        ok = np.flatnonzero(share >= PARAPHRASE)
-        if len(ok):
-            tail = pr.tail[p[ok]]
-            answer = common_subsequence(word, s[x][ok], e[x][ok], p[ok], pr.masks, tail) / np.maximum(np.bitwise_count(tail), 1)
-            good = (share[ok] >= VERBATIM) | (answer >= ANSWER)
-            ok, answer = ok[good], answer[good]
-            keep.append((row[x][ok], pr.item[p[ok]], cosine[x][ok], share[ok], answer))
+    for a, z in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        p = int(probe[a])
+        own = pr.number[pr.off[p] : pr.off[p + 1]]
+        table[own] = pr.mask[pr.off[p] : pr.off[p + 1]]
+        at = table[word]
+        hit = np.flatnonzero(at)
+        seq, place = at[hit], known[hit]
+        table[own] = 0
+        lo, hi = np.searchsorted(place, s[a:z]), np.searchsorted(place, e[a:z])
+        n = int(pr.size[p])
+        some = np.flatnonzero(hi - lo >= PARAPHRASE * n)
+        share = common_subsequence(seq, lo[some], hi[some]) / n
+        good = np.flatnonzero(share >= PARAPHRASE)
+        if not len(good):
+            continue
+        some, share = some[good], share[good]
+        answer = common_subsequence(seq & pr.tail[p], lo[some], hi[some]) / max(int(np.bitwise_count(pr.tail[p])), 1)
+        good = np.flatnonzero((share >= VERBATIM) | (answer >= ANSWER))
+        some = a + some[good]
+        keep.append((row[some], np.full(len(some), pr.item[p]), cosine[some], share[good], answer[good]))
     if not keep:
         return [np.zeros(0)] * 5
     r, item, c, share, answer = (np.concatenate(k) for k in zip(*keep))
     order = np.lexsort((-c, -answer, -share, item, r))
     r, item, c, share, answer = r[order], item[order], c[order], share[order], answer[order]
     best = np.concatenate([[True], (r[1:] != r[:-1]) | (item[1:] != item[:-1])])
-    return [r[best], item[best], c[best], share[best], answer[best]]
+    return [x[best] for x in (r, item, c, share, answer)]
 
 
 def _passes(docs: DataFrame, benchmark: DataFrame) -> tuple[np.ndarray, list[Probes]]:

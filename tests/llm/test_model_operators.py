@@ -1,5 +1,6 @@
 """Decontamination, personal data, toxicity, URL filters and near-duplicates against brute force and held-out rows."""
 
+import collections
 import itertools
 import random
 import re
@@ -34,12 +35,12 @@ def lcs(a, b):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 5), max_size=30), st.lists(st.integers(1, 5), min_size=1, max_size=20))
 def test_common_subsequence(word, probe):
-    masks = np.zeros((1, 6), np.uint64)
+    masks = np.zeros(6, np.uint64)
     for j, w in enumerate(probe):
-        masks[0, w] |= np.uint64(1) << np.uint64(j)
-    word = np.array([0, *word])
-    got = decontamination.common_subsequence(word, np.array([0]), np.array([len(word)]), np.array([0]), masks)
-    assert got.tolist() == [lcs(word.tolist(), probe)]
+        masks[w] |= np.uint64(1) << np.uint64(j)
+    lo, hi = np.triu_indices(len(word) + 1)
+    got = decontamination.common_subsequence(masks[np.array([*word, 0])], lo, hi)
+    assert got.tolist() == [lcs(word[x:y], probe) for x, y in zip(lo, hi)]
 
 
 @settings(max_examples=40, deadline=None)
@@ -147,9 +148,11 @@ def test_paraphrases_with_their_answer_are_found(latent, replaced):
     for k, (i, _) in enumerate(items):
         start = np.arange(w.off[k], w.off[k + 1], 2)
         for q in np.flatnonzero(pr.item == i):
-            of, end = np.full(len(start), q), np.minimum(start + pr.size[q] + 8, w.off[k + 1])
-            share = decontamination.common_subsequence(word, start, end, of, pr.masks) / pr.size[q]
-            answer = decontamination.common_subsequence(word, start, end, of, pr.masks, np.full(len(start), pr.tail[q])) / np.bitwise_count(pr.tail[q])
+            masks = np.zeros(len(pr.vocab) + 1, np.uint64)
+            masks[pr.number[pr.off[q] : pr.off[q + 1]]] = pr.mask[pr.off[q] : pr.off[q + 1]]
+            seq, end = masks[word], np.minimum(start + pr.size[q] + 8, w.off[k + 1])
+            share = decontamination.common_subsequence(seq, start, end) / pr.size[q]
+            answer = decontamination.common_subsequence(seq & pr.tail[q], start, end) / np.bitwise_count(pr.tail[q])
             if ((share >= decontamination.VERBATIM) | ((share >= decontamination.PARAPHRASE) & (answer >= decontamination.ANSWER))).any():
                 want.add((k, i))
     assert len(want) >= 0.8 * len(items) and len(want & found_by(w, projection, pr)) >= 0.9 * len(want)
@@ -387,46 +390,79 @@ def test_url_query_equals_sql(spark, small):
 # --- near-duplicates ------------------------------------------------------------------------
 
 
+def gram_set(text):
+    """The word tuple of a text and its set of trigrams; a text without words counts as its characters."""
+    own = words(text) or [f"\0{c}" for c in text]
+    return tuple(own), {tuple(own[k : k + 3]) for k in range(max(len(own) - 2, 1))}
+
+
 def brute_groups(rows):
-    """Groups from comparing all pairs by signature distance and by sketch."""
-    sig = simhash_dedup.sign_texts(pa.record_batch([pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.string())], names=["doc_id", "text"]))
-    if sig is None:
-        return {}, set()
-    ids, body = sig.column(0).to_pylist(), sig.column(1).to_pylist()
-    bits = np.frombuffer(b"".join(sig.column(2).to_pylist()), np.uint64).reshape(-1, simhash_dedup.BITS // 64)
-    sketch = [np.frombuffer(s, np.uint64) for s in sig.column(4).to_pylist()]
-    root, pairs = {i: i for i in ids}, set()
+    """Groups, similar pairs of different texts, and links of each text, from comparing all texts' whole trigram sets."""
+    rows = [(i, t) for i, t in rows if i is not None and t]
+    classes = {}
+    for i, t in rows:
+        c, g = gram_set(t)
+        classes.setdefault(c, (g, set()))[1].add(i)
+    sets, ids = [g for g, _ in classes.values()], [m for _, m in classes.values()]
+    holders, pairs = collections.defaultdict(list), set()
+    for n, g in enumerate(sets):
+        shared = collections.Counter(m for x in g for m in holders[x])
+        pairs |= {(m, n) for m, k in shared.items() if k >= simhash_dedup.MIN_JACCARD * (len(g) + len(sets[m]) - k)}
+        for x in g:
+            holders[x].append(n)
+    root = list(range(len(sets)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for i in range(len(ids)):
-        d = simhash_dedup.hamming(bits[i][None], bits[i + 1 :])
-        for j in np.flatnonzero(d <= simhash_dedup.RADIUS) + i + 1:
-            if body[i] == body[j] or simhash_dedup.sketch_jaccard(sketch[i], sketch[j]) >= simhash_dedup.MIN_JACCARD:
-                pairs.add((ids[i], ids[j]))
-                a, b = find(ids[i]), find(ids[j])
-                root[max(a, b)] = min(a, b)
-    groups = {i: find(i) for i in ids}
-    many = {g for i, g in groups.items() if i != g}
-    return {i: g for i, g in groups.items() if g in many}, pairs
-
-
-def test_groups_equal_all_pairs(spark):
-    rows = [(r.doc_id, r.text) for r in table(spark, "/root/testdata/sf0.01", "documents").collect()]
-    want, pairs = brute_groups(rows)
-    got = {r.doc_id: r.group_id for r in simhash_dedup.op10_simhash_dedup(spark, "/root/testdata/sf0.01").collect()}
-    together = sum(got.get(a, a) == got.get(b, b) for a, b in pairs)
-    assert together >= 0.9 * len(pairs) and set(got) <= set(want)
-    assert sum(got.get(i) == g for i, g in want.items()) >= 0.9 * len(want)
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    members = collections.defaultdict(set)
+    for n, m in enumerate(ids):
+        members[find(n)] |= m
+    links = collections.Counter(n for p in pairs for n in p)
+    groups = {i: min(m) for m in members.values() if len(m) > 1 for i in m}
+    return groups, {(min(ids[a]), min(ids[b])) for a, b in pairs}, {i: links[n] for n, m in enumerate(ids) for i in m}
+
+
+@pytest.mark.parametrize("graphs", [False, True])
+def test_groups_and_links_equal_all_pairs(spark, monkeypatch, graphs):
+    """The second run builds a graph in every shard of over 16 members, in blocks of 24 nodes."""
+    if graphs:
+        monkeypatch.setattr(simhash_dedup, "GRAPH_FROM", 16)
+    docs = table(spark, "/root/testdata/sf0.1", "documents")
+    want, pairs, links = brute_groups([(r.doc_id, r.text) for r in docs.collect()])
+    rows = simhash_dedup.near_duplicates(docs, nodes=24 if graphs else simhash_dedup.SHARD_NODES).collect()
+    got, counted = {r.doc_id: r.group_id for r in rows}, {r.doc_id: r.links for r in rows}
+    assert len(pairs) > 500 and len(got) == len(rows) and set(got) <= set(want)
+    assert sum(got.get(a, a) == got.get(b, b) for a, b in pairs) >= 0.95 * len(pairs)
+    assert all(n <= links[i] for i, n in counted.items()) and sum(counted.values()) >= 0.95 * sum(links.values())
+    assert sum(got.get(i) == g for i, g in want.items()) >= 0.95 * len(want)
+    assert {r.doc_id for r in rows if r.kept} == set(got.values())
+
+
+def test_graphs_are_built_in_shards_of_a_shared_passage(make, spark):
+    """A passage that 700 texts share makes shards with graphs; 60 planted pairs among them are all that is linked."""
+    r = random.Random(11)
+    passage = " ".join(f"p{n}" for n in range(25))
+    own = [" ".join(f"w{r.randrange(10**6)}" for _ in range(60)) for _ in range(640)]
+    texts = [f"{passage} {t}" for t in own] + [f"{passage} {t} end{k}" for k, t in enumerate(own[:60])]
+    reps = simhash_dedup.signatures(make(texts))
+    largest = max(r["count"] for r in reps.selectExpr("posexplode(keys) as (t, key)").groupBy("t", "key").count().collect())
+    assert largest > simhash_dedup.GRAPH_FROM
+    rows = simhash_dedup.near_duplicates(make(texts)).collect()
+    got = {r.doc_id: (r.group_id, r.links) for r in rows}
+    assert len(set(got) & set(range(60))) >= 57 and set(got) <= set(range(60)) | set(range(640, 700))
+    assert all(got[i] == (i, 1) and got[640 + i] == (i, 1) for i in got if i < 60)
 
 
 def test_exact_copies_are_always_together(spark, make):
     texts = ["alpha beta gamma delta " * 3, "one", "two words", "Ω", "!!", "  "] * 4
-    got = {r.doc_id: r.group_id for r in simhash_dedup.near_duplicates(make(texts)).collect()}
-    assert got == {i: i % 6 for i in range(24)}
+    rows = simhash_dedup.near_duplicates(make(texts)).collect()
+    assert {r.doc_id: (r.group_id, r.class_id, r.links, r.kept) for r in rows} == {i: (i % 6, i % 6, 0, i < 6) for i in range(24)}
 
 
 def test_small_world_recall_against_exact_search():
@@ -434,31 +470,41 @@ def test_small_world_recall_against_exact_search():
     centres = rng.integers(0, 2, (150, simhash_dedup.BITS), dtype=np.uint8)
     bits = np.repeat(centres, 8, axis=0) ^ (rng.random((1200, simhash_dedup.BITS)) < 0.08).astype(np.uint8)
     sig = np.packbits(bits, axis=1).view(np.uint64)
-    a, b, recall, _ = simhash_dedup.SmallWorld(sig).neighbours(simhash_dedup.RADIUS)
-    want = {(i, j) for i in range(1200) for j in range(i // 8 * 8, i // 8 * 8 + 8) if i != j and simhash_dedup.hamming(sig[i], sig[j]) <= simhash_dedup.RADIUS}
-    assert recall >= 0.9 and len(want & set(zip(a.tolist(), b.tolist()))) >= 0.9 * len(want)
+    world = simhash_dedup.SmallWorld(sig)
+    world.audit(simhash_dedup.RADIUS)
+    got = {(i, j) for a, b in world.range(sig, simhash_dedup.RADIUS) for i, j in zip(a.tolist(), b.tolist())}
+    want = {(i, j) for a, b in simhash_dedup.within(sig, sig, simhash_dedup.RADIUS) for i, j in zip(a.tolist(), b.tolist())}
+    assert world.recall >= 0.9 and got <= want and len(got) >= 0.9 * len(want) and len(want) > 9000
 
 
-@pytest.mark.parametrize("complete", [0, simhash_dedup.COMPLETE])
-def test_more_neighbours_than_the_first_beam_are_all_found(monkeypatch, complete):
-    monkeypatch.setattr(simhash_dedup, "COMPLETE", complete)
+def test_more_neighbours_than_the_beam_are_all_found():
     rng = np.random.default_rng(6)
     centres = rng.integers(0, 2, (4, simhash_dedup.BITS), dtype=np.uint8)
     bits = np.repeat(centres, 150, axis=0) ^ (rng.random((600, simhash_dedup.BITS)) < 0.18).astype(np.uint8)
     sig = np.packbits(bits, axis=1).view(np.uint64)
-    want = {(i, j) for i in range(600) for j in np.flatnonzero(simhash_dedup.hamming(sig[i][None], sig) <= simhash_dedup.RADIUS).tolist() if i < j}
-    got = {(min(i, j), max(i, j)) for a, b in simhash_dedup.bucket_pairs(sig) for i, j in zip(a.tolist(), b.tolist())}
-    assert len(want) > 30_000 and got <= want and len(got) >= (1 if complete else 0.95) * len(want)
+    world = simhash_dedup.SmallWorld(sig)
+    world.beam = 16
+    got = sum(len(a) for a, _ in world.range(sig, simhash_dedup.RADIUS))
+    want = sum(len(a) for a, _ in simhash_dedup.within(sig, sig, simhash_dedup.RADIUS))
+    assert want > 60_000 and got >= 0.95 * want
+
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 30), min_size=1, max_size=25), min_size=2, max_size=8))
+def test_similar_is_the_exact_jaccard(sets):
+    off = np.cumsum([0, *map(len, sets)])
+    m = simhash_dedup.Members(np.arange(len(sets)), None, None, off, np.array(sum(map(sorted, sets), []), np.uint32))
+    i, j = np.triu_indices(len(sets), 1)
+    assert simhash_dedup.similar(m, m, i, j).tolist() == [len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b]) for a, b in zip(i, j)]
 
-def test_a_hot_shard_keeps_all_its_edges(make):
+
+def test_a_hot_shard_in_blocks_keeps_all_its_links(make):
     r = random.Random(11)
     passage = " ".join(f"p{n}" for n in range(60))
     texts = [f"{passage} " + " ".join(f"w{r.randrange(10**6)}" for _ in range(40)) for _ in range(120)]
-    reps = simhash_dedup.signatures(make(texts))
-    whole = {tuple(e) for e in simhash_dedup.candidate_edges(reps).collect()}
-    split = {tuple(e) for e in simhash_dedup.candidate_edges(reps, hot=10).collect()}
-    assert len(whole) > 100 and split == whole
+    whole = sorted(map(tuple, simhash_dedup.near_duplicates(make(texts)).collect()))
+    split = sorted(map(tuple, simhash_dedup.near_duplicates(make(texts), nodes=4).collect()))
+    assert len(whole) > 100 and sum(r[3] for r in whole) > 500 and split == whole
 
 
 def test_components_of_a_long_chain(spark):
@@ -472,5 +518,8 @@ def test_dedup_edge_cases(spark, messy, none, small, make):
     assert got[0] == 0 and got[5] == 0 and not {1, 2, None} & set(got)
     assert simhash_dedup.near_duplicates(none).count() == 0
     kept = simhash_dedup.keep_one(spark, messy, small)
-    ids = [r.doc_id for r in kept.collect()]
-    assert kept.columns == messy.columns and len(ids) == len(set(ids)) and None in ids and 5 not in ids and {0, 1, 2, 3} <= set(ids)
+    ids = sorted(str(r.doc_id) for r in kept.collect())
+    assert kept.columns == messy.columns and ids == sorted(map(str, [0, 0, 1, 2, 3, 4, 6, 7, None, 9, 10, 11]))  # 0 has two texts; 5 copies 0
+    again = make(["one two three four", "other words are here", "one two three four", "one two three four", None, None, ""], [5, 5, 5, 7, 5, 5, 5])
+    kept = simhash_dedup.keep_one(spark, again, small)
+    assert sorted((r.doc_id, str(r.text)) for r in kept.collect()) == [(5, ""), (5, "None"), (5, "None"), (5, "one two three four"), (5, "other words are here")]

@@ -17,7 +17,7 @@ def test_run_equals_stages_on_lists(spark, small):
     model = toxicity.fit(docs, labels)
     score, _ = toxicity.score_rows(model, Words(pa.array([t for _, t in rows])))
     rows = [r for r, s in zip(rows, score) if s < toxicity.THRESHOLD]
-    groups, _ = brute_groups(rows)
+    groups, _, _ = brute_groups(rows)
     rows = [r for r in rows if groups.get(r[0], r[0]) == r[0]]
     left = docs.join(spark.createDataFrame([(i,) for i, _ in rows], "doc_id long"), "doc_id", "left_semi")
     bad = {r.doc_id for r in decontamination.leaks(left, bench).collect()}
