@@ -116,6 +116,15 @@ def test_compatible_pairs_are_those_of_encodings():
     assert VOCAB.compatible(a, b).tolist() == want
 
 
+def test_a_vocabulary_without_a_byte_is_refused(tmp_path):
+    import base64
+
+    path = tmp_path / "v.tiktoken"
+    path.write_text("".join(f"{base64.b64encode(bytes([b])).decode()} {b}\n" for b in range(255)))
+    with pytest.raises(ValueError, match="255"):
+        bpe.Vocabulary(str(path))
+
+
 def test_token_edge_cases(messy, none):
     counts = token_counts.token_counts(messy).collect()
     coded = bpe_codec.encode(messy)
@@ -226,6 +235,61 @@ def test_long_notices_are_found_at_all_offsets_of_a_long_line(model, family):
     assert [(r, f) for r, _, f, _, _ in license_scan.detect(model, pa.array(texts))] == [(r, family) for r in range(48)]
 
 
+HELD_OUT = {
+    "LGPL": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "EPL": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at the given address",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy or use it.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "BSL": "Distributed under the Boost Software License, Version 1.0. (See accompanying file.)",
+    "CC-BY": "This article is licensed under a Creative Commons Attribution 4.0 International License",
+}
+
+
+@pytest.mark.parametrize("family", HELD_OUT)
+def test_notices_in_comments_are_told_from_their_siblings(model, family):
+    text = "int x;\n\n/*\n" + textwrap.fill(HELD_OUT[family], 60, initial_indent=" * ", subsequent_indent=" * ") + "\n */\nint main() { return 0; }"
+    assert [f for _, _, f, _, _ in license_scan.detect(model, pa.array([text]))] == [family]
+
+
+def brute_likeness(template, text, weight):
+    best = 0.0
+    for mask in range(1 << len(template)):
+        part = [t for k, t in enumerate(template) if mask >> k & 1]
+        it = iter(text)
+        if all(x in it for x in part):
+            best = max(best, sum(weight[x] for x in part))
+    return best / sum(weight[x] for x in template)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), min_size=1, max_size=7), st.lists(st.sampled_from("abcd"), max_size=9))
+def test_likeness_equals_enumeration(template, text):
+    weight = {"a": 0.5, "b": 1.0, "c": 2.5, "d": 4.0}
+    m = license_scan.Model(None, None, 1.0, 0.5, weight)
+    assert m.likeness(template, text) == pytest.approx(brute_likeness(template, text, weight))
+
+
+def test_confirmed_families_equal_all_comparisons(model):
+    """Every notice and every pair of halves: the family of the greatest likeness, then weight, then the first."""
+    every = [(f, t) for f, notices in license_scan._templates().items() for t in notices]
+    texts = [t for _, t in every] + [a[: len(a) // 2] + b[len(b) // 2 :] for (_, a), (_, b) in zip(every, every[7:])]
+    for own in texts:
+        best = max(((round(model.likeness(t, own), 6), sum(model.rarity[w] for w in t), -k) for k, (_, t) in enumerate(every)))
+        family, like, _ = license_scan.confirm(model, list(license_scan.NOTICES), own)
+        assert (family, like) == (every[-best[2]][0], best[0]) if best[0] >= license_scan.CONFIRM else like < license_scan.CONFIRM
+
+
+def test_sample_takes_the_least_hashes_once(spark, make, monkeypatch):
+    taken = []
+    monkeypatch.setattr(license_scan, "train", lambda texts: taken.append(texts.to_pylist()))
+    texts = ["the same text"] * 500 + [f"text {k}" for k in range(40)] + [None, ""]
+    license_scan.fit(make(texts), limit=10)
+    hashes = {r.text: r.h for r in make(texts).where("length(text) > 0").select("text", F.xxhash64("text").alias("h")).collect()}
+    assert taken == [sorted(hashes, key=hashes.get)[:10]]
+
+
 def test_scores_equal_a_plain_sum(model):
     p = license_scan.paragraphs(pa.array(["one two three\nfour", "five " * 200]))
     one, two = license_scan._slots(p.words)
