@@ -10,8 +10,14 @@ segments; training texts are generated here from grammars of each kind among
 look-alikes (versions, dates, keys, order numbers).
 
 An entity has an ``@`` or at least four digits, so the field runs on *islands*:
-runs of blank-separated chunks that each have a digit or ``@``. Tokens
-elsewhere could only be outside, so this loses nothing. Islands may be of any length.
+runs of chunks with a digit or ``@``, parted by at most ``MAX_BLANK`` white space
+characters of any kind and at most one chunk without (``MAX_COLD`` bytes: a bank
+code, a lone dash) between two of them. An entity with more than that inside is
+outside the model. Islands may be of any length.
+
+The field is fitted on ``TRAIN_TEXTS`` generated texts; islands of over
+``TRAIN_TOKENS`` tokens are left out of training only. Decoding skips only
+segments that cannot be on the best path.
 
 Defined results: null and empty texts have no entities; entities never overlap;
 repeated rows repeat; of equal paths the one with the earlier, longer and first
@@ -35,15 +41,18 @@ from pyspark.sql import types as T
 from inkstrata.llm.textvec import map_text, table, utf8_parts
 
 KINDS = ("EMAIL", "PHONE", "IP", "CARD", "SSN", "IBAN")
-MAX_TOKENS, MAX_GAPS = 20, 6
+MAX_TOKENS, MAX_GAPS = 20, 10
+#: White space characters between two chunks of an island, and bytes of a chunk without digits inside it.
+MAX_BLANK, MAX_COLD = 2, 4
 FEATURES = 1 << 16
-TRAIN_TEXTS = 2600
+TRAIN_TEXTS, TRAIN_TOKENS = 2600, 60
 #: Tokens whose segments are scored at once; the path does not depend on it.
 BLOCK = 512
 SCHEMA = "doc_id bigint, kind string, begin_pos int, end_pos int, score double"
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _DIGITS = re.compile("[0-9]")
 _RUN = re.compile(r"[0-9]+|[^\W\d_]+|\s+")
+_SIX = re.compile(r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=(?:[^:]*:){2,7}[^:]*$)(?:[0-9A-Fa-f]{1,4}:)+(?::[0-9A-Fa-f]{1,4})+")
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _HOT = np.zeros(256, dtype=bool)
@@ -53,7 +62,7 @@ _HOT[[*range(48, 58), 64]] = True
 
 
 def islands(text: pa.Array) -> list[tuple[int, int, int]]:
-    """(row, first character, end character) of every run of chunks with a digit or ``@``."""
+    """(row, first character, end character) of every run of chunks with a digit or ``@`` and what may part them."""
     off, b = utf8_parts(text)
     if not len(b) or not _HOT[b].any():
         return []
@@ -66,14 +75,20 @@ def islands(text: pa.Array) -> list[tuple[int, int, int]]:
     at = np.flatnonzero(edge)
     start, stop = at[:-1], at[1:]
     hot = np.add.reduceat(_HOT[b].astype(np.int32), start) > 0
-    start, stop = start[hot], stop[hot]
-    row = np.searchsorted(off, start, side="right") - 1
-    joined = (start[1:] == stop[:-1] + 1) & (b[np.minimum(stop[:-1], len(b) - 1)] == 32) & (row[1:] == row[:-1])
+    chunk = ink[start]
+    start, stop, hot = start[chunk], stop[chunk], hot[chunk]
+    near = np.append(start[1:] - stop[:-1] <= MAX_BLANK, False)  # to the next chunk
+    short = stop - start <= MAX_COLD
+    h = np.flatnonzero(hot)
+    row = np.searchsorted(off, start[h], side="right") - 1
+    step, a = np.diff(h), h[:-1]
+    mid = np.minimum(a + 1, len(start) - 1)
+    joined = (row[1:] == row[:-1]) & near[a] & ((step == 1) | (step == 2) & short[mid] & near[mid])
     first = np.flatnonzero(np.concatenate([[True], ~joined]))
-    last = np.append(first[1:] - 1, len(start) - 1)
+    last = np.append(first[1:] - 1, len(h) - 1)
     chars = np.concatenate([[0], np.cumsum((b & 0xC0) != 0x80)])
     base = chars[off[row[first]]]
-    return list(zip(row[first].tolist(), (chars[start[first]] - base).tolist(), (chars[stop[last]] - base).tolist()))
+    return list(zip(row[first].tolist(), (chars[start[h[first]]] - base).tolist(), (chars[stop[h[last]]] - base).tolist()))
 
 
 def _luhn(digits: str) -> bool:
@@ -124,6 +139,7 @@ def span_features(text: str, begin: int, end: int, tokens: int, left: int, right
     loose = _shape(s, False)
     parts = s.split(".")
     octets = len(parts) == 4 and all(p.isdecimal() and len(p) <= 3 and int(p) <= 255 for p in parts)
+    six = ":" in s and _SIX.fullmatch(s) is not None
     at = s.count("@")
     mail = at == 1 and 0 < s.index("@") < len(s) - 3 and "." in s[s.index("@") :] and " " not in s and "/" not in s
     tail = re.search(r"\.([A-Za-z]{2,6})$", s)
@@ -133,9 +149,9 @@ def span_features(text: str, begin: int, end: int, tokens: int, left: int, right
     return [
         _slot(x)
         for x in (
-            "bias", f"s{_shape(s, True)}", f"l{loose}", f"d{min(n, 30)}", f"t{tokens}|{at}", f"@{mail}|{simple}|{bool(tail)}", f"o{octets}|{n}",
-            f"c{check}|{n}|{loose}", f"b{b}|{s[0] if not s[0].isalnum() else 'w'}", f"a{a}", f"ba{b}|{a}|{mail}|{octets}|{check}", f"p{word.group(1).lower() if word else ''}",
-            f"x{mail}{octets}{check}|{b == ' ' or b in '(<'}|{a in (' ', 'stop')}", f"z{loose[:6]}|{n}|{b == ' '}|{a in (' ', 'stop')}",
+            "bias", f"s{_shape(s, True)}", f"l{loose}", f"d{min(n, 30)}", f"t{tokens}|{at}", f"@{mail}|{simple}|{bool(tail)}", f"o{octets}{six}" if six else f"o{octets}|{n}",
+            f"c{check}|{n}|{loose}", f"b{b}|{s[0] if not s[0].isalnum() else 'w'}", f"a{a}", f"ba{b}|{a}|{mail}|{octets}|{check}|{six}", f"p{word.group(1).lower() if word else ''}",
+            f"x{mail}{octets}{check}{six}|{b == ' ' or b in '(<'}|{a in (' ', 'stop')}", f"z{loose[:6]}|{n}|{b == ' '}|{a in (' ', 'stop')}",
         )
     ]
 
@@ -188,7 +204,9 @@ def viterbi(n: int, blocks: Iterable[tuple[int, list]], model: Model) -> list[tu
     """
     trans = model.trans.tolist()
     states = range(len(KINDS) + 1)
-    reach = [max(trans[q][t] for q in states) for t in states]
+    # what entering a kind, and leaving it, can gain over staying outside
+    enter = [max(trans[q][t] - trans[q][0] for q in states) for t in states]
+    leave = [max(0.0, *(trans[t][q] - trans[0][q] for q in states)) for t in states]
     value = [[0.0] + [-1e30] * len(KINDS)]
     back: list[list] = [[None] * len(states)]
     for stop, found in blocks:
@@ -200,8 +218,9 @@ def viterbi(n: int, blocks: Iterable[tuple[int, list]], model: Model) -> list[tu
             own, steps = [prev[p] + trans[p][0]] + [-1e30] * len(KINDS), [(j - 1, p, 0.0)] + [None] * len(KINDS)
             while k < len(found) and found[k][1] == j:
                 i = found[k][0]
+                least = (j - i - 1) * trans[0][0]
                 for t, s in enumerate(score[k], 1):
-                    if s <= 0 and reach[t] + s < -20:
+                    if enter[t] + s + leave[t] < least:  # the same tokens outside are better whatever comes next
                         continue
                     p = max(states, key=lambda q: value[i][q] + trans[q][t])
                     v = value[i][p] + trans[p][t] + s
@@ -272,7 +291,7 @@ def fit(texts: list[tuple[str, list[tuple[int, int, str]]]], rounds: int = 9, l2
         gold_at = {(b, e): KINDS.index(k) for b, e, k in entities}
         for _, left, right in islands(pa.array([text])):
             spans, found = segments(text, left, right)
-            if not found or len(spans) > 60:
+            if not found or len(spans) > TRAIN_TOKENS:
                 continue
             gold = [k for k, (i, j, _) in enumerate(found) if (spans[i][0], spans[j - 1][1]) in gold_at]
             data.append((len(spans), found, [(k, gold_at[(spans[found[k][0]][0], spans[found[k][1] - 1][1])]) for k in gold]))
@@ -348,17 +367,29 @@ def make_entity(r: Random, kind: str) -> str:
         return out.upper() if r.random() < 0.05 else out
     if kind == "PHONE":
         a, b, c = str(r.randint(2, 9)) + d(2), d(3), d(4)
-        return r.choice([f"+1 ({a}) {b}-{c}", f"+1 ({a}) 555-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+1-{a}-{b}-{c}", f"+1 {a} {b} {c}", f"+{r.randint(20, 99)} {d(2)} {d(4)} {d(4)}", f"+{r.randint(20, 99)} {d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"+{r.randint(20, 99)}{d(10)}", f"1-{a}-{b}-{c}"])
+        return r.choice([f"+1 ({a}) {b}-{c}", f"+1 ({a}) 555-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+1-{a}-{b}-{c}", f"+1 {a} {b} {c}", f"+{r.randint(20, 99)} {d(2)} {d(4)} {d(4)}", f"+{r.randint(20, 99)} {d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"+{r.randint(20, 99)}{d(10)}", f"1-{a}-{b}-{c}", f"{a} - {b} - {c}"])
     if kind == "IP":
-        if r.random() < 0.12:
+        if r.random() < 0.3:
+            part = lambda: "".join(r.choice("0123456789abcdef") for _ in range(r.randint(2, 4)))
+            if r.random() < 0.6:
+                s = r.choice(["2001:db8::", "fe80::", "fe80::", "2a01:4f8::", part() + "::", part() + ":" + part() + "::"]) + ":".join(part() for _ in range(r.randint(1, 5)))
+                return s if len(_DIGITS.findall(s)) >= 4 else "2001:db8::1"
             return ":".join("".join(r.choice("0123456789abcdef") for _ in range(4)) for _ in range(8))
         return ".".join(str(r.randint(1 if i == 0 else 0, 255)) for i in range(4))
     if kind == "CARD":
         return _card(r)
     if kind == "SSN":
         return f"{r.randint(1, 899):03d}-{d(2)}-{d(4)}"
-    iban = r.choice(["DE", "FR", "ES", "GB", "NL", "IT"]) + d(2) + d(r.choice([14, 18, 20]))
-    return " ".join(iban[i : i + 4] for i in range(0, len(iban), 4)) if r.random() < 0.4 else iban
+    bank = _letters(r, 4, 4, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    iban = r.choice([
+        lambda: r.choice(["DE", "FR", "ES", "IT", "PL"]) + d(2) + d(r.choice([14, 18, 20, 24])), lambda: "GB" + d(2) + bank + d(14), lambda: "NL" + d(2) + bank + d(10), lambda: "IE" + d(2) + bank + d(14), lambda: "MT" + d(2) + bank + d(23),
+    ])()
+    return " ".join(iban[i : i + 4] for i in range(0, len(iban), 4)) if r.random() < 0.5 else iban
+
+
+def _parted(r: Random, s: str) -> str:
+    """Now and then with other white space than single blanks."""
+    return s.replace(" ", r.choice(["  ", "\t", "\n", "\u00a0"])) if " " in s and r.random() < 0.15 else s
 
 
 def make_other(r: Random) -> str:
@@ -370,7 +401,7 @@ def make_other(r: Random) -> str:
         lambda: f"{r.randint(1, 28):02d}/{r.randint(1, 12):02d}/{r.randint(1990, 2030)}", lambda: f"{r.randint(1, 28)}.{r.randint(1, 12)}.{r.randint(1990, 2030)}", lambda: f"{r.randint(0, 23):02d}:{d(2)}:{d(2)}", lambda: f"${r.randint(1, 999)},{d(3)}.{d(2)}", lambda: str(r.randint(1, 10**r.randint(1, 9))),
         lambda: d(r.choice([10, 12, 14, 15, 17, 18, 20, 24])), lambda: _card(r, False), lambda: hexa(r.choice([16, 18, 32, 40, 64])), lambda: f'token = "{hexa(40)}"', lambda: f"password={hexa(18)}", lambda: "AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(16)),
         lambda: f"http://{_letters(r, 3, 8)}.example.com/en/{d(4)}?page={d(1)}", lambda: "@" + _letters(r, 3, 9), lambda: f"{_letters(r, 1, 4)} @ {_letters(r, 1, 4)}", lambda: f"{r.randint(256, 999)}.{r.randint(256, 999)}.{d(3)}.{d(1)}", lambda: f"ID-{d(6)}", lambda: f"{d(2)}%", lambda: f"{d(3)}-{d(3)}", lambda: f"{d(4)}-{d(4)}",
-        lambda: f"CC BY-NC {r.randint(1, 4)}.0.", lambda: f"version {r.randint(1, 5)}", lambda: f"{_letters(r, 3, 8)}{d(2)}", lambda: f"{d(1)}x{d(2)}", lambda: f"{r.randint(1, 99)} {r.randint(1, 99)} {r.randint(1, 999)}", lambda: f"{d(4)} {d(4)}", lambda: f"{d(3)}.{d(3)}.{d(3)},{d(2)}", lambda: f"ISBN 978-{d(1)}-{d(4)}-{d(4)}-{d(1)}",
+        lambda: f"CC BY-NC {r.randint(1, 4)}.0.", lambda: f"version {r.randint(1, 5)}", lambda: f"{_letters(r, 3, 8)}{d(2)}", lambda: f"{d(1)}x{d(2)}", lambda: f"{r.randint(1, 99)} {r.randint(1, 99)} {r.randint(1, 999)}", lambda: f"{d(4)} {d(4)}", lambda: f"{d(3)}.{d(3)}.{d(3)},{d(2)}", lambda: r.choice(["\t", "\n", "  ", " - "]).join(d(r.randint(1, 4)) for _ in range(r.randint(2, 6))), lambda: f"{r.randint(0, 23):02d}:{d(2)} - {r.randint(0, 23):02d}:{d(2)}", lambda: f"{hexa(2)}:{hexa(2)}:{hexa(2)}:{d(2)}:{hexa(2)}:{d(2)}", lambda: f"{_letters(r, 4, 4).upper()} {d(4)} {d(4)}", lambda: f"ISBN 978-{d(1)}-{d(4)}-{d(4)}-{d(1)}",
     ])()
 
 
@@ -390,7 +421,7 @@ def training_texts(n: int = TRAIN_TEXTS, seed: int = 20) -> list[tuple[str, list
                 if r.random() < 0.15:
                     text += r.choice(cues[kind]) + r.choice([" ", ": ", ":"])
                 text += (opening := r.choice(["", "", "", "", "", "(", "<", '"']))
-                s = make_entity(r, kind)
+                s = _parted(r, make_entity(r, kind))
                 entities.append((len(text), len(text) + len(s), kind))
                 text += s + {"(": ")", "<": ">", '"': '"', "": r.choice(["", "", "", ".", ","])}[opening]
             else:
