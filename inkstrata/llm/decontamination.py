@@ -44,6 +44,7 @@ SLACK = 6  # words of context on either side of a window that its check may use
 ITEMS_PER_PASS = 4096
 _GROUP, _BLOCK = 8192, 1024  # words and sums per inner block, so that the vectors at work stay in cache
 _SLICE = 1 << 19  # bytes of text handled at once
+_PROBES = 64  # probes compared with all windows of a slice at once
 
 SCHEMA = "doc_id bigint, item_id bigint, cosine double, overlap double, answer double"
 
@@ -234,47 +235,6 @@ def _window_vectors(unit: np.ndarray, k: int, made: dict[int, np.ndarray]) -> np
     return made[k]
 
 
-def candidates(w: Words, projection: np.ndarray, pr: Probes) -> tuple[np.ndarray, ...]:
-    """(first word, end word, row, probe, cosine) of every window and probe of at least ``MIN_COSINE``."""
-    slot = _slot(w.hash)
-    tiles = -(-w.counts // TILE)
-    toff = np.concatenate([[0], np.cumsum(tiles)])
-    row = np.repeat(np.arange(w.n), tiles)
-    within = np.arange(len(row)) - toff[row]
-    first = w.off[row] + within * TILE
-    out: list[tuple[np.ndarray, ...]] = []
-    if not len(first):
-        return tuple(np.zeros(0) for _ in range(5))
-    unit = _sums(projection, slot, first)
-    made: dict[int, np.ndarray] = {}
-    for li in np.unique(pr.length):
-        k = int(LENGTHS[li])
-        own = np.flatnonzero(pr.length == li)
-        sums = _window_vectors(unit, k, made)
-        stride = 1 if k <= 8 else 2
-        left = tiles[row] - within
-        full = (left >= k) & ((within % stride == 0) | (left == k))
-        at = np.flatnonzero(full)
-        short = np.flatnonzero((tiles < k) & (tiles > 0))
-        vectors = [(at, None)]
-        if len(short):
-            vectors.append((toff[short], np.stack([unit[toff[i] : toff[i + 1]].sum(0) for i in short])))
-        for where, given in vectors:
-            for a in range(0, len(where), 4096):
-                part = where[a : a + 4096]
-                v = sums[part] if given is None else given[a : a + 4096]
-                v = v / (np.sqrt(np.einsum("ij,ij->i", v, v)) + 1e-12)[:, None]
-                cos = v @ pr.vector[own].T
-                hit, probe = np.divmod(np.flatnonzero(cos >= np.float32(MIN_COSINE)), len(own))
-                if len(hit):
-                    t = part[hit]
-                    end = np.minimum(first[t] + k * TILE, w.off[row[t] + 1])
-                    out.append((first[t], end, row[t], own[probe], cos[hit, probe]))
-    if not out:
-        return tuple(np.zeros(0) for _ in range(5))
-    return tuple(np.concatenate(x) for x in zip(*out))
-
-
 def common_subsequence(seq: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Length of the longest common subsequence of a probe and each run ``seq[lo:hi]`` of words, given by their positions in the probe.
 
@@ -295,51 +255,76 @@ def common_subsequence(seq: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.nd
     return out
 
 
-def verify(w: Words, found: tuple[np.ndarray, ...], pr: Probes) -> list[np.ndarray]:
-    """(row, item, cosine, overlap, answer) of the candidates that pass, the best of each row and item.
+def _windows(w: Words, unit: np.ndarray, toff: np.ndarray, k: int, made: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Unit vector, row, first and end word of all windows of ``k`` tiles; a shorter row is one window."""
+    tiles = np.diff(toff)
+    row = np.repeat(np.arange(w.n), tiles)
+    within = np.arange(len(row)) - toff[row]
+    sums = _window_vectors(unit, k, made)
+    left = tiles[row] - within
+    at = np.flatnonzero((left >= k) & ((within % (1 if k <= 8 else 2) == 0) | (left == k)))
+    short = np.flatnonzero((tiles < k) & (tiles > 0))
+    v = sums[at]
+    if len(short):
+        v = np.vstack([v, np.stack([unit[toff[i] : toff[i + 1]].sum(0) for i in short])])
+    v /= (np.sqrt(np.einsum("ij,ij->i", v, v)) + 1e-12)[:, None]
+    rows = np.concatenate([row[at], short])
+    start = w.off[rows] + np.concatenate([within[at], np.zeros(len(short), np.int64)]) * TILE
+    return v, rows, start, np.minimum(start + k * TILE, w.off[rows + 1])
+
+
+def find(w: Words, projection: np.ndarray, pr: Probes) -> list[np.ndarray]:
+    """(row, item, cosine, overlap, answer) of what the texts leak, the best of each row and item.
 
-    Words that a probe lacks cannot take part in a common subsequence: only the others are looked at, and a window with fewer
-    of them than ``PARAPHRASE`` asks for is out before any comparison.
+    Every window and probe of at least ``MIN_COSINE`` is a candidate. Words that a probe lacks cannot take part in a common
+    subsequence: only the others are looked at, and a window with fewer of them than ``PARAPHRASE`` asks for is out at once.
     """
-    start, end, row, probe, cosine = found
-    if not len(start):
-        return [np.zeros(0)] * 5
-    number = np.searchsorted(pr.vocab, w.hash)
-    word = np.where(pr.vocab[np.minimum(number, len(pr.vocab) - 1)] == w.hash, number + 1, 0)
-    known = np.flatnonzero(word)
-    word = word[known]
-    by = np.argsort(probe, kind="stable")
-    start, end, row, probe, cosine = (x[by] for x in (start, end, row, probe, cosine))
-    s, e = np.maximum(start - SLACK, w.off[row]), np.minimum(end + SLACK, w.off[row + 1])
-    cut = np.concatenate([[0], np.flatnonzero(probe[1:] != probe[:-1]) + 1, [len(probe)]])
-    table = np.zeros(len(pr.vocab) + 1, U64)
+    none = [np.zeros(0)] * 5
+    toff = np.concatenate([[0], np.cumsum(-(-w.counts // TILE))])
+    if not toff[-1]:
+        return none
+    first = np.repeat(w.off[:-1], np.diff(toff)) + (np.arange(toff[-1]) - np.repeat(toff[:-1], np.diff(toff))) * TILE
+    unit = _sums(projection, _slot(w.hash), first)
+    number = np.minimum(np.searchsorted(pr.vocab, w.hash), len(pr.vocab) - 1)
+    known = np.flatnonzero(pr.vocab[number] == w.hash)
+    word = number[known] + 1
+    table, cum = np.zeros(len(pr.vocab) + 1, U64), np.zeros(len(known) + 1, np.int32)
+    made: dict[int, np.ndarray] = {}
     keep: list[tuple] = []
-    for a, z in zip(cut[:-1].tolist(), cut[1:].tolist()):
-        p = int(probe[a])
-        own = pr.number[pr.off[p] : pr.off[p + 1]]
-        table[own] = pr.mask[pr.off[p] : pr.off[p + 1]]
-        at = table[word]
-        hit = np.flatnonzero(at)
-        seq, place = at[hit], known[hit]
-        table[own] = 0
-        lo, hi = np.searchsorted(place, s[a:z]), np.searchsorted(place, e[a:z])
-        n = int(pr.size[p])
-        some = np.flatnonzero(hi - lo >= PARAPHRASE * n)
-        share = common_subsequence(seq, lo[some], hi[some]) / n
-        good = np.flatnonzero(share >= PARAPHRASE)
-        if not len(good):
-            continue
-        some, share = some[good], share[good]
-        answer = common_subsequence(seq & pr.tail[p], lo[some], hi[some]) / max(int(np.bitwise_count(pr.tail[p])), 1)
-        good = np.flatnonzero((share >= VERBATIM) | (answer >= ANSWER))
-        some = a + some[good]
-        keep.append((row[some], np.full(len(some), pr.item[p]), cosine[some], share[good], answer[good]))
+    for li in np.unique(pr.length):
+        own = np.flatnonzero(pr.length == li)
+        v, row, start, end = _windows(w, unit, toff, int(LENGTHS[li]), made)
+        s = np.searchsorted(known, np.maximum(start - SLACK, w.off[row]))
+        e = np.searchsorted(known, np.minimum(end + SLACK, w.off[row + 1]))
+        for a in range(0, len(own), _PROBES):
+            cosine = pr.vector[own[a : a + _PROBES]] @ v.T
+            for p, cos in zip(own[a : a + _PROBES].tolist(), cosine):
+                at = np.flatnonzero(cos >= np.float32(MIN_COSINE))
+                if not len(at):
+                    continue
+                mine = slice(pr.off[p], pr.off[p + 1])
+                table[pr.number[mine]] = pr.mask[mine]
+                places = table[word]
+                table[pr.number[mine]] = 0
+                hit = places != 0
+                np.cumsum(hit, out=cum[1:])
+                lo, hi, n = cum[s[at]], cum[e[at]], int(pr.size[p])
+                some = hi - lo >= PARAPHRASE * n
+                at, lo, hi, seq = at[some], lo[some], hi[some], places[hit]
+                share = common_subsequence(seq, lo, hi) / n
+                some = share >= PARAPHRASE
+                at, lo, hi, share = at[some], lo[some], hi[some], share[some]
+                if not len(at):
+                    continue
+                answer = common_subsequence(seq & pr.tail[p], lo, hi) / max(int(np.bitwise_count(pr.tail[p])), 1)
+                good = (share >= VERBATIM) | (answer >= ANSWER)
+                keep.append((row[at[good]], np.full(int(good.sum()), pr.item[p]), cos[at[good]], share[good], answer[good]))
     if not keep:
-        return [np.zeros(0)] * 5
+        return none
     r, item, c, share, answer = (np.concatenate(k) for k in zip(*keep))
     order = np.lexsort((-c, -answer, -share, item, r))
     r, item, c, share, answer = r[order], item[order], c[order], share[order], answer[order]
-    best = np.concatenate([[True], (r[1:] != r[:-1]) | (item[1:] != item[:-1])])
+    best = np.concatenate([[True], (r[1:] != r[:-1]) | (item[1:] != item[:-1])]) if len(r) else np.zeros(0, bool)
     return [x[best] for x in (r, item, c, share, answer)]
 
 
@@ -358,10 +343,6 @@ def _passes(docs: DataFrame, benchmark: DataFrame) -> tuple[np.ndarray, list[Pro
     return projection, [p for p in made if p is not None]
 
 
-def find(w: Words, projection: np.ndarray, pr: Probes) -> list[np.ndarray]:
-    return verify(w, candidates(w, projection, pr), pr)
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Every document and benchmark item that it leaks."""
     projection, passes = _passes(docs, benchmark)
