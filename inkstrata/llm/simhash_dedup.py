@@ -163,10 +163,10 @@ class SmallWorld:
             done += len(new)
         self.beam, self.recall = 16, 1.0
 
-    def _spread(self, count: int, done: int) -> np.ndarray:
-        """Two entry nodes among the first ``done`` for each of ``count`` queries."""
-        at = np.arange(count)
-        return np.stack([self.order[at * 7 % done], self.order[(at * 13 + done // 2) % done]], 1)
+    def _spread(self, count: int, done: int, k: int = 16) -> np.ndarray:
+        """``k`` entry nodes, spread evenly over the first ``done`` and turned from query to query, for each of ``count`` queries."""
+        k = min(k, done)
+        return self.order[(np.arange(count)[:, None] * 7 + np.arange(k)[None] * (done // k)) % done]
 
     def _exact(self, q: np.ndarray, pool: np.ndarray) -> np.ndarray:
         """The closest LINKS of ``pool`` for each of ``q``."""
@@ -246,23 +246,27 @@ class SmallWorld:
         A beam of a sixteenth of the shard costs more than exact search; then ``beam`` is the whole shard and recall 1.
         """
         probe = self.order[:: max(1, self.n // self.PROBES)]
-        want = sum(len(a) for a, _ in within(self.sig[probe], self.sig, radius))
+        want = sum(len(a) for a, _ in within(self.sig[probe], self.sig, radius)) - len(probe)  # less themselves
         self.beam = 16
         while self.beam * 16 < self.n:
-            got = sum(len(a) for a, _ in self.range(self.sig[probe], radius))
+            got = sum(int((b != probe[a]).sum()) for a, b in self.range(self.sig[probe], radius, probe))
             self.recall = got / want if want else 1.0
             if got >= target * want:
                 return
             self.beam *= 2
         self.beam, self.recall = self.n, 1.0
 
-    def range(self, q: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(row of ``q``, node) within ``radius``; where the whole beam is that near there may be more, and all nodes are compared."""
+    def range(self, q: np.ndarray, radius: int, own: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row of ``q``, node) within ``radius``; where the whole beam is that near there may be more, and all nodes are compared.
+
+        Queries that are the nodes ``own`` enter at their own links, others at nodes spread over the graph.
+        """
         for a in range(0, len(q), 4096):
             part = q[a : a + 4096]
             rest = np.arange(len(part))
             if self.beam < self.n:
-                found = self.search(part, self._spread(len(part), self.n), self.beam)
+                entry = self._spread(len(part), self.n, self.beam) if own is None else self.adj[own[a : a + 4096], : self.LINKS]
+                found = self.search(part, entry, self.beam)
                 near = np.where(found >= 0, hamming(part[:, None], self.sig[found]), BITS + 1)
                 full = near.max(1) <= radius
                 row, col = np.nonzero((near <= radius) & ~full[:, None])
@@ -395,7 +399,7 @@ class Shard:
                 self._verify(self.nodes, i[i < j], j[i < j])
             return
         codes = []
-        for i, j in self.world.range(self.nodes.sig, self.radius):
+        for i, j in self.world.range(self.nodes.sig, self.radius, np.arange(n)):
             other = i != j
             codes.append(np.unique(np.minimum(i, j)[other] * n + np.maximum(i, j)[other]))
             if sum(map(len, codes)) > 1 << 22:  # a pair is found from either side; both ends are here before it is verified
@@ -406,6 +410,8 @@ class Shard:
 
     def query(self, q: Members) -> None:
         if self.nodes is None:
+            if not self.parts:  # no member has this block
+                return
             self.build()
         found = self.world.range(q.sig, self.radius) if self.world is not None else within(q.sig, self.nodes.sig, self.radius)
         for i, j in found:
@@ -429,7 +435,7 @@ def _links_of_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         for s, e in zip(cut[:-1].tolist(), cut[1:].tolist()):
             here = (int(t[s]), int(key[s]), int(unit[s]))
             if here != at:
-                if shard is not None and shard.nodes is None:
+                if shard is not None and shard.parts:
                     shard.build()
                 if len(links.count) > 1 << 16:
                     yield links.rows()
@@ -440,7 +446,7 @@ def _links_of_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 shard.query(part)
             else:
                 shard.parts.append(part)
-    if shard is not None and shard.nodes is None:
+    if shard is not None and shard.parts:
         shard.build()
     if links.count:
         yield links.rows()
