@@ -22,11 +22,14 @@ _NONE = 1 << 40
 
 
 class Vocabulary:
-    """Ranks of byte strings; the rank is the token's number."""
+    """Ranks of byte strings; the rank is the token's number. A file that lacks one of the 256 bytes is an error."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        lacking = [b for b in range(256) if bytes([b]) not in self.ranks]
+        if lacking:
+            raise ValueError(f"{path} has no token for the bytes {lacking}")
         self.size = max(self.ranks.values()) + 1
         self.tokens: list[bytes] = [b""] * self.size
         for t, r in self.ranks.items():
@@ -87,8 +90,8 @@ class Vocabulary:
 
     # --- speculation ------------------------------------------------------------------------
 
-    def greedy(self, word: bytes) -> list[int] | None:
-        """Longest matches from the left; None if a byte has no token."""
+    def greedy(self, word: bytes) -> list[int]:
+        """Longest matches from the left; every byte has a token of its own."""
         if self._longest is None:
             longest: dict[bytes, int] = {}
             for t in self.ranks:
@@ -99,10 +102,8 @@ class Vocabulary:
         out, i = [], 0
         while i < n:
             size = min(longest.get(word[i : i + 2], 1), n - i)
-            while size and (r := ranks.get(word[i : i + size])) is None:
+            while (r := ranks.get(word[i : i + size])) is None:
                 size -= 1
-            if not size:
-                return None
             out.append(r)
             i += size
         return out

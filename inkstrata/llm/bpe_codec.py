@@ -104,8 +104,8 @@ def decode_rows(vocab: Vocabulary, tokens: np.ndarray, off: np.ndarray) -> tuple
     return data, np.concatenate([[0], ends])[off]
 
 
-def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """Tokens of every document, and whether decoding them gives the text again."""
+def encode(docs: DataFrame, path: str = VOCABULARY, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Tokens of every document, and whether decoding them gives the text again; columns ``carried`` along come last."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         enc = encoder(path)
@@ -121,10 +121,12 @@ def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
         else:
             same = np.array([a == b for a, b in zip((bytes(data[s:e]) for s, e in zip(at, at[1:])), (bytes(raw[s:e]) for s, e in zip(want, want[1:])))])
         offsets = pa.array(off.astype(np.int32), mask=np.append(null, False))
-        return pa.record_batch([batch.column(0), pa.array(np.diff(off).astype(np.int32), mask=null), pa.ListArray.from_arrays(offsets, pa.array(tokens)), pa.array(same, mask=null)], names=["doc_id", "n_tokens", "tokens", "round_trip"])
+        out = [batch.column(0), pa.array(np.diff(off).astype(np.int32), mask=null), pa.ListArray.from_arrays(offsets, pa.array(tokens)), pa.array(same, mask=null)]
+        return pa.record_batch([*out, *batch.columns[2:]], names=["doc_id", "n_tokens", "tokens", "round_trip", *carried])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_text(rows, ["doc_id", "text"], "text", run, SCHEMA)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
+    schema = SCHEMA + "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carried)
+    return map_text(rows, rows.columns, "text", run, schema)
 
 
 def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -149,5 +151,5 @@ def op5_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: tokens of every document."""
-    return encode(docs)
+    """Pipeline stage, the last: tokens of every document, with its language and source; repeated ids repeat."""
+    return encode(docs, carried=tuple(c for c in ("lang", "source") if c in docs.columns))

@@ -191,5 +191,11 @@ def ensure_checkpoint(spark: SparkSession) -> None:
     sc.setCheckpointDir(where)
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system; one that is not there is no error."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -266,10 +266,26 @@ def test_blocks_of_tokens_do_not_matter(field, monkeypatch):
     assert pii.find(text, field) == want and (1, "PHONE", 1400, 1417) in {w[:4] for w in want}
 
 
-def test_islands_join_across_single_blanks_only():
-    text = pa.array(["a 1 2 b", "x@y  3\n4", "", "9", "é 5é ü"])
+def test_islands_join_across_short_gaps_only():
+    text = pa.array(["a 1 2 b", "x@y  3\n4", "", "9", "é 5é ü", "1 ab 2 cd ef 3", "1   2", "GB29 NWBK 6016 1331", "415 - 555", "1 abcde 2"])
     got = [(r, text[r].as_py()[b:e]) for r, b, e in pii.islands(text)]
-    assert got == [(0, "1 2"), (1, "x@y"), (1, "3"), (1, "4"), (3, "9"), (4, "5é")]
+    assert got == [(0, "1 2"), (1, "x@y  3\n4"), (3, "9"), (4, "5é"), (5, "1 ab 2"), (5, "3"), (6, "1"), (6, "2"), (7, "GB29 NWBK 6016 1331"), (8, "415 - 555"), (9, "1"), (9, "2")]
+
+
+@pytest.mark.parametrize(
+    "value,kind",
+    [
+        ("GB29 NWBK 6016 1331 9268 19", "IBAN"), ("NL91 ABNA 0417 1643 00", "IBAN"), ("MT84 MALT 0110 0001 2345 MTLC AST0 01S", None), ("PL61 1090 1014 0000 0712 1981 2874", "IBAN"), ("415 - 555 - 0199", "PHONE"), ("+1\t415\t555\t0199", "PHONE"),
+        ("+49  30  1234  5678", "PHONE"), ("4111 1111\n1111 1111", "CARD"), ("4111-1111-1111-1111", "CARD"), ("2001:db8::1", "IP"), ("fe80::1ff:fe23:4567:890a", "IP"), ("10.0.0.255", "IP"), ("078-05-1120", "SSN"), ("2024-11-05", None), ("12:30 - 14:45", None),
+    ],
+)
+def test_forms_of_entities(field, value, kind):
+    text = f"ordinary words {value} and more of them"
+    got = [(k, text[b:e]) for _, k, b, e, _ in pii.find(pa.array([text]), field)]
+    if kind:
+        assert got == [(kind, value)]
+    else:
+        assert value not in [v for _, v in got] or not got
 
 
 def test_pii_edge_cases(spark, messy, none, make, small, field):
@@ -328,6 +344,49 @@ def test_held_out_documents(spark):
     assert some and all(0 <= s < e for r in some for s, e in zip(r.starts, r.ends))
 
 
+def brute_toxicity(model, text):
+    """Score and spans of one text by plain loops over its words; the chain is run forward and backward in probabilities."""
+    if text is None:
+        return None, []
+    if not (own := words(text)):
+        return 0.0, []
+    e = [sum(model.weights[f] for f in toxicity.features(Words(pa.array([w])))[:, 0]) + model.weights[-1] for w in own]
+    t, n = np.exp(model.trans), len(own)
+    forward, backward = np.zeros((n, 2)), np.ones((n, 2))
+    for i in range(n):
+        emit = np.array([1.0, np.exp(e[i])])
+        forward[i] = emit * (np.array([1.0, np.exp(model.start)]) if i == 0 else forward[i - 1] @ t)
+        forward[i] /= forward[i].sum()
+    for i in range(n - 2, -1, -1):
+        backward[i] = t @ (np.array([1.0, np.exp(e[i + 1])]) * backward[i + 1])
+        backward[i] /= backward[i].sum()
+    p = forward * backward
+    p = p[:, 1] / p.sum(1)
+    total = sum(x for x in p if x > 0.01)
+    x = np.array([np.log1p(total), max(p), np.log(max(total, 1e-3) / max(n, 10)), 1.0]) @ model.doc
+    spans, at, low = [], 0, text.lower()
+    for i, w in enumerate(own):
+        at = low.index(w, at)
+        if p[i] >= toxicity.SPAN_MARGINAL:
+            spans = [*spans[:-1], (spans[-1][0], at + len(w))] if i and p[i - 1] >= toxicity.SPAN_MARGINAL else [*spans, (at, at + len(w))]
+        at += len(w)
+    return 1 / (1 + np.exp(-x)), spans
+
+
+def test_query_equals_plain_loops(spark, small):
+    docs, labels = table(spark, small, "documents"), table(spark, small, "labels")
+    model = toxicity.fit(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    some = 0
+    for r in toxicity.op7_toxicity(spark, small).collect():
+        score, spans = brute_toxicity(model, texts[r.doc_id])
+        assert abs(r.score - score) < 1e-5 and r.toxic == (r.score >= toxicity.THRESHOLD) and r.n_spans == len(r.starts)
+        if texts[r.doc_id].isascii():
+            assert list(zip(r.starts, r.ends)) == spans, r.doc_id
+        some += bool(spans)
+    assert some
+
+
 def test_toxicity_edge_cases(spark, messy, none, small):
     labels = table(spark, small, "labels")
     empty = spark.createDataFrame([], labels.schema)
@@ -346,7 +405,12 @@ def test_toxicity_edge_cases(spark, messy, none, small):
 def test_url_parts(spark):
     from pyspark.sql import functions as F
 
-    cases = {"https://Blog.Example.co.uk:80/a": ("blog.example.co.uk", "example.co.uk", "co.uk"), "http://u:p@x.y.com/1?q": ("x.y.com", "y.com", "com"), "ftp://10.0.0.1/x": ("10.0.0.1",) * 3, "http://localhost/": ("localhost", "localhost", "localhost"), "nonsense": (None, None, None), "": (None, None, None), None: (None, None, None)}
+    cases = {
+        "https://Blog.Example.co.uk:80/a": ("blog.example.co.uk", "example.co.uk", "co.uk"), "http://u:p@x.y.com/1?q": ("x.y.com", "y.com", "com"), "ftp://10.0.0.1/x": ("10.0.0.1",) * 3, "http://localhost/": ("localhost", "localhost", "localhost"),
+        "http://a.x.com.ar/1": ("a.x.com.ar", "x.com.ar", "com.ar"), "http://b.me.blogspot.de/": ("b.me.blogspot.de", "me.blogspot.de", "blogspot.de"), "http://a.b.c.ck/": ("a.b.c.ck", "b.c.ck", "c.ck"), "http://a.www.ck/": ("a.www.ck", "www.ck", "ck"), "http://co.uk/": ("co.uk", "co.uk", "co.uk"),
+        "http://[2001:DB8::1]:8080/x": ("[2001:db8::1]",) * 3, "//cdn.x.org/a": ("cdn.x.org", "x.org", "org"), "www.x.org/a": ("www.x.org", "x.org", "org"), "x.org:80": ("x.org", "x.org", "org"),
+        "nonsense": (None, None, None), "/a/b.html": (None, None, None), "mailto:a@b.com": (None, None, None), "": (None, None, None), None: (None, None, None),
+    }
     df = spark.createDataFrame([(u,) for u in cases], "u string").select("u", url_filter.host_of(F.col("u")).alias("h"))
     got = {r.u: (r.h, r.d, r.s) for r in df.select("u", "h", url_filter.domain_of(F.col("h")).alias("d"), url_filter.suffix_of(F.col("h")).alias("s")).collect()}
     assert got == cases
@@ -371,6 +435,8 @@ def test_url_edge_cases(spark):
     labels = spark.createDataFrame([(1, None, None), (1, 1, 0), (1, 0, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")
     out = url_filter.filter_urls(pages, labels).collect()
     assert len(out) == 6 and all(not r.keep and r.bad_rate is None for r in out if r.host is None)
+    clashing = labels.withColumns({"host": labels.doc_id, "n": labels.doc_id, "bad": labels.doc_id, "salt": labels.doc_id})
+    assert sorted(map(repr, url_filter.filter_urls(pages, clashing).collect())) == sorted(map(repr, out))
     assert {r.labelled for r in out if r.host} == {3}
     none = url_filter.filter_urls(pages, spark.createDataFrame([], labels.schema)).where("host is not null").collect()
     assert all(r.bad_rate == pytest.approx(url_filter.NO_DATA) for r in none)
@@ -472,7 +538,7 @@ def test_small_world_recall_against_exact_search():
     sig = np.packbits(bits, axis=1).view(np.uint64)
     world = simhash_dedup.SmallWorld(sig)
     world.audit(simhash_dedup.RADIUS)
-    got = {(i, j) for a, b in world.range(sig, simhash_dedup.RADIUS) for i, j in zip(a.tolist(), b.tolist())}
+    got = {(i, j) for a, b in world.range(sig, simhash_dedup.RADIUS, np.arange(1200)) for i, j in zip(a.tolist(), b.tolist())}
     want = {(i, j) for a, b in simhash_dedup.within(sig, sig, simhash_dedup.RADIUS) for i, j in zip(a.tolist(), b.tolist())}
     assert world.recall >= 0.9 and got <= want and len(got) >= 0.9 * len(want) and len(want) > 9000
 
@@ -484,7 +550,7 @@ def test_more_neighbours_than_the_beam_are_all_found():
     sig = np.packbits(bits, axis=1).view(np.uint64)
     world = simhash_dedup.SmallWorld(sig)
     world.beam = 16
-    got = sum(len(a) for a, _ in world.range(sig, simhash_dedup.RADIUS))
+    got = sum(len(a) for a, _ in world.range(sig, simhash_dedup.RADIUS, np.arange(600)))
     want = sum(len(a) for a, _ in simhash_dedup.within(sig, sig, simhash_dedup.RADIUS))
     assert want > 60_000 and got >= 0.95 * want
 
@@ -501,7 +567,7 @@ def test_similar_is_the_exact_jaccard(sets):
 def test_a_hot_shard_in_blocks_keeps_all_its_links(make):
     r = random.Random(11)
     passage = " ".join(f"p{n}" for n in range(60))
-    texts = [f"{passage} " + " ".join(f"w{r.randrange(10**6)}" for _ in range(40)) for _ in range(120)]
+    texts = [f"{passage} " + " ".join(f"w{r.randrange(10**6)}" for _ in range(20)) for _ in range(120)]
     whole = sorted(map(tuple, simhash_dedup.near_duplicates(make(texts)).collect()))
     split = sorted(map(tuple, simhash_dedup.near_duplicates(make(texts), nodes=4).collect()))
     assert len(whole) > 100 and sum(r[3] for r in whole) > 500 and split == whole

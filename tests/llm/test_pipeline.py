@@ -40,7 +40,15 @@ def test_stages_keep_the_columns_and_take_odd_rows(spark, small, messy, none):
             docs = spark.createDataFrame(stage(spark, docs, small).collect(), docs.schema)
             assert docs.columns == start.columns, name
         out = corpus_pipeline.STAGES[-1][1](spark, docs, small)
-        assert out.count() == docs.count()
+        assert out.count() == docs.count() and {"doc_id", "tokens", "lang", "source"} <= set(out.columns)
+
+
+def test_repeated_ids_keep_their_different_texts(spark, small, make):
+    docs = make(["one two three four five", "quite another text of words", "one two three four five", None], [5, 5, 5, 5])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, small).collect(), docs.schema)
+    assert sorted(str(r.text) for r in docs.collect()) == ["None", "one two three four five", "quite another text of words"]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, small).count() == 3
 
 
 def test_registration():

@@ -19,6 +19,7 @@ def test_row_wise_operators_do_not_shuffle_and_read_two_columns(spark, small, na
 def test_url_filter_reads_only_the_url(spark, small):
     plan = queries.QUERIES["op8_url_filter"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "url:string" in plan and not re.search(r"ReadSchema: struct<[^>]*html", plan)
+    assert len(re.findall(r"FileScan parquet[^\n]*url", plan)) == 1  # the other scan made the counts of hosts, which are checkpointed
 
 
 def test_no_local_checkpoints_or_rows_on_the_driver():
