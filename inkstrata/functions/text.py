@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CURRENCY = "$€£¥,"
 _WORDS = "[0-9a-z]+"
-STOP_WORDS = ("the", "of", "and", "or", "for", "to", "in", "on", "at", "by", "an", "your", "please")
+STOP_WORDS = ("a", "an", "and", "for", "in", "is", "no", "number", "of", "on", "the", "to", "value")
 PALETTE = ("#ffd54f", "#81c784", "#64b5f6", "#e57373", "#ba68c8", "#4db6ac", "#ffb74d", "#a1887f")
 
 
 def strip(x: Column) -> Column:
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
+    return F.btrim(x, F.lit(" \t\n\x0b\f\r"))
+
+
+def let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``x``, which is evaluated once however often ``body`` uses it."""
+    return F.transform(F.array(x), body)[0]
 
 
 def squeeze(x: Column) -> Column:

@@ -61,3 +61,12 @@ def overlaps(words: DataFrame, findings: DataFrame, keys: list[str]) -> DataFram
     """Words that a finding touches: begins before its end, ends after its beginning."""
     f = findings.select(*keys, F.col("begin").alias("f_begin"), F.col("end").alias("f_end"), "entity")
     return words.join(f, keys).where((F.col("begin") < F.col("f_end")) & (F.col("end") > F.col("f_begin")))
+
+
+def words_with_gaps(docs: DataFrame) -> DataFrame:
+    """doc_id, word, text, begin, end: the words of a text between blanks, however many blanks there are."""
+    words, gaps = F.regexp_extract_all("text", F.lit("([^ ]+)"), F.lit(1)), F.split("text", "[^ ]+")
+    rows = docs.select("doc_id", F.posexplode(F.arrays_zip(words.alias("w"), F.slice(gaps, F.lit(1), F.size(words)).alias("g"))).alias("word", "x")).select("doc_id", "word", F.col("x.w").alias("text"), F.length("x.g").alias("gap"))
+    w = Window.partitionBy("doc_id").orderBy("word")
+    end = F.sum(F.col("gap") + F.length("text")).over(w)
+    return rows.withColumn("end", end).withColumn("begin", F.col("end") - F.length("text")).drop("gap")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkstrata.functions import text as fx
 from inkstrata.operators import documents as dm
+from inkstrata.operators.search import first_hits
 from inkstrata.plans.registry import load, query
 from inkstrata.sources import files
 
@@ -93,15 +94,9 @@ def escalation_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.join(scores, "doc_id", "left").groupBy(F.coalesce(why, F.lit("none")).alias("reason")).agg(F.count("*").alias("documents"))
 
 
-@query("search_fallback", """WITH q AS (SELECT item_id, array_to_string(string_split(text, ' ')[1:4], ' ') AS phrase FROM benchmark), hit AS (SELECT item_id, phrase, doc_id, text, instr(lower(text), lower(phrase)) AS place FROM q JOIN documents ON contains(lower(text), lower(phrase)))
+@query("search_fallback", """WITH hit AS (SELECT item_id, b.text AS phrase, doc_id, d.text, instr(lower(d.text), lower(b.text)) AS place FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text)) WHERE b.text <> '')
 SELECT item_id, doc_id, CAST(place AS INTEGER) AS place, CASE WHEN place > 20 + 1 THEN '...' ELSE '' END || substring(text, greatest(place - 20, 1), least(place + length(phrase) + 19, length(text)) - greatest(place - 20, 1) + 1) || CASE WHEN least(place + length(phrase) + 19, length(text)) < length(text) THEN '...' ELSE '' END AS context FROM hit""")
 def search_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First occurrence of each phrase (an item's first four words) in each text, with its surroundings.
-
-    The phrases are few and their size is known, the texts are streamed past them.
-    """
-    phrases = load(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("phrase"))
-    from inkstrata.operators.search import first_hits
-
-    hits = first_hits(load(spark, sf_dir, "documents").select("doc_id", "text"), phrases)
-    return hits.select("item_id", "doc_id", "place", fx.context(F.col("text"), F.col("phrase"), 20).alias("context"))
+    """First occurrence of each whole benchmark text in each text, with its surroundings."""
+    phrases = load(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("phrase"))
+    return first_hits(load(spark, sf_dir, "documents"), phrases)

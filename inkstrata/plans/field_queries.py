@@ -14,15 +14,39 @@ FIELDS = {"email": "[A-Za-z0-9.]+@[A-Za-z0-9.]+[A-Za-z]", "number": "[0-9]+", "f
 INSTANCES = 5
 
 
-def variants(text: Column) -> list[Column]:
-    """What each of the instances reads: the text thrice, in lower case, and without its first line."""
-    return [text, text, text, F.lower(text), F.regexp_replace(text, "^[^\\n]*\\n", "")]
+#: What a text must contain for a field to be there at all: a cheap test before the pattern.
+_NEEDS = {"email": "@", "address": "."}
+#: A match begins where a run of its letters does, so that a long run is tried once and not from each of its letters.
+_FAST = {"email": "(?<![A-Za-z0-9.])" + FIELDS["email"], "address": "(?<![0-9])" + FIELDS["address"]}
 
 
-def nested_candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, text, field, pos and the values of all instances, one row for each field."""
-    fields = [F.struct(F.lit(n).alias("field"), F.lit(i).alias("pos"), F.array(*[F.nullif(F.regexp_extract(v, p, 0), F.lit("")) for v in variants(F.col("text"))]).alias("values")) for i, (n, p) in enumerate(FIELDS.items())]
-    return docs.select("doc_id", "lang", "text", F.explode(F.array(*fields)).alias("f")).select("doc_id", "lang", "text", "f.*")
+def _found(text: Column, field: str) -> Column:
+    hit = F.nullif(F.regexp_extract(text, _FAST.get(field, FIELDS[field]), 0), F.lit(""))
+    return F.when(F.contains(text, F.lit(_NEEDS[field])), hit) if field in _NEEDS else hit
+
+
+def candidates(docs: DataFrame) -> DataFrame:
+    """doc_id, lang, text, source (the text as values are compared with it) and ``fields``: field, pos and the values of all instances.
+
+    The instances read the text thrice, in lower case, and without its first line; each of the three texts is searched once.
+    """
+    parts = docs.select("doc_id", "lang", "text", F.lower("text").alias("low"), F.regexp_replace("text", "^[^\\n]*\\n", "").alias("rest"))
+    found = [_found(F.col(c), n).alias(f"{n}_{c}") for n in FIELDS for c in ("text", "low", "rest")]
+    rows = parts.select("doc_id", "lang", "text", fx.plain(F.col("text")).alias("source"), *found)
+    fields = [F.struct(F.lit(n).alias("field"), F.lit(i).alias("pos"), F.array(*[F.col(f"{n}_{c}") for c in ("text", "text", "text", "low", "rest")]).alias("values")) for i, n in enumerate(FIELDS)]
+    return rows.select("doc_id", "lang", "text", "source", F.array(*fields).alias("fields"))
+
+
+def assessed(docs: DataFrame) -> DataFrame:
+    """doc_id, lang, text and ``fields``: field, pos, values, a (what ``assess`` gives) and found; still one row for each document."""
+    known = candidates(docs).select("doc_id", "lang", "text", "source", F.transform("fields", lambda f: F.struct(f["field"], f["pos"], f["values"], trust.assess(f["values"]).alias("a"))).alias("fields"))
+    found = lambda f: F.coalesce((f["a"]["norm"] != "") & F.contains(F.col("source"), f["a"]["norm"]), F.lit(False))
+    return known.select("doc_id", "lang", "text", F.transform("fields", lambda f: F.struct(f["field"].alias("field"), f["pos"].alias("pos"), f["values"].alias("values"), f["a"].alias("a"), found(f).alias("found"))).alias("fields"))
+
+
+def each_field(docs: DataFrame, *columns: str) -> DataFrame:
+    """One row for each field of ``assessed``; the text stays behind unless it is asked for."""
+    return assessed(docs).select("doc_id", "lang", *columns, F.explode("fields").alias("f")).select("doc_id", "lang", *columns, "f.*")
 
 
 _VARIANTS = ["text", "text", "text", "lower(text)", "regexp_replace(text, '^[^\\n]*\\n', '')"]
@@ -44,16 +68,18 @@ gated AS (SELECT *, found AND (present <= 1 OR agreement = 1.0) AS gate FROM f)"
 
 
 def trusted(docs: DataFrame) -> DataFrame:
-    v, t = F.col("values"), F.col("text")
-    return nested_candidates(docs).select("doc_id", "lang", "field", "pos", "values", trust.majority(v).alias("value"), trust.agreement(v).alias("agreement"), fx.found_in(trust.majority(v), t).alias("found"), trust.trust_gate(v, t).alias("gate"))
+    a = F.col("a")
+    return each_field(docs).select("doc_id", "lang", "field", "pos", "values", F.col("a.value").alias("value"), trust.agreement_of(a).alias("agreement"), "found", trust.gate_of(a, F.col("found")).alias("gate"))
 
 
 @query("field_trust_report", f"""WITH {AGREED},
 d AS (SELECT doc_id, lang, avg(CASE WHEN gate THEN 1.0 ELSE 0.0 END) AS confidence, count(*) FILTER (WHERE gate) AS gated FROM gated GROUP BY ALL)
 SELECT lang, count(*) AS documents, round(avg(confidence), 4) AS confidence, CAST(sum(gated) AS BIGINT) AS gated_fields, count(*) FILTER (WHERE confidence = 1) AS trusted_documents FROM d GROUP BY lang""")
 def field_trust_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gate = F.col("gate").cast("int")
-    per_doc = trusted(load(spark, sf_dir, "documents")).groupBy("doc_id", "lang").agg(F.avg(gate).alias("confidence"), F.sum(gate).alias("gated"))
+    gates = F.transform("fields", lambda f: trust.gate_of(f["a"], f["found"]).cast("int"))
+    sums = assessed(load(spark, sf_dir, "documents")).select("doc_id", "lang", F.aggregate(gates, F.lit(0), lambda s, x: s + x).cast("bigint").alias("gated"), F.size("fields").alias("n"))
+    # the gates of a document are in its row already; rows of one id are one document
+    per_doc = sums.groupBy("doc_id", "lang").agg((F.sum("gated") / F.sum("n")).alias("confidence"), F.sum("gated").alias("gated"))
     return per_doc.groupBy("lang").agg(F.count("*").alias("documents"), F.round(F.avg("confidence"), 4).alias("confidence"), F.sum("gated").alias("gated_fields"), F.count_if(F.col("confidence") == 1).alias("trusted_documents"))
 
 
@@ -61,17 +87,17 @@ def field_trust_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 agree AS (SELECT gated.doc_id, gated.field, count(*) FILTER (WHERE n.norm = gated.norm) AS same FROM gated JOIN n USING (doc_id, field) GROUP BY ALL)
 SELECT doc_id, field, round(same / {INSTANCES}, 4) AS consensus, round(k / {INSTANCES}, 4) AS cluster_share, agreement, (present = {INSTANCES} AND kinds = 1) AS unanimous FROM gated JOIN agree USING (doc_id, field)""")
 def consensus_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.col("values")
-    return nested_candidates(load(spark, sf_dir, "documents")).select("doc_id", "field", trust.consensus(v, trust.majority(v)).alias("consensus"), trust.cluster_share(v).alias("cluster_share"), trust.agreement(v).alias("agreement"), trust.unanimous(v).alias("unanimous"))
+    a = F.col("a")
+    share = F.round(a["top"] / a["total"], 4)
+    return each_field(load(spark, sf_dir, "documents")).select("doc_id", "field", share.alias("consensus"), share.alias("cluster_share"), trust.agreement_of(a).alias("agreement"), ((a["present"] == a["total"]) & (a["kinds"] == 1)).alias("unanimous"))
 
 
 @query("decider_skips", f"""WITH {AGREED}, d AS (SELECT doc_id, lang, bool_and(present = 0 OR (present = {INSTANCES} AND kinds = 1)) AS unanimous FROM gated GROUP BY ALL)
 SELECT lang, count(*) FILTER (WHERE unanimous) AS skipped, count(*) FILTER (WHERE NOT unanimous) AS decided FROM d GROUP BY lang""")
 def decider_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose candidates agree in every field seen anywhere need no decider."""
-    v = F.col("values")
-    unseen = F.forall(v, lambda x: x.isNull())
-    docs = nested_candidates(load(spark, sf_dir, "documents")).groupBy("doc_id", "lang").agg(F.every(unseen | trust.unanimous(v)).alias("unanimous"))
+    agree = F.forall("fields", lambda f: (f["a"]["present"] == 0) | (f["a"]["present"] == f["a"]["total"]) & (f["a"]["kinds"] == 1))
+    docs = assessed(load(spark, sf_dir, "documents")).select("doc_id", "lang", agree.alias("agree")).groupBy("doc_id", "lang").agg(F.every("agree").alias("unanimous"))
     return docs.groupBy("lang").agg(F.count_if("unanimous").alias("skipped"), F.count_if(~F.col("unanimous")).alias("decided"))
 
 
@@ -96,12 +122,11 @@ weak AS (SELECT *, CASE WHEN consensus < 0.7 THEN 'consensus' WHEN NOT found AND
 
 
 @query("verification_queue", f"""WITH {_WEAK}
-SELECT doc_id, field, reason, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rank FROM weak WHERE reason IS NOT NULL) WHERE rank <= 2""")
+SELECT doc_id, field, reason, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rank FROM weak WHERE reason IS NOT NULL) WHERE rank <= 5""")
 def verification_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first two weak fields of each document in schema order, with the first reason that holds."""
-    v = F.col("values")
-    rows = nested_candidates(load(spark, sf_dir, "documents")).select("doc_id", "field", "pos", trust.majority(v).alias("value"), trust.consensus(v, trust.majority(v)).alias("consensus"), fx.found_in(trust.majority(v), F.col("text")).alias("found"))
-    return verification.queue(rows, max_fields=2).select("doc_id", "field", "reason", "rank")
+    """The first five weak fields of each document in schema order, with the first reason that holds."""
+    rows = each_field(load(spark, sf_dir, "documents")).select("doc_id", "field", "pos", F.col("a.value").alias("value"), F.round(F.col("a.top") / F.col("a.total"), 4).alias("consensus"), "found")
+    return verification.queue(rows).select("doc_id", "field", "reason", "rank")
 
 
 @query("verification_apply", f"""WITH {AGREED},

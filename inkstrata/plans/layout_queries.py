@@ -56,17 +56,15 @@ def word_block_spatial_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("finding_overlap", f"""WITH {FOUND}, ws AS (SELECT doc_id, regexp_extract_all(text, '[^ ]+') AS m, string_split_regex(text, '[^ ]+') AS p FROM documents WHERE doc_id IN (SELECT doc_id FROM found)),
-wi AS (SELECT doc_id, unnest(m) AS word, generate_subscripts(m, 1) AS i FROM ws),
-x AS (SELECT doc_id, i, CAST(coalesce(sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS wb, length(word) AS wn FROM wi),
-d AS (SELECT doc_id, regexp_replace(trim(text), ' +', ' ', 'g') = text AS plain FROM documents)
-SELECT doc_id, entity, count(*) AS touched_words FROM x JOIN numbered USING (doc_id) JOIN d USING (doc_id) WHERE plain AND wb < e AND wb + wn > b GROUP BY ALL""")
+wi AS (SELECT doc_id, unnest(m) AS word, unnest(p[1:len(m)]) AS gap, generate_subscripts(m, 1) AS i FROM ws),
+x AS (SELECT doc_id, i, CAST(sum(length(gap) + length(word)) OVER (PARTITION BY doc_id ORDER BY i) - length(word) AS BIGINT) AS wb, length(word) AS wn FROM wi)
+SELECT doc_id, entity, count(*) AS touched_words FROM x JOIN numbered USING (doc_id) WHERE wb < e AND wb + wn > b GROUP BY ALL""")
 def finding_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words (between blanks) that a finding touches, in texts whose words are parted by single blanks."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text").where(F.regexp_replace(F.trim("text"), " +", " ") == F.col("text"))
+    """Words (between blanks) that a finding touches."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     found = privacy.detect(docs)
     some = docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
-    w = geometry.with_offsets(some.select("doc_id", F.posexplode(F.split("text", " ")).alias("word", "text")), ["doc_id"], "word")
-    return geometry.overlaps(w, found, ["doc_id"]).groupBy("doc_id", "entity").agg(F.count("*").alias("touched_words"))
+    return geometry.overlaps(geometry.words_with_gaps(some), found, ["doc_id"]).groupBy("doc_id", "entity").agg(F.count("*").alias("touched_words"))
 
 
 @query("child_id_join", """SELECT o_orderkey, count(l_orderkey) AS children, round(coalesce(sum(l_quantity), 0), 2) AS quantity FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey""")
@@ -135,16 +133,26 @@ def split_page_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", pages.alias("pages"), F.size(F.array_except(want, "have")).cast("bigint").alias("warned"))
 
 
-@query("form_match_ladder", """WITH f AS (SELECT DISTINCT p_name AS field FROM part), t AS (SELECT DISTINCT upper(replace(p_name, ' ', '_')) AS target FROM part WHERE p_size % 2 = 0 UNION SELECT DISTINCT p_name FROM part WHERE p_size % 7 = 0),
-h AS (SELECT target, regexp_replace(lower(target), '[^a-z0-9]+', '', 'g') AS k FROM t),
-m AS (SELECT field, target, 3 AS rank FROM f JOIN t ON field = target UNION ALL SELECT field, target, 4 FROM f JOIN h ON regexp_replace(lower(field), '[^a-z0-9]+', '', 'g') = k),
+_KEY = "regexp_replace(lower({0}), '[^a-z0-9]+', '', 'g')"
+
+
+@query("form_match_ladder", f"""WITH f AS (SELECT p_partkey, p_name AS field, CASE WHEN p_partkey % 5 = 0 THEN 'target ' || p_partkey END AS mapped, CASE WHEN p_partkey % 5 = 1 THEN 'alias-' || p_partkey WHEN p_partkey % 5 = 2 THEN 'Other Alias ' || p_partkey ELSE 'none ' || p_partkey END AS alias FROM part),
+t AS (SELECT 'target ' || p_partkey AS target FROM part WHERE p_partkey % 5 = 0 UNION SELECT 'alias-' || p_partkey FROM part WHERE p_partkey % 5 = 1 UNION SELECT 'other_alias_' || p_partkey FROM part WHERE p_partkey % 5 = 2 UNION SELECT p_name FROM part WHERE p_size % 7 = 0 UNION SELECT upper(replace(p_name, ' ', '_')) FROM part WHERE p_size % 2 = 0),
+g AS (SELECT min(p_partkey) AS k, field FROM f GROUP BY field), o AS (SELECT f.* FROM f JOIN g ON f.p_partkey = g.k), h AS (SELECT target, {_KEY.format("target")} AS k FROM t),
+m AS (SELECT field, target, 0 AS rank FROM o JOIN t ON mapped = target UNION ALL SELECT field, target, 1 FROM o JOIN t ON alias = target UNION ALL SELECT field, target, 2 FROM o JOIN h ON {_KEY.format("alias")} = k
+UNION ALL SELECT field, target, 3 FROM o JOIN t ON field = target UNION ALL SELECT field, target, 4 FROM o JOIN h ON {_KEY.format("field")} = k),
 b AS (SELECT field, min(struct_pack(rank := rank, target := target)) AS x FROM m GROUP BY field)
-SELECT f.field, x.target AS target, CASE x.rank WHEN 3 THEN 'name' WHEN 4 THEN 'normalized name' END AS rule FROM f LEFT JOIN b USING (field)""")
+SELECT o.field, x.target AS target, CASE x.rank WHEN 0 THEN 'map' WHEN 1 THEN 'alias' WHEN 2 THEN 'normalized alias' WHEN 3 THEN 'name' WHEN 4 THEN 'normalized name' END AS rule FROM o LEFT JOIN b USING (field)""")
 def form_match_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part names as data fields against form fields that are written otherwise."""
-    p = load(spark, sf_dir, "part")
-    fields = p.select(F.col("p_name").alias("field")).distinct().select("field", F.lit(None).cast("string").alias("mapped"), F.array().cast("array<string>").alias("aliases"))
-    targets = p.where("p_size % 2 = 0").select(F.upper(F.replace("p_name", F.lit(" "), F.lit("_"))).alias("target")).union(p.where("p_size % 7 = 0").select("p_name")).distinct()
+    """Part names as data fields with maps and aliases, against form fields that are written in other ways; every rule has its turn."""
+    p = load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    key = F.col("p_partkey").cast("string")
+    kind = F.col("p_partkey") % 5
+    own = p.groupBy(F.col("p_name").alias("field")).agg(F.min("p_partkey").alias("p_partkey"))
+    alias = F.when(kind == 1, F.concat(F.lit("alias-"), key)).when(kind == 2, F.concat(F.lit("Other Alias "), key)).otherwise(F.concat(F.lit("none "), key))
+    fields = own.select("field", F.when(kind == 0, F.concat(F.lit("target "), key)).alias("mapped"), F.array(alias).alias("aliases"))
+    named = p.select(F.when(kind == 0, F.concat(F.lit("target "), key)).when(kind == 1, F.concat(F.lit("alias-"), key)).when(kind == 2, F.concat(F.lit("other_alias_"), key)).alias("target")).where("target is not null")
+    targets = named.union(p.where("p_size % 7 = 0").select("p_name")).union(p.where("p_size % 2 = 0").select(F.upper(F.replace("p_name", F.lit(" "), F.lit("_"))))).distinct()
     return forms.match(fields, targets)
 
 
@@ -159,9 +167,9 @@ def blank_label_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("phrase_scores", """WITH c AS (SELECT n_name AS phrase, r_name AS label FROM nation CROSS JOIN region UNION ALL SELECT p_name, p_brand || ' ' || p_type FROM part),
-k AS (SELECT DISTINCT phrase, label, regexp_replace(lower(phrase), '[^a-z0-9]+', '', 'g') AS p, regexp_replace(lower(label), '[^a-z0-9]+', '', 'g') AS l, list_filter(regexp_extract_all(lower(phrase), '[0-9a-z]+'), lambda w: length(w) > 1 AND w NOT IN ('the', 'of', 'and', 'or', 'for', 'to', 'in', 'on', 'at', 'by', 'an', 'your', 'please')) AS ws, regexp_extract_all(lower(label), '[0-9a-z]+') AS hs FROM c)
+k AS (SELECT DISTINCT phrase, label, regexp_replace(lower(phrase), '[^a-z0-9]+', '', 'g') AS p, regexp_replace(lower(label), '[^a-z0-9]+', '', 'g') AS l, list_filter(regexp_extract_all(lower(phrase), '[0-9a-z]+'), lambda w: length(w) > 1 AND w NOT IN ('a', 'an', 'and', 'for', 'in', 'is', 'no', 'number', 'of', 'on', 'the', 'to', 'value')) AS ws, regexp_extract_all(lower(label), '[0-9a-z]+') AS hs FROM c)
 SELECT phrase, label, round(CASE WHEN p = '' OR l = '' THEN 0.0 WHEN contains(l, p) OR contains(p, l) THEN 1.0 ELSE coalesce(len(list_filter(ws, lambda w: list_contains(hs, w))) / nullif(len(ws), 0), 0.0) END, 4) AS score FROM k""")
 def phrase_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = load(spark, sf_dir, "nation").crossJoin(F.broadcast(load(spark, sf_dir, "region"))).select(F.col("n_name").alias("phrase"), F.col("r_name").alias("label"))
+    pairs = load(spark, sf_dir, "nation").crossJoin(load(spark, sf_dir, "region")).select(F.col("n_name").alias("phrase"), F.col("r_name").alias("label"))
     pairs = pairs.union(load(spark, sf_dir, "part").select("p_name", F.concat_ws(" ", "p_brand", "p_type"))).distinct()
     return pairs.select("phrase", "label", F.round(fx.phrase_score(F.col("phrase"), F.col("label")), 4).alias("score"))

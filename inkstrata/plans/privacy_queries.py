@@ -36,15 +36,13 @@ def pii_detect_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _anonymized(mode: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = _texts(spark, sf_dir)
-        found = privacy.detect(docs)
-        hit = docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
-        return privacy.anonymize(hit, found, mode)
+        return privacy.anonymize(docs, privacy.detect(docs), mode)
 
     return run
 
 
 for _mode, _by in (("redact", "'[REDACTED]'"), ("mask", "CASE WHEN length(value) > 1 THEN value[1] || repeat('*', length(value) - 1) ELSE '*' END"), ("hash", "left(sha256(value), 16)"), ("pseudonymize", "printf('%s_%03d', entity, n)")):
-    query(f"pii_{_mode}", f"WITH {_spliced(_by)} SELECT doc_id, text FROM s")(_anonymized(_mode))
+    query(f"pii_{_mode}", f"WITH {_spliced(_by)} SELECT doc_id, coalesce(s.text, documents.text) AS text FROM documents LEFT JOIN s USING (doc_id)")(_anonymized(_mode))
 
 
 @query("pii_pseudonyms", f"WITH {FOUND} SELECT DISTINCT doc_id, printf('%s_%03d', entity, n) AS token, value FROM numbered")
@@ -52,17 +50,17 @@ def pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.mappings(privacy.detect(_texts(spark, sf_dir)))
 
 
-@query("pii_restore_roundtrip", f"WITH {FOUND} SELECT count(DISTINCT doc_id) AS documents, count(DISTINCT doc_id) AS restored FROM numbered")
+@query("pii_restore_roundtrip", f"WITH {_spliced("printf('%s_%03d', entity, n)")} SELECT count(*) AS documents, count(*) FILTER (WHERE s.text <> documents.text) AS changed, count(*) AS restored FROM documents LEFT JOIN s USING (doc_id)")
 def pii_restore_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pseudonymised texts that restoring makes equal to what they were."""
     docs = _texts(spark, sf_dir)
     found = privacy.detect(docs)
-    hit = docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
-    back = privacy.restore(privacy.anonymize(hit.withColumn("was", F.sha2("text", 256)), found, "pseudonymize"), privacy.mappings(found))
-    return back.agg(F.count("*").alias("documents"), F.count_if(F.sha2("text", 256) == F.col("was")).alias("restored"))
+    hidden = privacy.anonymize(docs.withColumn("was", F.sha2("text", 256)), found, "pseudonymize").withColumn("changed", F.sha2("text", 256) != F.col("was"))
+    back = privacy.restore(hidden, privacy.mappings(found))
+    return back.agg(F.count("*").alias("documents"), F.count_if("changed").alias("changed"), F.count_if(F.sha2("text", 256) == F.col("was")).alias("restored"))
 
 
-@query("pii_risk", f"""WITH {FOUND}, x AS (SELECT doc_id, sum(e - b) AS chars, count(*) FILTER (WHERE entity = 'CREDIT_CARD') AS high, count(DISTINCT entity) AS kinds FROM numbered GROUP BY doc_id)
+@query("pii_risk", f"""WITH {FOUND}, x AS (SELECT doc_id, sum(e - b) AS chars, count(*) FILTER (WHERE entity IN ('CREDIT_CARD', 'IP_ADDRESS')) AS high, count(DISTINCT entity) AS kinds FROM numbered GROUP BY doc_id)
 SELECT doc_id, round(least(0.5::DOUBLE * least(coalesce(chars / nullif(length(text), 0), 0.0), 1.0) + least(0.1::DOUBLE * coalesce(high, 0), 0.3) + least(0.05::DOUBLE * coalesce(kinds, 0), 0.2), 1.0), 4) AS risk FROM documents LEFT JOIN x USING (doc_id)""")
 def pii_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _texts(spark, sf_dir)

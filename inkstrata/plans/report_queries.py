@@ -101,15 +101,62 @@ def quality_log_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("n <= 3")
 
 
-@query("eval_report", """WITH p AS (SELECT doc_id, CAST(CASE WHEN n_chars > 200 THEN 1 ELSE 0 END AS VARCHAR) AS quality, CASE WHEN contains(lower(text), 'scum') THEN '1' WHEN n_chars % 11 = 0 THEN NULL ELSE '0' END AS toxic, n_chars % 2 = 0 AS found FROM documents),
+_EVAL = """p AS (SELECT doc_id, CASE WHEN n_chars % 5 = 0 THEN 'class ' ELSE '' END || CAST(CASE WHEN n_chars > 200 THEN 1 ELSE 0 END AS VARCHAR) AS quality, CASE WHEN contains(lower(text), 'scum') THEN '1' WHEN n_chars % 11 = 0 THEN NULL ELSE '0' END AS toxic, n_chars % 2 = 0 AS found, n_chars % 3 = 0 AS corrected FROM documents WHERE n_chars % 13 <> 0),
 t AS (SELECT doc_id, 'quality' AS field, CAST(quality AS VARCHAR) AS expected FROM labels UNION ALL SELECT doc_id, 'toxic', CAST(toxic AS VARCHAR) FROM labels),
-o AS (SELECT field, CASE WHEN got IS NULL THEN 'missing' WHEN got = expected THEN 'exact' WHEN NOT found THEN 'hallucinated' ELSE 'wrong' END AS outcome FROM (SELECT t.field, expected, CASE WHEN t.field = 'quality' THEN p.quality ELSE p.toxic END AS got, found FROM t LEFT JOIN p USING (doc_id)))
-SELECT field, count(*) AS total, count(*) FILTER (WHERE outcome = 'exact') AS exact, CAST(0 AS BIGINT) AS fuzzy, count(*) FILTER (WHERE outcome = 'missing') AS missing, count(*) FILTER (WHERE outcome = 'hallucinated') AS hallucinated, count(*) FILTER (WHERE outcome = 'wrong') AS wrong, round(count(*) FILTER (WHERE outcome = 'exact') / count(*), 4) AS accuracy FROM o GROUP BY field""")
-def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels as the truth for two rules on the text."""
-    l, d = load(spark, sf_dir, "labels"), load(spark, sf_dir, "documents")
+o AS (SELECT field, predicted, corrected, CASE WHEN got IS NULL THEN 'missing' WHEN got = expected THEN 'exact' WHEN contains(got, expected) OR contains(expected, got) THEN 'fuzzy' WHEN NOT found THEN 'hallucinated' ELSE 'wrong' END AS outcome FROM (SELECT t.field, expected, p.doc_id IS NOT NULL AS predicted, coalesce(corrected, false) AS corrected, CASE WHEN t.field = 'quality' THEN p.quality ELSE p.toxic END AS got, found FROM t LEFT JOIN p USING (doc_id)))"""
+
+
+def eval_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as the truth for two rules on the text; one document in thirteen has no prediction."""
+    l, d = load(spark, sf_dir, "labels"), load(spark, sf_dir, "documents").where("n_chars % 13 <> 0")
     pair = lambda n, v, k: F.struct(F.lit(n).alias("field"), v.cast("string").alias(k))
     truth = l.select("doc_id", F.explode(F.array(pair("quality", F.col("quality"), "expected"), pair("toxic", F.col("toxic"), "expected"))).alias("t")).select("doc_id", "t.*")
-    guess = F.array(pair("quality", (F.col("n_chars") > 200).cast("int"), "value"), pair("toxic", F.when(F.contains(F.lower("text"), F.lit("scum")), 1).when(F.col("n_chars") % 11 == 0, F.lit(None)).otherwise(0), "value"))
+    rough = F.concat(F.when(F.col("n_chars") % 5 == 0, "class ").otherwise(""), (F.col("n_chars") > 200).cast("int").cast("string"))
+    guess = F.array(pair("quality", rough, "value"), pair("toxic", F.when(F.contains(F.lower("text"), F.lit("scum")), 1).when(F.col("n_chars") % 11 == 0, F.lit(None)).otherwise(0), "value"))
     predicted = d.select("doc_id", F.explode(guess).alias("p"), (F.col("n_chars") % 2 == 0).alias("found")).select("doc_id", "p.*", "found", F.lit(1).alias("order"))
-    return reports.accuracy(reports.evaluate(truth, predicted, ["doc_id", "field"]), ["field"])
+    rows = reports.evaluate(truth, predicted, ["doc_id", "field"])
+    known = d.select("doc_id", (F.col("n_chars") % 3 == 0).alias("corrected"), F.lit(True).alias("known"))
+    return rows.join(known, "doc_id", "left").withColumn("predicted", F.col("known").isNotNull()).withColumn("corrected", F.coalesce("corrected", F.lit(False)))
+
+
+@query("eval_report", f"""WITH {_EVAL} SELECT field, count(*) AS total, {", ".join(f"count(*) FILTER (WHERE outcome = '{x}') AS {x}" for x in ("exact", "fuzzy", "missing", "hallucinated", "wrong"))}, round(count(*) FILTER (WHERE outcome IN ('exact', 'fuzzy')) / count(*), 4) AS accuracy FROM o GROUP BY field""")
+def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.accuracy(eval_outcomes(spark, sf_dir), ["field"])
+
+
+@query("eval_overall", f"""WITH {_EVAL} SELECT round(count(*) FILTER (WHERE outcome IN ('exact', 'fuzzy')) / count(*), 4) AS accuracy, round(count(*) FILTER (WHERE outcome = 'hallucinated') / count(*), 4) AS hallucination_rate, round(count(*) FILTER (WHERE corrected AND outcome <> 'missing') / count(*), 4) AS correction_rate FROM o WHERE predicted""")
+def eval_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all fields of the documents that have a prediction."""
+    return reports.overall(eval_outcomes(spark, sf_dir))
+
+
+@query("quality_worst_of_batch", f"""WITH {_QUALITY}, u AS (SELECT field, min(pos) AS pos, CAST(sum(CAST(CASE WHEN norm IS NULL THEN 0.0 ELSE 0.3 * evidence::INT + 0.3 * found::INT + 0.4 * gate::INT END AS DECIMAL(38,12))) / count(*) AS DOUBLE) AS mean FROM q GROUP BY field), l AS (SELECT CAST(sum(CAST(score AS DECIMAL(38,12))) / count(score) AS DOUBLE) AS level FROM t)
+SELECT field, round(mean, 6) AS mean, CAST(row_number() OVER (ORDER BY mean, pos) AS INTEGER) AS rank FROM u, l WHERE mean < level QUALIFY row_number() OVER (ORDER BY mean, pos) <= 5""")
+def quality_worst_of_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_fields(spark, sf_dir)
+    return reports.worst_of_batch(rows, reports.quality(rows, "doc_id")).select("field", F.round("mean", 6).alias("mean"), "rank")
+
+
+@query("field_differences", """WITH d AS (SELECT n_nationkey AS doc_id, n_nationkey AS o FROM nation), f AS (SELECT n_nationkey AS doc_id, 'region' AS field, r_name AS value FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT n_nationkey, 'kind', 'nation' FROM nation UNION ALL SELECT n_nationkey, 'long', 'yes' FROM nation WHERE length(n_name) > 8),
+e AS (SELECT n.field, d.o, coalesce(f.value, 'None') AS v FROM d CROSS JOIN (SELECT DISTINCT field FROM f) n LEFT JOIN f ON f.doc_id = d.doc_id AND f.field = n.field), c AS (SELECT field, v, count(*) AS n, min(o) AS first FROM e GROUP BY ALL), s AS (SELECT field, count(*) AS kinds, CAST(sum(n) AS BIGINT) AS total, string_agg(v, ',' ORDER BY first) AS unique_values, list(v ORDER BY n DESC, first) AS vs, list(n ORDER BY n DESC, first) AS ns FROM c GROUP BY field)
+SELECT field, kinds <= 1 AS all_agree, unique_values, CASE WHEN kinds <= 1 THEN 'all ' || total || ' documents agree: ' || unique_values ELSE array_to_string(list_transform(range(1, len(vs) + 1), lambda i: ns[i] || '/' || total || ' say ' || vs[i]), ', ') END AS summary FROM s""")
+def field_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as documents, compared in three fields of which one is absent for some."""
+    n, r = load(spark, sf_dir, "nation"), load(spark, sf_dir, "region")
+    docs = n.select(F.col("n_nationkey").alias("doc_id"), F.col("n_nationkey").alias("o"))
+    rows = n.join(r, n.n_regionkey == r.r_regionkey)
+    pair = lambda k, v: F.struct(F.lit(k).alias("field"), v.alias("value"))
+    fields = rows.select(F.col("n_nationkey").alias("doc_id"), F.explode(F.array(pair("region", F.col("r_name")), pair("kind", F.lit("nation")), pair("long", F.when(F.length("n_name") > 8, "yes")))).alias("x")).select("doc_id", "x.*").where("value is not null")
+    return reports.differences(fields, docs, "o").select("field", "all_agree", F.array_join("unique_values", ",").alias("unique_values"), "summary")
+
+
+@query("shard_results", """WITH x AS (SELECT l_orderkey AS doc_id, l_linenumber AS shard, l_returnflag AS field, CAST(l_partkey AS VARCHAR) AS value, l_linestatus = 'O' AS gate, CAST(l_quantity AS BIGINT) AS tokens, CASE WHEN l_returnflag <> 'N' THEN l_tax END AS cost, CASE WHEN l_linenumber > 1 THEN l_discount END AS ocr, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) AS k FROM lineitem),
+y AS (SELECT * FROM x WHERE k = 1), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, field ORDER BY shard DESC) AS r FROM y)
+SELECT y.doc_id, (SELECT string_agg(field || '=' || value, ',' ORDER BY field) FROM f WHERE f.doc_id = y.doc_id AND r = 1) AS fields, CAST(sum(tokens) AS BIGINT) AS tokens, round(CAST(sum(CAST(cost AS DECIMAL(38,12))) AS DOUBLE), 6) AS cost, arg_min(ocr, shard) FILTER (WHERE ocr IS NOT NULL) AS ocr, (SELECT round(avg(CASE WHEN gate THEN 1.0 ELSE 0.0 END), 6) FROM f WHERE f.doc_id = y.doc_id AND r = 1) AS confidence FROM y GROUP BY y.doc_id""")
+def shard_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an order as results of shards of one field each."""
+    w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    rows = load(spark, sf_dir, "lineitem").withColumn("k", F.row_number().over(w)).where("k = 1")
+    parts = rows.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("shard"), F.create_map("l_returnflag", F.col("l_partkey").cast("string")).alias("fields"), F.create_map("l_returnflag", F.col("l_linestatus") == "O").alias("gates"), F.col("l_quantity").cast("bigint").alias("tokens"), F.when(F.col("l_returnflag") != "N", F.col("l_tax")).alias("cost"), F.when(F.col("l_linenumber") > 1, F.col("l_discount")).alias("ocr"))
+    text = F.array_join(F.transform(F.array_sort(F.map_entries("fields")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return reports.merged_shards(parts).select("doc_id", text.alias("fields"), "tokens", "cost", "ocr", F.round("confidence", 6).alias("confidence"))

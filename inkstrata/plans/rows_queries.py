@@ -8,27 +8,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstrata.operators import adapters, locate
-from inkstrata.plans.field_queries import FIELDS, trusted
+from inkstrata.plans.field_queries import FIELDS, assessed, each_field
 from inkstrata.plans.registry import load, query
 from inkstrata.plans.workflow import compile_workflow
 from inkstrata.sources.html import text_of
 from inkstrata.streaming import ingest
 
 
+def _phrases(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The texts of the benchmark, whole; a benchmark is a bounded list, of which more than ``MOST_PHRASES`` is an error, not a cut."""
+    texts = sorted({r.text for r in load(spark, sf_dir, "benchmark").where("trim(text) <> ''").select("text").limit(MOST_PHRASES + 1).toLocalIterator()})
+    if len(texts) > MOST_PHRASES:
+        raise ValueError(f"a benchmark of over {MOST_PHRASES} items is sought in parts")
+    return texts
+
+
+#: Phrases that one plan may hold.
+MOST_PHRASES = 20_000
+
+
+@query("locate_exact", f"""WITH d AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS ws FROM documents),
+n AS (SELECT doc_id, list_filter(list_transform(ws, lambda w: translate(lower(w), '$€£¥,', '')), lambda w: w <> '') AS ns FROM d), j AS (SELECT doc_id, array_to_string(ns, ' ') AS joined FROM n),
+q AS (SELECT DISTINCT text AS query, array_to_string(list_filter(string_split_regex(translate(lower(text), '$€£¥,', ''), '\\s+'), lambda w: w <> ''), ' ') AS want FROM benchmark WHERE trim(text) <> ''),
+h AS (SELECT doc_id, query, want, joined, instr(joined, want) AS ofs FROM j JOIN q ON contains(joined, want))
+SELECT doc_id, query, CAST(length(substring(joined, 1, ofs - 1)) - length(replace(substring(joined, 1, ofs - 1), ' ', '')) AS INTEGER) AS first_word, CAST(length(substring(joined, 1, ofs - 1)) - length(replace(substring(joined, 1, ofs - 1), ' ', '')) + length(want) - length(replace(want, ' ', '')) AS INTEGER) AS last_word FROM h""")
+def locate_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first exact place of every whole benchmark text in every document, as numbers of words."""
+    found = locate.everywhere(load(spark, sf_dir, "documents").select("doc_id", "text"), _phrases(spark, sf_dir), fuzzy=False)
+    return found.select("doc_id", "query", "first_word", "last_word")
+
+
 @query("locate_spans")
 def locate_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark item's first four words in the documents that share its first two."""
-    b = load(spark, sf_dir, "benchmark").select(F.slice(F.split("text", " "), 1, 4).alias("w"))
-    phrases = b.select(F.array_join("w", " ").alias("query"), F.lower(F.array_join(F.slice("w", 1, 2), " ")).alias("head"))
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    asked = docs.crossJoin(F.broadcast(phrases)).where(F.contains(F.lower("text"), F.col("head"))).select("doc_id", "query")
-    return locate.spans(docs, asked)
+    """Every e-mail address and network address of every document, misread in its first letter, sought in that document: near places."""
+    rows = each_field(load(spark, sf_dir, "documents")).where("field in ('email', 'address')").select("doc_id", F.regexp_replace("a.value", "^.", "#").alias("query")).where("query is not null")
+    found = locate.spans(load(spark, sf_dir, "documents").select("doc_id", "text"), rows)
+    return found.select("doc_id", "query", "exact", "ratio", "first_word", "last_word", "page", "found")
 
 
 @query("evidence_attach")
 def evidence_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
-    return locate.evidence(trusted(docs).select("doc_id", "field", "value"), docs)
+    """Evidence of the fields of every document; text and fields travel in one row, so nothing is joined."""
+    rows = assessed(load(spark, sf_dir, "documents")).select("doc_id", "text", F.transform("fields", lambda f: F.struct(f["field"].alias("field"), f["a"]["value"].alias("value"))).alias("fields"))
+    return locate.evidence_of(rows).select("doc_id", "field", "value", "source", F.col("ratio").alias("confidence"), "page", "found")
 
 
 @query("dictionary_scan", """WITH o AS (SELECT doc_id, regexp_extract_all(text, 'Apache License|General Public License|MIT License|MIT') AS m, string_split_regex(text, 'Apache License|General Public License|MIT License|MIT') AS p FROM documents),
@@ -78,7 +100,8 @@ def _folder(spark: SparkSession) -> str:
     """A new folder beside the checkpoints that all executors share, or a temporary one in local mode."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if where is None:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
@@ -95,18 +118,18 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out").groupBy("lang").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"))
 
 
-@query("stream_quality_trend", "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS begin, event_type, count(*) AS events, round(avg(value), 4) AS value FROM events GROUP BY ALL")
+@query("stream_quality_trend", """WITH s AS (SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS begin, event_type, count(*) AS events, CAST(count(value) AS HUGEINT) AS n, CAST(sum(CAST(value AS DECIMAL(38,12))) * 1000000000000 AS HUGEINT) AS total FROM events GROUP BY ALL)
+SELECT begin, event_type, events, ((2 * total * 10000 + n * 1000000000000) // (2 * n * 1000000000000))::DOUBLE / 10000 AS value FROM s""")
 def stream_quality_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily counts and means of the event log by a stream with a watermark; complete once the stream has ended."""
+    """Daily counts and means of the event log by a stream in append mode; a closing row, far ahead, lets the watermark pass the last day."""
     base = _folder(spark)
-    log = ingest.documents(spark, f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out")
-
-    q = ingest.trend(log).writeStream.outputMode("complete").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(write).start()
-    q.awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    events = load(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    end = events.agg((F.max("ts") + F.expr("INTERVAL 10 DAYS")).alias("ts")).select("ts", F.lit("end of log").alias("event_type"), F.lit(None).cast("double").alias("value"))
+    for rows in (events, end):
+        rows.write.mode("append").parquet(f"{base}/log")
+        # the whole log is one batch: its files are in no order of time, and the watermark moves between batches
+        ingest.run_once(ingest.trend(ingest.documents(spark, f"{base}/log", 1 << 30)), f"{base}/out", f"{base}/state")
+    return spark.read.parquet(f"{base}/out").where("event_type <> 'end of log'")
 
 
 @query("session_windows", """WITH x AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),

@@ -1,10 +1,12 @@
 """Operators on small hand-made tables."""
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from inkstrata.functions import text as fx
-from inkstrata.operators import adapters, documents, forms, geometry, locate, privacy, reports, rules, tables, trust, verification
+from inkstrata.operators import adapters, documents, forms, geometry, locate, privacy, reports, rules, search, tables, trust, verification
 from inkstrata.plans.workflow import compile_workflow
 from inkstrata.sources import files
 from inkstrata.sources.html import text_of
@@ -55,15 +57,105 @@ def test_escalation_and_queue(spark):
     assert [r.field for r in verification.queue(rows).orderBy("rank").collect()] == ["f0", "f1", "f2", "f3", "f4"]
 
 
-def test_locator():
-    words, norms, _ = locate.stream("Invoice total: $1,200 due\fin March 2024")
-    assert [(s.first, s.last, s.exact) for s in locate.locate(norms, "1200")] == [(2, 2, True)]
-    assert [(s.first, s.last) for s in locate.locate(norms, "due in march")] == [(3, 5)]
-    near = locate.locate(norms, "Invoise total:")
-    assert near and not near[0].exact and near[0].ratio > 0.8 and near[0].first == 0
-    assert locate.locate(norms, "") == [] and locate.locate([], "x") == [] and locate.locate(norms, "zebra crossing") == []
-    assert len(locate.locate(["a", "b", "a"], "a", every=True)) == 2
-    assert words[0] == "Invoice"
+def box_words(*lines):
+    """Words of lines (page, block, top, [(text, x0, x1, confidence)]) of a line height of 12."""
+    return [{"text": t, "page": p, "block": b, "x0": float(a), "y0": float(top), "x1": float(z), "y1": top + 12.0, "confidence": c} for p, b, top, ws in lines for t, a, z, c in ws]
+
+
+BILL = box_words(
+    (0, 1, 72, [("Invoice", 72, 120, 0.99), ("from", 125, 155, 0.97), ("Acme", 160, 200, 0.93), ("Corp", 205, 240, 0.9)]), (0, 2, 100, [("Total:", 72, 110, 0.97), ("$1,234.56", 115, 180, 0.7)]),
+    (1, 3, 72, [("Payment", 72, 130, 0.95), ("terms:", 135, 175, 0.94), ("Net", 180, 205, 0.96), ("30", 210, 228, 0.92)]),
+)
+
+
+def found(words, query, **options):
+    doc = locate.Located(locate.stream_of(words, options.get("case_sensitive", False)))
+    return [doc.place(s) | {"exact": s.exact, "ratio": s.ratio} for s in doc.locate(query, **options)]
+
+
+def test_places_of_exact_matches():
+    one = found(BILL, "Acme Corp")[0]
+    assert one["box"] == {"x0": 160, "y0": 72, "x1": 240, "y1": 84} and one["confidence"] == 0.9 and len(one["rects"]) == 1 and one["exact"]
+    assert found(BILL, "1234.56")[0]["confidence"] == 0.7 and found(BILL, "nowhere at all") == [] and found(BILL, "acme", case_sensitive=True, fuzzy=False) == []
+    lines = found(BILL, "Corp Total:")[0]
+    assert [r["box"]["x0"] for r in lines["rects"]] == [205, 72] and lines["blocks"] == [1, 2] and lines["box"]["x0"] == 72
+    pages = found(BILL, "1234.56 Payment")[0]
+    assert [r["page"] for r in pages["rects"]] == [0, 1] and pages["box"] is None and pages["page"] == 0 and pages["confidence"] == 0.7
+
+
+def test_touching_words_near_words_and_hints():
+    tight = box_words((0, 1, 72, [("No:", 72, 95, 0.9), ("INV", 100, 125, 0.95), ("-001", 126, 155, 0.85)]))
+    assert [p["confidence"] for p in found(tight, "INV-001", fuzzy=False)] == [0.85]
+    garbled = box_words((0, 1, 72, [("lnvoice", 72, 120, 0.7), ("INV-O01", 125, 180, 0.65)]))
+    near = found(garbled, "INV-001")
+    assert len(near) == 1 and not near[0]["exact"] and 0.8 <= near[0]["ratio"] < 1 and near[0]["confidence"] == 0.65 and found(garbled, "INV-001", fuzzy=False) == []
+    twice = box_words((0, 1, 72, [("Acme", 72, 110, 0.9)]), (1, 2, 72, [("Acme", 72, 110, 0.8)]))
+    assert found(twice, "Acme", hint=1)[0]["page"] == 1 and found(twice, "Acme")[0]["page"] == 0 and len(found(twice, "Acme", every=True)) == 2
+
+
+def plain_locate(words, query, threshold=0.8, every=False):
+    """The search by trying every window at every place."""
+    from difflib import SequenceMatcher
+
+    want = locate.normal(query)
+    if not want or not words:
+        return []
+    doc, n = locate.Located(words), len(want.split())
+    sizes = [n] + [n - 1] * (n > 1) + [min(len(words), n + 1)]
+    exact, best, start = [], None, 0
+    while start < len(words):
+        end = None
+        for size in sizes:
+            if size < 1 or start + size > len(words):
+                continue
+            if doc.holds(start, start + size, want):
+                a, b = doc.narrow(start, start + size, want)
+                exact.append((a, b - 1, True))
+                end = start + size
+                break
+            m = SequenceMatcher(None, want, doc.part(start, start + size))
+            if m.quick_ratio() >= 0.5 and m.ratio() >= threshold and (best is None or m.ratio() > best[0]):
+                best = (m.ratio(), start, start + size - 1)
+        if end and not every:
+            break
+        start = end or start + 1
+    return exact if every else exact[:1] or ([(best[1], best[2], False)] if best else [])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["ab", "abc", "b", "cab", "a-", "xyz"]), max_size=9), st.lists(st.sampled_from(["ab", "abc", "b", "ca", "a-b", "xy"]), min_size=1, max_size=4), st.booleans(), st.data())
+def test_locating_equals_trying_every_window(texts, query, every, data):
+    words = [locate.Word(t, t, 0, 0, (10.0 * k, 0.0, 10.0 * k + (10 if data.draw(st.booleans()) else 5), 10.0), None) for k, t in enumerate(texts)]
+    got = [(s.first, s.last, s.exact) for s in locate.locate(words, " ".join(query), every)]
+    want = plain_locate(words, " ".join(query), every=every)
+    assert got == want or (every and got and not got[0][2] and want == [])
+
+
+def test_evidence_ladder():
+    doc = locate.Located(locate.stream_of(BILL))
+    pages = ["Invoice from Acme Corp Total: $1,234.56", "Payment terms: Net 30 and a table: 777-x"]
+    kinds = lambda **k: [(e["source"], e["text"], e["page"]) for e in locate.attach(doc, pages, **k)]
+    assert kinds(value="Acme Corp") == [("exact_block", "Acme Corp", 0)] and kinds(value="ACME Corp", hint_text="from Acme") == [("exact_block", "from Acme", 0)]
+    assert kinds(value="x", composite=["Acme", "Net 30", "Acme", True, None]) == [("exact_block", "Acme", 0), ("exact_block", "Net 30", 1)]
+    assert kinds(value="table: 777-x") == [("page_text", "table: 777-x", 1)] and kinds(value="zebra", hint_page=1) == [("unmatched", "zebra", 1)] and kinds(value=None) == []
+
+    assert locate.read_score(doc, pages, [0.9, 0.8], "Acme Corp")["score"] == 0.9 and locate.read_score(doc, pages, [0.9, 0.8], "table: 777-x")["score"] == 0.8 and locate.read_score(doc, pages, [], "zebra")["method"] == "unmatched"
+
+
+def test_search_in_documents(spark):
+    docs = spark.createDataFrame([(1, "The cat sat.\fA cat"), (2, "concat sat"), (3, None)], "doc_id long, text string")
+    hits = {(r.doc_id, r.kind, r.page, r.found) for r in locate.search_document(docs, ["cat sat"]).collect()}
+    assert hits == {(1, "exact", 0, "cat sat."), (2, "exact", 0, "concat sat")}
+    fuzzy = locate.search_document(docs, ["kat sat"], fuzzy=True).where("doc_id = 1").collect()
+    assert [(r.kind, r.found) for r in fuzzy] == [("fuzzy", "cat sat.")]
+
+
+@pytest.mark.parametrize("most", [1, 2, 100])
+def test_first_hits_do_not_depend_on_the_number_of_passes(spark, most):
+    docs = spark.createDataFrame([(1, "concat sat here"), (2, "a cat sat"), (3, "... !!"), (4, None), (5, "")], "doc_id long, text string")
+    phrases = spark.createDataFrame([(7, "Cat sat"), (8, "!!"), (9, ""), (10, None), (11, "cat SAT")], "item_id long, phrase string")
+    got = {(r.item_id, r.doc_id, r.place) for r in search.first_hits(docs, phrases, most=most).collect()}
+    assert got == {(7, 1, 4), (7, 2, 3), (8, 3, 5), (11, 1, 4), (11, 2, 3)}
 
 
 def test_evidence_and_dictionary(spark):
