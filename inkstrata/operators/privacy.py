@@ -37,7 +37,8 @@ def detect(docs: DataFrame, patterns: dict[str, str] = PATTERNS) -> DataFrame:
         return F.transform(found, lambda v, i: F.struct(F.lit(entity).alias("entity"), (size(between, i + 1) + size(found, i)).alias("begin"), v.alias("value")))
 
     some = docs.where(F.col("text").rlike("|".join(f"(?:{p})" for p in patterns.values())))
-    rows = some.select("doc_id", F.explode(F.flatten(F.array(*[one(e, p) for e, p in patterns.items()]))).alias("f"))
+    # the outer form: the plain one would be preceded by a test of the list, for which all matches are sought twice
+    rows = some.select("doc_id", F.explode_outer(F.flatten(F.array(*[one(e, p) for e, p in patterns.items()]))).alias("f")).where("f is not null")
     return rows.select("doc_id", "f.entity", "f.begin", (F.col("f.begin") + F.length("f.value")).alias("end"), "f.value")
 
 

@@ -21,7 +21,7 @@ _FAST = {"email": "(?<![A-Za-z0-9.])" + FIELDS["email"], "address": "(?<![0-9])"
 
 
 def _found(text: Column, field: str) -> Column:
-    hit = F.nullif(F.regexp_extract(text, _FAST.get(field, FIELDS[field]), 0), F.lit(""))
+    hit = fx.let(F.regexp_extract(text, _FAST.get(field, FIELDS[field]), 0), lambda x: F.nullif(x, F.lit("")))
     return F.when(F.contains(text, F.lit(_NEEDS[field])), hit) if field in _NEEDS else hit
 
 
@@ -45,8 +45,11 @@ def assessed(docs: DataFrame) -> DataFrame:
 
 
 def each_field(docs: DataFrame, *columns: str) -> DataFrame:
-    """One row for each field of ``assessed``; the text stays behind unless it is asked for."""
-    return assessed(docs).select("doc_id", "lang", *columns, F.explode("fields").alias("f")).select("doc_id", "lang", *columns, "f.*")
+    """One row for each field of ``assessed``; the text stays behind unless it is asked for.
+
+    The outer form, as the planner would put a test that the list is not empty, and with it all of its making, before the plain one.
+    """
+    return assessed(docs).select("doc_id", "lang", *columns, F.explode_outer("fields").alias("f")).select("doc_id", "lang", *columns, "f.*")
 
 
 _VARIANTS = ["text", "text", "text", "lower(text)", "regexp_replace(text, '^[^\\n]*\\n', '')"]
