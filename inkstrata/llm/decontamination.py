@@ -217,24 +217,6 @@ def probes(items: pa.Table, projection: np.ndarray) -> Probes | None:
     return Probes(np.array(item), size, length, vector, vocab, off, np.concatenate(numbers), np.concatenate(masks), np.array(answer, dtype=U64))
 
 
-def _window_vectors(unit: np.ndarray, k: int, made: dict[int, np.ndarray]) -> np.ndarray:
-    """Sums of k consecutive tiles, from sums of powers of two; rows near the end stay short."""
-
-    made.setdefault(1, unit)
-    todo = [k]
-    while todo:  # no recursive closure: its cycle would keep the arrays alive
-        n = todo[-1]
-        big = 1 << (n.bit_length() - 1) if n & (n - 1) else max(n // 2, 1)
-        missing = [x for x in (big, n - big) if x and x not in made]
-        if n in made or not missing:
-            todo.pop()
-            if n not in made:
-                made[n] = made[big].copy()
-                made[n][: max(len(unit) - big, 0)] += made[n - big][big:]
-        todo += missing if n not in made else []
-    return made[k]
-
-
 def common_subsequence(seq: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Length of the longest common subsequence of a probe and each run ``seq[lo:hi]`` of words, given by their positions in the probe.
 
@@ -255,29 +237,64 @@ def common_subsequence(seq: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.nd
     return out
 
 
-def _windows(w: Words, unit: np.ndarray, toff: np.ndarray, k: int, made: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Unit vector, row, first and end word of all windows of ``k`` tiles; a shorter row is one window."""
-    tiles = np.diff(toff)
-    row = np.repeat(np.arange(w.n), tiles)
-    within = np.arange(len(row)) - toff[row]
-    sums = _window_vectors(unit, k, made)
-    left = tiles[row] - within
-    at = np.flatnonzero((left >= k) & ((within % (1 if k <= 8 else 2) == 0) | (left == k)))
-    short = np.flatnonzero((tiles < k) & (tiles > 0))
-    v = sums[at]
-    if len(short):
-        v = np.vstack([v, np.stack([unit[toff[i] : toff[i + 1]].sum(0) for i in short])])
-    v /= (np.sqrt(np.einsum("ij,ij->i", v, v)) + 1e-12)[:, None]
-    rows = np.concatenate([row[at], short])
-    start = w.off[rows] + np.concatenate([within[at], np.zeros(len(short), np.int64)]) * TILE
-    return v, rows, start, np.minimum(start + k * TILE, w.off[rows + 1])
+def _windows(w: Words, toff: np.ndarray, row_of: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First tile, row, first and end word of all windows of ``k`` tiles; a shorter row is one window."""
+    within = np.arange(len(row_of)) - toff[row_of]
+    left = toff[row_of + 1] - toff[row_of] - within
+    tile = np.flatnonzero(((left >= k) & ((within % (1 if k <= 8 else 2) == 0) | (left == k))) | ((within == 0) & (left < k)))
+    row = row_of[tile]
+    start = w.off[row] + within[tile] * TILE
+    return tile, row, start, np.minimum(start + k * TILE, w.off[row + 1])
+
+
+def _window_vectors(unit: np.ndarray, tile: np.ndarray, end: np.ndarray, k: int) -> np.ndarray:
+    """Unit vectors of windows of ``k`` tiles from ``tile``, up to the tile ``end`` of their row."""
+    out = np.zeros((len(tile), unit.shape[1]), unit.dtype)
+    for a in range(0, len(tile), _BLOCK):
+        at, stop, part = tile[a : a + _BLOCK], end[a : a + _BLOCK], out[a : a + _BLOCK]
+        for j in range(k):
+            inside = at + j < stop
+            part += unit[np.where(inside, at + j, 0)] * inside[:, None]
+    return out / (np.sqrt(np.einsum("ij,ij->i", out, out)) + 1e-12)[:, None]
+
+
+def _run_sums(x: np.ndarray, k: int, n: int) -> np.ndarray:
+    """Sums of ``k`` consecutive rows of ``x`` from each of the first ``n`` on; ``x`` has ``n + k`` rows."""
+    out, at, size = np.zeros((n, x.shape[1]), x.dtype), 0, 1
+    while True:
+        if k & size:
+            out += x[at : at + n]
+            at += size
+        if 2 * size > k:
+            return out
+        x = x[:-size] + x[size:]
+        size *= 2
+
+
+def _shared_words(quads: np.ndarray, k: int, pr: Probes, own: np.ndarray) -> np.ndarray:
+    """For each tile and probe of ``own``: no fewer words of the probe than a window of ``k`` tiles from there has with its ``SLACK``.
+
+    Eight probes' numbers lie in one integer: a window of at most 80 words can't carry over into the next byte.
+    """
+    member = np.zeros((len(pr.vocab) + 1, -(-len(own) // 8) * 8), np.uint8)
+    for j, p in enumerate(own.tolist()):
+        member[pr.number[pr.off[p] : pr.off[p + 1]] - 1, j] = 1
+    lanes = member.view(U64)
+    slack, n = -(-SLACK // TILE), quads.shape[1]
+    span = k + 2 * slack  # tiles of a neighbouring row only add to the number
+    x = np.zeros((n + slack + span, lanes.shape[1]), U64)
+    for a in range(0, n, _GROUP):
+        part = x[slack + a : slack + min(a + _GROUP, n)]
+        for words in quads:
+            part += np.take(lanes, words[a : a + _GROUP], axis=0, mode="clip")
+    return _run_sums(x, span, n).view(np.uint8)[:, : len(own)]
 
 
 def find(w: Words, projection: np.ndarray, pr: Probes) -> list[np.ndarray]:
     """(row, item, cosine, overlap, answer) of what the texts leak, the best of each row and item.
 
     Every window and probe of at least ``MIN_COSINE`` is a candidate. Words that a probe lacks cannot take part in a common
-    subsequence: only the others are looked at, and a window with fewer of them than ``PARAPHRASE`` asks for is out at once.
+    subsequence: a window with fewer of the others than ``PARAPHRASE`` asks for, first by whole tiles and then by words, is out.
     """
     none = [np.zeros(0)] * 5
     toff = np.concatenate([[0], np.cumsum(-(-w.counts // TILE))])
@@ -285,40 +302,46 @@ def find(w: Words, projection: np.ndarray, pr: Probes) -> list[np.ndarray]:
         return none
     first = np.repeat(w.off[:-1], np.diff(toff)) + (np.arange(toff[-1]) - np.repeat(toff[:-1], np.diff(toff))) * TILE
     unit = _sums(projection, _slot(w.hash), first)
-    number = np.minimum(np.searchsorted(pr.vocab, w.hash), len(pr.vocab) - 1)
-    known = np.flatnonzero(pr.vocab[number] == w.hash)
-    word = number[known] + 1
-    table, cum = np.zeros(len(pr.vocab) + 1, U64), np.zeros(len(known) + 1, np.int32)
-    made: dict[int, np.ndarray] = {}
+    other = len(pr.vocab)
+    word = np.minimum(np.searchsorted(pr.vocab, w.hash), other - 1)
+    word[pr.vocab[word] != w.hash] = other
+    table = np.zeros(other + 1, U64)
+    row_of = np.repeat(np.arange(w.n), np.diff(toff))
+    last = w.off[row_of + 1]
+    quads = np.stack([np.where(first + j < last, word[np.minimum(first + j, len(word) - 1)], other) for j in range(TILE)])
     keep: list[tuple] = []
     for li in np.unique(pr.length):
-        own = np.flatnonzero(pr.length == li)
-        v, row, start, end = _windows(w, unit, toff, int(LENGTHS[li]), made)
-        s = np.searchsorted(known, np.maximum(start - SLACK, w.off[row]))
-        e = np.searchsorted(known, np.minimum(end + SLACK, w.off[row + 1]))
-        for a in range(0, len(own), _PROBES):
-            cosine = pr.vector[own[a : a + _PROBES]] @ v.T
-            for p, cos in zip(own[a : a + _PROBES].tolist(), cosine):
-                at = np.flatnonzero(cos >= np.float32(MIN_COSINE))
-                if not len(at):
-                    continue
+        same = np.flatnonzero(pr.length == li)
+        k = int(LENGTHS[li])
+        tile, row, start, end = _windows(w, toff, row_of, k)
+        for a in range(0, len(same), _PROBES):
+            own = same[a : a + _PROBES]
+            enough = _shared_words(quads, k, pr, own)[tile] >= np.ceil(PARAPHRASE * pr.size[own] - 1e-9).astype(np.uint8)
+            some = np.flatnonzero(enough.any(1))
+            cosine = _window_vectors(unit, tile[some], toff[row[some] + 1], k) @ pr.vector[own].T
+            which, window = np.nonzero(((cosine >= np.float32(MIN_COSINE)) & enough[some]).T)
+            for j in np.unique(which).tolist():
+                p, here = own[j], window[which == j]
+                at, cos = some[here], cosine[here, j]
+                s, e = np.maximum(start[at] - SLACK, w.off[row[at]]), np.minimum(end[at] + SLACK, w.off[row[at] + 1])
+                bound = np.concatenate([[0], np.cumsum(e - s)])
                 mine = slice(pr.off[p], pr.off[p + 1])
-                table[pr.number[mine]] = pr.mask[mine]
-                places = table[word]
-                table[pr.number[mine]] = 0
+                table[pr.number[mine] - 1] = pr.mask[mine]
+                places = table[word[np.repeat(s - bound[:-1], e - s) + np.arange(bound[-1])]]
+                table[pr.number[mine] - 1] = 0
                 hit = places != 0
-                np.cumsum(hit, out=cum[1:])
-                lo, hi, n = cum[s[at]], cum[e[at]], int(pr.size[p])
-                some = hi - lo >= PARAPHRASE * n
-                at, lo, hi, seq = at[some], lo[some], hi[some], places[hit]
+                cum = np.concatenate([[0], np.cumsum(hit)])
+                lo, hi, n = cum[bound[:-1]], cum[bound[1:]], int(pr.size[p])
+                good = hi - lo >= PARAPHRASE * n
+                at, cos, lo, hi, seq = at[good], cos[good], lo[good], hi[good], places[hit]
                 share = common_subsequence(seq, lo, hi) / n
-                some = share >= PARAPHRASE
-                at, lo, hi, share = at[some], lo[some], hi[some], share[some]
+                good = share >= PARAPHRASE
+                at, cos, lo, hi, share = at[good], cos[good], lo[good], hi[good], share[good]
                 if not len(at):
                     continue
                 answer = common_subsequence(seq & pr.tail[p], lo, hi) / max(int(np.bitwise_count(pr.tail[p])), 1)
                 good = (share >= VERBATIM) | (answer >= ANSWER)
-                keep.append((row[at[good]], np.full(int(good.sum()), pr.item[p]), cos[at[good]], share[good], answer[good]))
+                keep.append((row[at[good]], np.full(int(good.sum()), pr.item[p]), cos[good], share[good], answer[good]))
     if not keep:
         return none
     r, item, c, share, answer = (np.concatenate(k) for k in zip(*keep))
