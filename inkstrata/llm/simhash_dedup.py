@@ -12,6 +12,8 @@
    over the whole shard, is reached, and a query whose whole beam lies within
    ``RADIUS`` is compared with all members, so that no number of neighbours is
    the limit. Up to ``GRAPH_FROM`` members the graph is complete: all pairs.
+   Signatures alone are searched first; only members with a partner within
+   ``RADIUS`` come again, to shards of such members, with their trigrams.
 4. Every candidate pair is verified on the two texts' whole trigram sets (32-bit
    hashes) in the one shard that comes first among those the two share. The
    shard returns each member's number of links and its local root, not the pairs.
@@ -240,7 +242,7 @@ class SmallWorld:
             open_[live] = np.take_along_axis(all_open, keep, 1) & (dist[live] <= BITS)
         return ids
 
-    def audit(self, radius: int, target: float = 0.95) -> None:
+    def audit(self, radius: int, target: float = 0.98) -> None:
         """Sets ``beam`` to the least that finds ``target`` of all pairs within ``radius`` of evenly spaced probes, ``recall`` to that share.
 
         A beam of a sixteenth of the shard costs more than exact search; then ``beam`` is the whole shard and recall 1.
@@ -297,7 +299,7 @@ class Members:
             cls = rows.column("cls").to_numpy()
         sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), dtype=U64).reshape(-1, BITS // 64)
         keys = rows.column("keys").flatten().to_numpy().reshape(-1, TABLES)
-        sets = rows.column("grams").to_pylist()
+        sets = rows.column("grams").to_pylist() if "grams" in rows.schema.names else [b""] * len(cls)
         off = np.concatenate([[0], np.cumsum([len(s) // 4 for s in sets])]).astype(np.int64)
         return Members(cls, sig, keys, off, np.frombuffer(b"".join(sets), dtype=np.uint32))
 
@@ -356,16 +358,40 @@ class Links:
             if p != q:
                 self.root[max(p, q)] = min(p, q)
 
+    def __len__(self) -> int:
+        return len(self.count)
+
     def rows(self) -> pa.RecordBatch:
         own = sorted(self.count)
         return pa.record_batch([pa.array(own, pa.int64()), pa.array([self.find(x) for x in own], pa.int64()), pa.array([self.count[x] for x in own], pa.int64())], names=["cls", "root", "links"])
 
 
+class Near:
+    """Members of a table's shards that have a partner within ``RADIUS``."""
+
+    def __init__(self) -> None:
+        self.seen: dict[tuple[int, int], set[int]] = {}
+        self.size = 0
+
+    def add(self, shard: tuple[int, int], a: np.ndarray, b: np.ndarray) -> None:
+        own = self.seen.setdefault(shard, set())
+        self.size -= len(own)
+        own.update(np.unique(np.concatenate([a, b])).tolist())
+        self.size += len(own)
+
+    def rows(self) -> pa.RecordBatch:
+        t, key, cls = ([*x] for x in zip(*((t, key, c) for (t, key), own in self.seen.items() for c in own)))
+        return pa.record_batch([pa.array(t, pa.int32()), pa.array(key, pa.int64()), pa.array(cls, pa.int64())], names=["t", "key", "cls"])
+
+    def __len__(self) -> int:
+        return self.size
+
+
 class Shard:
     """One unit of work: the nodes of a block, then the queries broadcast to it."""
 
-    def __init__(self, t: int, own: bool, links: Links, radius: int = RADIUS):
-        self.t, self.own, self.links, self.radius = t, own, links, radius
+    def __init__(self, t: int, key: int, own: bool, links: Links | Near, radius: int = RADIUS):
+        self.t, self.key, self.own, self.links, self.radius = t, key, own, links, radius
         self.parts: list[Members] = []
         self.nodes: Members | None = None
         self.world: SmallWorld | None = None
@@ -380,7 +406,11 @@ class Shard:
     def _verify(self, q: Members, i: np.ndarray, j: np.ndarray) -> None:
         ok = self._first_here(q, i, j)
         i, j = i[ok], j[ok]
-        if len(i):
+        if not len(i):
+            return
+        if isinstance(self.links, Near):
+            self.links.add((self.t, self.key), q.cls[i], self.nodes.cls[j])
+        else:
             ok = similar(q, self.nodes, i, j)
             self.links.add(q.cls[i[ok]], self.nodes.cls[j[ok]])
 
@@ -419,13 +449,23 @@ class Shard:
 
 
 LINK_SCHEMA = "cls bigint, root bigint, links bigint"
+NEAR_SCHEMA = "t int, key bigint, cls bigint"
 
 
 def _links_of_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of (t, key, unit, own, query, cls, sig, keys, grams), sorted by the first three, nodes before queries -> links and local roots."""
+    yield from _of_shards(batches, Links)
+
+
+def _near_of_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows without trigrams -> members with a partner within ``RADIUS``, once for each unit of work or more."""
+    yield from _of_shards(batches, Near)
+
+
+def _of_shards(batches: Iterator[pa.RecordBatch], kind: type[Links] | type[Near]) -> Iterator[pa.RecordBatch]:
     shard: Shard | None = None
     at: tuple | None = None
-    links = Links()
+    links = kind()
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -437,10 +477,10 @@ def _links_of_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             if here != at:
                 if shard is not None and shard.parts:
                     shard.build()
-                if len(links.count) > 1 << 16:
+                if len(links) > 1 << 16:
                     yield links.rows()
-                    links = Links()
-                at, shard = here, Shard(here[0], bool(batch.column("own")[s].as_py()), links)
+                    links = kind()
+                at, shard = here, Shard(here[0], here[1], bool(batch.column("own")[s].as_py()), links)
             part = Members.of(batch.slice(s, e - s))
             if query[s]:
                 shard.query(part)
@@ -448,12 +488,12 @@ def _links_of_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 shard.parts.append(part)
     if shard is not None and shard.parts:
         shard.build()
-    if links.count:
+    if len(links):
         yield links.rows()
 
 
-def shard_rows(reps: DataFrame, live: DataFrame, grams: DataFrame, tasks: int, nodes: int = SHARD_NODES) -> DataFrame:
-    """The rows of every unit of work, sorted within its partition.
+def shard_rows(reps: DataFrame, live: DataFrame, grams: DataFrame | None, tasks: int, nodes: int = SHARD_NODES) -> DataFrame:
+    """The rows of every unit of work, with trigrams where ``grams`` are given, sorted within its partition.
 
     A shard of n members has ceil(n / ``nodes``) blocks. Member of block b: node of the units (b, 0 .. b / BLOCKS_PER_UNIT),
     the last of which finds the links within the block, and query to one unit of every later block.
@@ -461,13 +501,17 @@ def shard_rows(reps: DataFrame, live: DataFrame, grams: DataFrame, tasks: int, n
     blocks = F.ceil(F.col("n") / nodes).cast("int")
     block = F.pmod(F.xxhash64("cls"), F.ceil(F.col("n") / nodes)).cast("int")
     routes = live.select("cls", F.struct("t", "key", blocks.alias("blocks"), block.alias("block")).alias("r")).groupBy("cls").agg(F.collect_list("r").alias("routes"))
-    rows = reps.join(routes, "cls").join(grams, ["doc_id", "h"]).select("cls", "sig", "keys", "grams", F.explode("routes").alias("r"))
+    rows = reps.join(routes, "cls")
+    if grams is not None:
+        rows = rows.join(grams, ["doc_id", "h"])
+    body = ["cls", "sig", "keys", *([] if grams is None else ["grams"])]
+    rows = rows.select(*body, F.explode("routes").alias("r"))
     unit = lambda b, g: b.cast("bigint") * (1 << 24) + g
     group = F.floor(F.col("r.block") / BLOCKS_PER_UNIT).cast("int")
     as_node = F.transform(F.sequence(F.lit(0), group), lambda g: F.struct(unit(F.col("r.block"), g).alias("unit"), (g == group).alias("own"), F.lit(False).alias("query")))
     as_query = F.when(F.col("r.block") + 1 < F.col("r.blocks"), F.transform(F.sequence(F.col("r.block") + 1, F.col("r.blocks") - 1), lambda b: F.struct(unit(b, group).alias("unit"), (group == F.floor(b / BLOCKS_PER_UNIT)).alias("own"), F.lit(True).alias("query"))))
-    rows = rows.select(F.col("r.t").alias("t"), F.col("r.key").alias("key"), F.explode(F.concat(as_node, F.coalesce(as_query, F.slice(as_node, 1, 0)))).alias("u"), "cls", "sig", "keys", "grams")
-    rows = rows.select("t", "key", "u.unit", "u.own", "u.query", "cls", "sig", "keys", "grams")
+    rows = rows.select(F.col("r.t").alias("t"), F.col("r.key").alias("key"), F.explode(F.concat(as_node, F.coalesce(as_query, F.slice(as_node, 1, 0)))).alias("u"), *body)
+    rows = rows.select("t", "key", "u.unit", "u.own", "u.query", *body)
     return rows.repartition(tasks, "t", "key", "unit").sortWithinPartitions("t", "key", "unit", "query", "cls")
 
 
@@ -476,11 +520,21 @@ def verified_links(docs: DataFrame, light: DataFrame, doc_id: str | Column = "do
     spark = docs.sparkSession
     reps = light.dropDuplicates(["cls"])
     routed = reps.select("cls", F.posexplode("keys").alias("t", "key"))
-    sizes = routed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    live = routed.join(sizes, ["t", "key"]).checkpoint()
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-live.count() // ROWS_PER_TASK))
+    live = _shared(routed)
+    near = shard_rows(reps, live, None, _tasks(spark, live), nodes).mapInArrow(_near_of_shards, NEAR_SCHEMA).distinct().checkpoint()
+    live = _shared(near)
     grams = map_text(_keyed(docs, doc_id, text), ["doc_id", "h", "text"], "text", gram_sets, GRAM_SCHEMA)
-    return shard_rows(reps, live, grams, tasks, nodes).mapInArrow(_links_of_shards, LINK_SCHEMA)
+    return shard_rows(reps, live, grams, _tasks(spark, live), nodes).mapInArrow(_links_of_shards, LINK_SCHEMA)
+
+
+def _shared(routed: DataFrame) -> DataFrame:
+    """Rows (cls, t, key) of shards of two or more members, with their size ``n``."""
+    sizes = routed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
+    return routed.join(sizes, ["t", "key"]).checkpoint()
+
+
+def _tasks(spark: SparkSession, live: DataFrame) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-live.count() // ROWS_PER_TASK))
 
 
 # --- union ----------------------------------------------------------------------------------
