@@ -4,6 +4,7 @@ import collections
 import itertools
 import random
 import re
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -555,6 +556,48 @@ def test_more_neighbours_than_the_beam_are_all_found():
     assert want > 60_000 and got >= 0.95 * want
 
 
+def test_pairs_of_a_large_cluster_never_lie_in_memory_at_once():
+    """5,000 members that are all near each other: 12 million pairs, which as 64-bit codes alone are 100 MB."""
+    rng = np.random.default_rng(8)
+    bits = rng.integers(0, 2, (1, simhash_dedup.BITS), dtype=np.uint8) ^ (rng.random((5000, simhash_dedup.BITS)) < 0.1).astype(np.uint8)
+    sig, n = np.packbits(bits, axis=1).view(np.uint64), 5000
+    near = simhash_dedup.Near()
+    shard = simhash_dedup.Shard(0, 7, True, near)
+    shard.parts.append(simhash_dedup.Members(np.arange(n), sig, np.zeros((n, simhash_dedup.TABLES), np.int64), np.zeros(n + 1, np.int64), np.zeros(0, np.uint32)))
+    tracemalloc.start()
+    shard.build()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(near) == n and peak < 100e6
+
+
+@pytest.mark.parametrize("beam", [16, 64])
+def test_pairs_come_once_whether_beams_are_full_or_not(beam):
+    rng = np.random.default_rng(9)
+    centres = np.repeat(rng.integers(0, 2, (40, simhash_dedup.BITS), dtype=np.uint8), [200] + [6] * 39, axis=0)
+    sig = np.packbits(centres ^ (rng.random(centres.shape) < 0.15).astype(np.uint8), axis=1).view(np.uint64)
+    world = simhash_dedup.SmallWorld(sig)
+    world.beam = beam
+    got = [(a, b) for i, j in world.pairs(simhash_dedup.RADIUS) for a, b in zip(i.tolist(), j.tolist())]
+    want = {(a, b) for i, j in simhash_dedup.within(sig, sig, simhash_dedup.RADIUS) for a, b in zip(i.tolist(), j.tolist()) if a < b}
+    pairs = {(min(p), max(p)) for p in got}
+    assert len(pairs) == len(got) and pairs <= want and len(pairs) >= 0.95 * len(want) > 15_000
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 300), min_size=1, max_size=40), min_size=4, max_size=16), st.integers(1, 3))
+def test_bounds_by_bits_change_no_verdict(sets, split):
+    """With a bit for a few trigrams only, so that pairs between the bounds compare the rest."""
+    own = [simhash_dedup.Members(np.arange(len(s)), np.zeros((len(s), 4), np.uint64), None, np.cumsum([0, *map(len, s)]), np.array(sum(map(sorted, s), []), np.uint32)) for s in (sets, sets[:-split], sets[-split:])]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(simhash_dedup, "BITMAP", 64)
+        for nodes, q in ((own[0], own[0]), (own[1], own[2])):
+            i, j = (x.ravel() for x in np.mgrid[: len(q), : len(nodes)])
+            i, j = (i[i < j], j[i < j]) if q is nodes else (i, j)
+            bits = simhash_dedup.Bitmap(nodes).pair(None if q is nodes else q)
+            assert simhash_dedup.similar(q, nodes, i, j, bits).tolist() == simhash_dedup.similar(q, nodes, i, j).tolist()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 30), min_size=1, max_size=25), min_size=2, max_size=8))
 def test_similar_is_the_exact_jaccard(sets):
