@@ -1,10 +1,13 @@
 """The pipeline against a single-process version of its stages on whole lists of rows."""
 
+import tracemalloc
+
+import numpy as np
 import pyarrow as pa
 
 import __spark_entry__
 import corpus_pipeline
-from inkstrata.llm import bpe, decontamination, pii, toxicity
+from inkstrata.llm import bpe, decontamination, pii, simhash_dedup, toxicity
 from inkstrata.llm.textvec import Words
 from tests.llm.test_model_operators import brute_groups, table
 
@@ -51,6 +54,26 @@ def test_repeated_ids_keep_their_different_texts(spark, small, make):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, small).count() == 3
 
 
+def test_links_of_a_large_cluster_are_whole_in_bounded_memory():
+    """A cluster of 5,000 different near copies, as larger inputs have it, in the shard search of the second stage."""
+    rng, n = np.random.default_rng(3), 5000
+    bits = rng.integers(0, 2, (1, simhash_dedup.BITS), dtype=np.uint8) ^ (rng.random((n, simhash_dedup.BITS)) < 0.1).astype(np.uint8)
+    grams = np.hstack([np.tile(np.arange(20, dtype=np.uint32), (n, 1)), 100 + np.arange(n, dtype=np.uint32)[:, None]])
+    members = simhash_dedup.Members(np.arange(n), np.packbits(bits, axis=1).view(np.uint64), np.zeros((n, simhash_dedup.TABLES), np.int64), np.arange(n + 1) * 21, grams.ravel())
+    links = simhash_dedup.Links()
+    shard = simhash_dedup.Shard(0, 7, True, links)
+    shard.parts.append(members)
+    tracemalloc.start()
+    shard.build()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    rows = links.rows().to_pydict()
+    near = np.zeros(n, int)
+    for i, j in simhash_dedup.within(members.sig, members.sig, simhash_dedup.RADIUS):
+        near += np.bincount(i[i != j], minlength=n)
+    assert rows == {"cls": list(range(n)), "root": [0] * n, "links": near.tolist()} and near.min() > 4900 and peak < 150e6
+
+
 def test_registration():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
