@@ -6,7 +6,7 @@ logistic regression over hashed word unigrams and bigrams, sparse and
 L2-normalised. It is trained here: positives are windows of the families'
 notices with words dropped, replaced and put in surrounding prose; negatives are
 paragraphs of a bounded sample of the corpus and other legal phrases. A held-out
-third sets the temperature of the probabilities and the threshold below which a
+third of the former and the whole corpus set the temperature of the probabilities and the threshold below which a
 paragraph is unknown. Notices that are wrapped over lines, or lie across two
 windows of a line, are sought in windows of ``RUNS`` words over each block of
 lines without a blank one between them; they count where the notice begins.
@@ -15,9 +15,14 @@ Template comparison confirms a prediction: of the families that the classifier
 gives at least ``RIVAL`` of its best probability, the one whose notice is most
 alike counts, and it has to reach ``CONFIRM``. Likeness is the share of the
 notice's words that occur in the paragraph in order, each weighted by how rare
-the word is in the sample, so that the words that tell licences apart decide; of
+the word is among the lines, so that the words that tell licences apart decide; of
 equal likeness the notice of greater weight wins.
 
+Counts and calibration are of the whole corpus: how rare a word of the notices
+is comes from all lines, temperature and threshold from the scores of all
+paragraphs that match no notice, which have the weight that the sample's
+held-out lines would have. Only the weights are fitted on the sample.
+
 Bounds of the training sample, all parameters: ``NEGATIVE_DOCS`` documents (the
 least by a hash of their text, equal texts once) of at most ``NEGATIVE_CHARS``
 characters, of which ``NEGATIVE_LINES`` lines, the first ``WINDOW`` words of
@@ -32,6 +37,7 @@ trains on the notices alone.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -40,7 +46,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstrata.llm.textvec import U64, Words, map_text, mix, table
+from inkstrata.llm.bpe import ranges
+from inkstrata.llm.textvec import U64, Words, map_text, mix, slices, table
 
 FEATURES = 1 << 16
 WINDOW = 32
@@ -50,6 +57,8 @@ NEGATIVE_DOCS, NEGATIVE_CHARS, NEGATIVE_LINES, FILLER_WORDS = 300, 20_000, 6000,
 COPIES = 40  # training variants of each notice
 CONFIRM, RIVAL = 0.8, 0.05
 PRECISION = 0.995  # asked of the threshold on the held-out third
+TEMPERATURES = np.exp(np.linspace(-2, 2, 41))
+BINS = 1000  # of the confidence, in which the threshold is sought
 UNKNOWN = "unknown"
 #: family -> notices, which are what is learned and what is compared.
 NOTICES: dict[str, list[str]] = {
@@ -241,13 +250,16 @@ def _variants(notice: str, filler: list[str], rng: np.random.Generator) -> list[
     return out
 
 
-def train(negatives: pa.Array, seed: int = 3) -> Model:
-    """The classifier; ``negatives`` are corpus texts, of which lines that match a notice are left out."""
+def train(negatives: pa.Array, seed: int = 3, rarity: dict[str, float] | None = None, corpus: Callable[[Model], tuple[np.ndarray, np.ndarray]] | None = None) -> Model:
+    """The classifier; ``negatives`` are corpus texts, of which lines that match a notice are left out.
+
+    ``rarity`` and ``corpus``, ``calibration`` of a model, are of all lines; without them the sample stands for the corpus.
+    """
     rng = np.random.default_rng(seed)
     lines = [s for t in negatives.to_pylist() if t for s in t.split("\n") if s.strip()]
     sets = [set(_plain(s)) for s in lines]
     number = Counter(w for own in sets for w in own)
-    rarity = {w: float(np.log((len(lines) + 20) / (number[w] + 1))) for notices in _templates().values() for t in notices for w in t}
+    rarity = rarity or weights_of_words(len(lines), number)
     heavy = [(set(t), sum(rarity[w] for w in set(t))) for notices in _templates().values() for t in notices]
     clean = [all(sum(rarity[w] for w in t & own) < 0.7 * total for t, total in heavy) for own in sets]
     lines = [s for s, ok in zip(lines, clean) if ok]
@@ -267,6 +279,7 @@ def train(negatives: pa.Array, seed: int = 3) -> Model:
             gone = sorted(set(t), key=lambda w: -rarity[w])[:2]
             if rest := [w for w in t if w not in gone]:
                 texts.append(" ".join(rest)), y.append(0)
+    first_line = len(texts)
     for s in lines:
         texts.append(" ".join(s.split()[:WINDOW])), y.append(0)
     p = paragraphs(pa.array(texts))
@@ -277,9 +290,13 @@ def train(negatives: pa.Array, seed: int = 3) -> Model:
     own = np.flatnonzero(~held)
     weights, bias = fit_softmax(Paragraphs(p.words, p.begin[own], p.end[own], p.row[own], p.line[own]), y[own], weight[own])
     z, yh = scores(p, weights, bias)[held], y[held]
-    temps = np.exp(np.linspace(-2, 2, 41))
-    loss = [-np.log(softmax(z / t)[np.arange(len(yh)), yh] + 1e-12).mean() for t in temps]
-    temperature = float(temps[int(np.argmin(loss))])
+    if corpus is not None:
+        loss_all, number_all = corpus(Model(weights, bias, 1.0, 0.5, rarity))
+        if number_all[0].sum():
+            line = (p.row >= first_line)[held]
+            return _calibrated(weights, bias, rarity, z[~line], yh[~line], max(int(line.sum()), 1), loss_all, number_all)
+    loss = [-np.log(softmax(z / t)[np.arange(len(yh)), yh] + 1e-12).mean() for t in TEMPERATURES]
+    temperature = float(TEMPERATURES[int(np.argmin(loss))])
     prob = softmax(z / temperature)
     best = prob[:, 1:].argmax(1) + 1
     conf, right = prob[np.arange(len(yh)), best], best == yh
@@ -290,6 +307,25 @@ def train(negatives: pa.Array, seed: int = 3) -> Model:
     return Model(weights, bias, temperature, threshold, rarity)
 
 
+def _calibrated(weights: np.ndarray, bias: np.ndarray, rarity: dict[str, float], z: np.ndarray, y: np.ndarray, lines: int, loss_all: np.ndarray, number_all: np.ndarray) -> Model:
+    """Temperature and threshold from held-out variants (``z``, ``y``) and all paragraphs of the corpus, which weigh as ``lines`` rows."""
+    share = lines / number_all[0].sum()
+    loss = [-np.log(softmax(z / t)[np.arange(len(y)), y] + 1e-12).sum() + share * loss_all[k] for k, t in enumerate(TEMPERATURES)]
+    k = int(np.argmin(loss))
+    prob = softmax(z / TEMPERATURES[k])
+    best = prob[:, 1:].argmax(1) + 1
+    at = _bin(prob[np.arange(len(y)), best])
+    right, every = np.bincount(at[best == y], minlength=BINS), np.bincount(at, minlength=BINS) + share * number_all[k]
+    precision = np.cumsum(right[::-1]) / np.maximum(np.cumsum(every[::-1]), 1e-9)
+    ok = np.flatnonzero(precision >= PRECISION)
+    threshold = min((BINS - 1 - int(ok[-1])) / BINS, 0.5) if len(ok) else 0.5
+    return Model(weights, bias, float(TEMPERATURES[k]), threshold, rarity)
+
+
+def _bin(conf: np.ndarray) -> np.ndarray:
+    return np.minimum((conf * BINS).astype(np.int64), BINS - 1)
+
+
 @lru_cache(maxsize=1)
 def _templates() -> dict[str, list[list[str]]]:
     return {f: [_plain(n) for n in notices] for f, notices in NOTICES.items()}
@@ -370,11 +406,12 @@ def detect(model: Model, text: pa.Array) -> list[tuple[int, int, str, float, flo
     return [(r, n, f, round(prob_, 4), round(like, 4)) for (r, n, f), (like, prob_) in sorted(found.items())]
 
 
-def fit(docs: DataFrame, limit: int = NEGATIVE_DOCS, chars: int = NEGATIVE_CHARS) -> Model:
+def fit(docs: DataFrame, limit: int = NEGATIVE_DOCS, chars: int = NEGATIVE_CHARS, then: Callable[[pa.Array], Model] | None = None) -> Model:
     """The model, with negatives of at most ``limit`` documents of at most ``chars`` characters.
 
     The sample is chosen by hashes under a threshold that follows the number of documents, so no task gets more than the sample.
     """
+    then = then or train
     rows = docs.select(F.col("text").cast("string").alias("text")).where(F.length("text").between(1, chars)).select("text", F.xxhash64("text").alias("h"))
     n = rows.count()
     least: list[int] = []
@@ -384,14 +421,114 @@ def fit(docs: DataFrame, limit: int = NEGATIVE_DOCS, chars: int = NEGATIVE_CHARS
         if len(least) == limit or bound == (1 << 63) - 1:
             break
     if not least:
-        return train(pa.array([], pa.string()))
+        return then(pa.array([], pa.string()))
     found = rows.where(F.col("h") <= least[-1]).groupBy("h").agg(F.min("text").alias("text")).toArrow().sort_by("h")
-    return train(found.column("text").combine_chunks())
+    return then(found.column("text").combine_chunks())
+
+
+def weights_of_words(lines: int, number: dict[str, int]) -> dict[str, float]:
+    """How rare each word of the notices is, which ``number`` of so many ``lines`` have."""
+    return {w: float(np.log((lines + 20) / (number.get(w, 0) + 1))) for notices in _templates().values() for t in notices for w in t}
+
+
+@lru_cache(maxsize=1)
+def _vocabulary() -> tuple[list[str], np.ndarray]:
+    """The words of the notices by hash, and their hashes."""
+    words = sorted({w for notices in _templates().values() for t in notices for w in t})
+    hashes = np.array([int(Words(pa.array([w])).hash[0]) for w in words], U64)
+    order = np.argsort(hashes)
+    return [words[i] for i in order], hashes[order]
+
+
+def _numbers(w: Words) -> np.ndarray:
+    """The number of each word in the notices' vocabulary, -1 for others."""
+    hashes = _vocabulary()[1]
+    at = np.minimum(np.searchsorted(hashes, w.hash), len(hashes) - 1)
+    return np.where(hashes[at] == w.hash, at, -1)
+
+
+def line_counts(docs: DataFrame) -> tuple[int, dict[str, int]]:
+    """The number of lines with a word, and of those that have each word of the notices; over all of ``docs``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = len(_vocabulary()[0])
+        total = np.zeros(size + 1, np.int64)
+        for batch in batches:
+            for part in slices(batch, 0):
+                w = Words(part.column(0).fill_null(""))
+                if not len(w.doc):
+                    continue
+                line = _lines(w)
+                row = np.cumsum(np.concatenate([[0], (line[1:] != line[:-1]) | (w.doc[1:] != w.doc[:-1])]))
+                number = _numbers(w)
+                own = np.unique((row * size + number)[number >= 0])
+                total[:size] += np.bincount(own % size, minlength=size)
+                total[size] += row[-1] + 1
+        yield pa.record_batch([pa.array(np.arange(size + 1), pa.int32()), pa.array(total)], names=["word", "n"])
+
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word int, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    words, n = _vocabulary()[0], dict(zip(found.column("word").to_pylist(), found.column("n").to_pylist()))
+    return n.get(len(words), 0), {w: n.get(k, 0) for k, w in enumerate(words)}
+
+
+def _matching(p: Paragraphs, rarity: dict[str, float]) -> np.ndarray:
+    """Whether each paragraph has 0.7 of the weight of a notice's words."""
+    words = _vocabulary()[0]
+    weight = np.array([rarity[w] for w in words])
+    notices = [set(t) for ts in _templates().values() for t in ts]
+    share = np.array([[weight[k] * (w in own) for own in notices] for k, w in enumerate(words)])
+    share = (share / share.sum(0)).astype(np.float32)
+    number, out = _numbers(p.words), np.empty(len(p.begin), bool)
+    for a in range(0, len(p.begin), 4096):
+        b, e = p.begin[a : a + 4096], p.end[a : a + 4096]
+        col, row = number[ranges(b, e - b)], np.repeat(np.arange(len(b)), e - b)
+        has = np.zeros((len(b), len(words)), np.float32)
+        has[row[col >= 0], col[col >= 0]] = 1
+        out[a : a + 4096] = (has @ share >= 0.7).any(1)
+    return out
+
+
+def calibration(docs: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Of all paragraphs that match no notice, at each of ``TEMPERATURES``: the loss, and how many have a licence's probability in each of ``BINS``."""
+    rarity, weights, bias = model.rarity, model.weights, model.bias
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loss, number = np.zeros((len(TEMPERATURES), BINS)), np.zeros((len(TEMPERATURES), BINS), np.int64)
+        for batch in batches:
+            for part in slices(batch, 0):
+                p = paragraphs(part.column(0).fill_null(""))
+                z = scores(p, weights, bias)[~_matching(p, rarity)]
+                if not len(z):
+                    continue
+                apart = (z[:, 1:] - z[:, :1]).astype(np.float32)
+                top = apart.max(1)
+                for k, t in enumerate(TEMPERATURES):
+                    high = np.maximum(top, 0) / t
+                    norm = np.exp(-high) + np.exp(apart / np.float32(t) - high[:, None]).sum(1)
+                    at = _bin(np.exp(top / t - high) / norm)
+                    number[k] += np.bincount(at, minlength=BINS)
+                    loss[k] += np.bincount(at, weights=np.log(norm) + high, minlength=BINS)
+        k, at = np.nonzero(number)
+        yield pa.record_batch([pa.array(k, pa.int32()), pa.array(at, pa.int32()), pa.array(number[k, at]), pa.array(loss[k, at])], names=["t", "bin", "n", "loss"])
+
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "t int, bin int, n bigint, loss double")
+    found = rows.groupBy("t", "bin").agg(F.sum("n").alias("n"), F.sum("loss").alias("loss")).toArrow()
+    number, loss = np.zeros((len(TEMPERATURES), BINS), np.int64), np.zeros(len(TEMPERATURES))
+    t = found.column("t").to_numpy()
+    number[t, found.column("bin").to_numpy()] = found.column("n").to_numpy()
+    np.add.at(loss, t, found.column("loss").to_numpy())
+    return loss, number
+
+
+def fit_all(docs: DataFrame) -> Model:
+    """The model with counts, temperature and threshold of all of ``docs``; its weights are fitted on the sample of ``fit``."""
+    rarity = weights_of_words(*line_counts(docs))
+    return fit(docs, then=lambda texts: train(texts, rarity=rarity, corpus=lambda model: calibration(docs, model)))
 
 
 def licenses(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """Every licence paragraph of every document; ``paragraph`` is its line, from 0."""
-    model = model or fit(docs)
+    model = model or fit_all(docs)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         found = detect(model, batch.column(1).fill_null(""))

@@ -290,6 +290,31 @@ def test_sample_takes_the_least_hashes_once(spark, make, monkeypatch):
     assert taken == [sorted(hashes, key=hashes.get)[:10]]
 
 
+def test_counts_and_calibration_are_of_all_lines(spark, make, model):
+    """More texts than the sample has; every line and paragraph is in the counts, against plain loops."""
+    r = random.Random(4)
+    common = ["license", "software", "the", "terms", "public", "river", "stone", "apple", "cloud"]
+    texts = ["\n".join(" ".join(r.choices(common, k=r.randint(1, 40))) for _ in range(4)) + f" n{k}" for k in range(2 * license_scan.NEGATIVE_DOCS)]
+    docs = make([*texts, None, "", "\n \n", "Released under the MIT License."])
+    lines = [set(license_scan._plain(s)) for t in [*texts, "Released under the MIT License."] for s in t.split("\n")]
+    n, number = license_scan.line_counts(docs)
+    assert n == len(lines) and all(number[w] == sum(w in own for own in lines) for w in number) and number["software"] > 1000
+    loss, found = license_scan.calibration(docs, model)
+    p = license_scan.paragraphs(pa.array(texts))
+    z, raw = license_scan.scores(p, model.weights, model.bias).astype(float), bytes(p.words.buf)
+    own = [{raw[s:e].decode() for s, e in zip(p.words.start[b:e_], p.words.end[b:e_])} for b, e_ in zip(p.begin, p.end)]
+    notices = [set(t) for ts in license_scan._templates().values() for t in ts]
+    clean = [all(sum(model.rarity[w] for w in t & o) < 0.7 * sum(model.rarity[w] for w in t) for t in notices) for o in own]
+    assert (found.sum(1) == sum(clean)).all() and sum(clean) > 2000
+    want = [-np.log(license_scan.softmax(z[clean] / t)[:, 0]).sum() for t in license_scan.TEMPERATURES]
+    assert np.allclose(loss, want, rtol=1e-3, atol=1e-2)
+    assert license_scan.fit_all(docs).rarity == license_scan.weights_of_words(n, number)
+
+
+def test_the_whole_model_finds_the_planted_lines(spark, small):
+    test_licences_equal_the_planted_lines(spark, small, license_scan.fit_all(documents(spark, small)))
+
+
 def test_scores_equal_a_plain_sum(model):
     p = license_scan.paragraphs(pa.array(["one two three\nfour", "five " * 200]))
     one, two = license_scan._slots(p.words)
