@@ -1,9 +1,10 @@
 """Byte-pair encoding by speculation and verification, and decoding.
 
-Each new word is cut by greedy longest match. All adjacent token pairs of the
-new words are then tested at once: a sequence is the byte-pair encoding of its
-bytes exactly if every adjacent pair is what merging the two tokens' bytes
-gives. Only words with a failing pair undergo exact merging.
+The new words of a slice of texts are cut by greedy longest match, all at once.
+All their adjacent token pairs are then tested: a sequence is the byte-pair
+encoding of its bytes exactly if every adjacent pair is what merging the two
+tokens' bytes gives. Only words with a failing pair undergo exact merging, which
+also takes them all at once.
 
 Defined results: a null text has null tokens, an empty text no tokens; any
 valid UTF-8 text decodes to itself; repeated rows repeat.
@@ -11,6 +12,8 @@ valid UTF-8 text decodes to itself; repeated rows repeat.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -48,29 +51,27 @@ class Encoder:
     def _learn(self) -> None:
         words = [w.encode() for w in self.numbers.new]
         self.numbers.new = []
-        guess = [self.vocab.greedy(w) for w in words]
-        size = np.array([len(g) for g in guess])
-        flat = np.array([t for g in guess for t in g], dtype=np.int32)
+        flat, size = self.vocab.greedy_all(words)
         word = np.repeat(np.arange(len(words)), size)
         inner = np.flatnonzero(word[1:] == word[:-1])
-        pair, back = np.unique(flat[inner].astype(np.int64) * self.vocab.size + flat[inner + 1], return_inverse=True)
+        pair, back = np.unique(flat[inner] * self.vocab.size + flat[inner + 1], return_inverse=True)
         good = self.vocab.compatible(pair // self.vocab.size, pair % self.vocab.size)
         bad = np.unique(word[inner[~good[back]]])
         self.seen += len(words)
         self.failed += len(bad)
+        start = np.cumsum(size) - size
         if len(bad):
-            ranks = self.vocab.ranks
-            for k in bad:
-                guess[k] = [ranks[p] for p in self.vocab.merge(words[k])]
-            size = np.array([len(g) for g in guess])
-            flat = np.array([t for g in guess for t in g], dtype=np.int32)
+            exact, size[bad] = self.vocab.merge_all([words[k] for k in bad.tolist()])
+            start[bad] = len(flat) + np.cumsum(size[bad]) - size[bad]
+            flat = np.concatenate([flat, exact])[ranges(start, size)]
+            start = np.cumsum(size) - size
         first = len(self.numbers) - len(words)
         while len(self.start) < len(self.numbers):
             self.start, self.size = np.concatenate([self.start, np.zeros_like(self.start)]), np.concatenate([self.size, np.zeros_like(self.size)])
         while len(self.flat) < self.used + len(flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(flat)] = flat
-        self.start[first : len(self.numbers)] = self.used + np.cumsum(size) - size
+        self.start[first : len(self.numbers)] = self.used + start
         self.size[first : len(self.numbers)] = size
         self.used += len(flat)
 
@@ -80,7 +81,7 @@ class Encoder:
             self._reset()
         words = [self.vocab.words(t) for t in texts]
         counts = np.array([len(w) for w in words], dtype=np.int64)
-        number = np.fromiter((n for w in words for n in map(self.numbers.__getitem__, w)), np.int64, counts.sum())
+        number = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(words)), np.int64, counts.sum())
         if self.numbers.new:
             self._learn()
         size = self.size[number]

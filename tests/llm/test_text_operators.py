@@ -99,6 +99,29 @@ def test_merging_and_encoding_equal_brute_force(text):
     assert tokens.tolist() == whole and off.tolist() == [0, len(whole), len(whole)]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(WORDS.map(str.encode), st.binary(max_size=20), st.sampled_from([b"a" * n for n in (1, 2, 3, 63, 64, 65, 200)])), max_size=30))
+def test_words_in_bulk_equal_words_one_by_one(words):
+    for many, one in ((VOCAB.greedy_all, VOCAB.greedy), (VOCAB.merge_all, lambda w: [VOCAB.ranks[p] for p in naive(w)])):
+        tokens, size = many(words)
+        want = [one(w) for w in words]
+        assert tokens.tolist() == [t for x in want for t in x] and size.tolist() == [len(x) for x in want]
+
+
+def test_new_words_are_cut_and_merged_together(monkeypatch, reference):
+    """Invented words, most of them new in every text, as in large inputs; one by one only where they are long."""
+    rng, calls = random.Random(8), Counter()
+    texts = [" ".join("".join(rng.choice("aeioubdhlnrstéß") for _ in range(rng.randrange(1, 14))) for _ in range(300)) + " " + "xyz" * 40 * (k % 2) for k in range(20)]
+    for name in ("greedy", "merge"):
+        monkeypatch.setattr(bpe.Vocabulary, name, lambda self, word, *rest, own=getattr(bpe.Vocabulary, name), name=name: calls.update([(name, len(word) > bpe.BULK_BYTES)]) or own(self, word, *rest))
+    VOCAB.compatible(np.array([0]), np.array([0]))  # its tables merge every token once
+    calls.clear()
+    enc = bpe_codec.Encoder(VOCAB)
+    tokens, off = enc.encode(texts)
+    assert [tokens[a:b].tolist() for a, b in zip(off, off[1:])] == [reference.encode_ordinary(t) for t in texts]
+    assert enc.seen > 5000 and enc.failed > 1000 and not calls["greedy", False] + calls["merge", False] and calls["greedy", True]
+
+
 def test_counts_and_codes_equal_the_library(spark, small, reference):
     docs = documents(spark, small)
     want = {r.doc_id: reference.encode_ordinary(r.text) for r in docs.collect()}
