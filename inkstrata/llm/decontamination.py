@@ -40,11 +40,14 @@ LENGTHS = np.array([1, 2, 3, 4, 6, 8, 12, 16])  # window lengths in tiles
 MIN_COSINE = 0.5
 VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.6, 0.8
 SLACK = 6  # words of context on either side of a window that its check may use
+_SLACK_TILES = -(-SLACK // TILE)
 #: Items compared in one pass over the texts; a larger benchmark takes several passes.
 ITEMS_PER_PASS = 4096
-_GROUP, _BLOCK = 8192, 1024  # words and sums per inner block, so that the vectors at work stay in cache
+_GROUP, _BLOCK, _TILES = 8192, 1024, 2048  # words, sums and tiles per inner block, so that the vectors at work stay in cache
 _SLICE = 1 << 19  # bytes of text handled at once
 _PROBES = 64  # probes compared with all windows of a slice at once
+_PAIRS = 2048  # windows and probes verified at once
+_HIGH = U64(0x8080808080808080)
 
 SCHEMA = "doc_id bigint, item_id bigint, cosine double, overlap double, answer double"
 
@@ -97,10 +100,11 @@ def _sums(m: np.ndarray, slot: np.ndarray, starts: np.ndarray) -> np.ndarray:
     size = np.diff(np.append(starts, len(slot)))
     out = np.zeros((len(starts), m.shape[1]), m.dtype)
     padded = np.append(slot, len(m) - 1)
+    taken = np.empty((min(_BLOCK, len(starts)), m.shape[1]), m.dtype)
     for a in range(0, len(starts), _BLOCK):
         at, n, part = starts[a : a + _BLOCK], size[a : a + _BLOCK], out[a : a + _BLOCK]
         for j in range(int(n.max())):
-            part += m[padded[np.where(j < n, at + j, len(slot))]]
+            part += np.take(m, padded[np.where(j < n, at + j, len(slot))], axis=0, out=taken[: len(part)], mode="clip")
     return out
 
 
@@ -127,7 +131,7 @@ def sketch_matrix(docs: DataFrame, idf: np.ndarray, seed: int = 5) -> np.ndarray
             at = order[a : a + _GROUP]
             by = slot[at]
             first = np.flatnonzero(np.concatenate([[True], by[1:] != by[:-1]]))
-            acc[by[first]] += np.add.reduceat(y[p[at]], first, axis=0)
+            acc[by[first]] += np.add.reduceat(np.take(y, p[at], axis=0, mode="clip"), first, axis=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc, gram = np.zeros((DIM, l), np.float32), np.zeros((l, l))
@@ -163,11 +167,23 @@ class Probes:
     length: np.ndarray  # index into LENGTHS
     vector: np.ndarray
     vocab: np.ndarray  # sorted word hashes; word k has number k + 1, 0 is any other word
+    begin: np.ndarray  # the first word of ``vocab`` of each leading part of a hash
     off: np.ndarray  # the distinct words of probe k are number[off[k] : off[k + 1]]
     number: np.ndarray
     mask: np.ndarray  # positions of each such word in the probe
     tail: np.ndarray  # positions of the answer
 
+    def places(self, h: np.ndarray) -> np.ndarray:
+        """The place in ``vocab`` of each hash, ``len(vocab)`` for other words."""
+        lead = (h >> U64(65 - len(self.begin).bit_length())).view(np.int64)
+        at = self.begin[lead].astype(np.int64)
+        padded = np.append(self.vocab, ~U64(0))
+        later = np.flatnonzero(padded[at] < h)
+        while len(later):
+            at[later] += 1
+            later = later[padded[at[later]] < h[later]]
+        return np.where(padded[at] == h, at, len(self.vocab))
+
 
 def probes(items: pa.Table, projection: np.ndarray) -> Probes | None:
     items = items.filter(pa.compute.and_(pa.compute.is_valid(items.column(0)), pa.compute.is_valid(items.column(1))))
@@ -214,7 +230,9 @@ def probes(items: pa.Table, projection: np.ndarray) -> Probes | None:
         vector[k] = v / (np.linalg.norm(v) + 1e-12)
     length = np.abs(np.log(np.maximum(size, 1)[:, None] / (LENGTHS[None] * TILE))).argmin(1)
     off = np.cumsum([0, *map(len, numbers)])
-    return Probes(np.array(item), size, length, vector, vocab, off, np.concatenate(numbers), np.concatenate(masks), np.array(answer, dtype=U64))
+    bits = len(vocab).bit_length() + 2
+    lead = np.searchsorted(vocab, np.arange(1 << bits, dtype=U64) << U64(64 - bits)).astype(np.int32)
+    return Probes(np.array(item), size, length, vector, vocab, lead, off, np.concatenate(numbers), np.concatenate(masks), np.array(answer, dtype=U64))
 
 
 def common_subsequence(seq: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -237,14 +255,10 @@ def common_subsequence(seq: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.nd
     return out
 
 
-def _windows(w: Words, toff: np.ndarray, row_of: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First tile, row, first and end word of all windows of ``k`` tiles; a shorter row is one window."""
-    within = np.arange(len(row_of)) - toff[row_of]
-    left = toff[row_of + 1] - toff[row_of] - within
-    tile = np.flatnonzero(((left >= k) & ((within % (1 if k <= 8 else 2) == 0) | (left == k))) | ((within == 0) & (left < k)))
-    row = row_of[tile]
-    start = w.off[row] + within[tile] * TILE
-    return tile, row, start, np.minimum(start + k * TILE, w.off[row + 1])
+def _windows(within: np.ndarray, left: np.ndarray, k: int) -> np.ndarray:
+    """Whether a window of ``k`` tiles begins at each tile, ``within`` its row and with ``left`` to go; a shorter row is one window."""
+    fits = left >= k if k <= 8 else (left >= k) & ((within % 2 == 0) | (left == k))
+    return fits | ((within == 0) & (left < k))
 
 
 def _window_vectors(unit: np.ndarray, tile: np.ndarray, end: np.ndarray, k: int) -> np.ndarray:
@@ -272,76 +286,126 @@ def _run_sums(x: np.ndarray, k: int, n: int) -> np.ndarray:
 
 
 def _shared_words(quads: np.ndarray, k: int, pr: Probes, own: np.ndarray) -> np.ndarray:
-    """For each tile and probe of ``own``: no fewer words of the probe than a window of ``k`` tiles from there has with its ``SLACK``.
+    """Which windows of ``k`` tiles may have ``PARAPHRASE`` of the words of the probes ``own``: the high bit of each probe's byte, for each tile.
 
-    Eight probes' numbers lie in one integer: a window of at most 80 words can't carry over into the next byte.
+    The number of the probe's words in the window's tiles and in those of its ``SLACK`` is no less than what the window has.
+    Eight probes' numbers lie in one integer: at most 80 words and 127 to add to them can't carry over into the next byte.
     """
     member = np.zeros((len(pr.vocab) + 1, -(-len(own) // 8) * 8), np.uint8)
     for j, p in enumerate(own.tolist()):
         member[pr.number[pr.off[p] : pr.off[p + 1]] - 1, j] = 1
     lanes = member.view(U64)
-    slack, n = -(-SLACK // TILE), quads.shape[1]
-    span = k + 2 * slack  # tiles of a neighbouring row only add to the number
-    x = np.zeros((n + slack + span, lanes.shape[1]), U64)
-    for a in range(0, n, _GROUP):
-        part = x[slack + a : slack + min(a + _GROUP, n)]
-        for words in quads:
-            part += np.take(lanes, words[a : a + _GROUP], axis=0, mode="clip")
-    return _run_sums(x, span, n).view(np.uint8)[:, : len(own)]
+    add = np.zeros(member.shape[1], np.uint8)
+    add[: len(own)] = 128 - np.ceil(PARAPHRASE * pr.size[own] - 1e-9).astype(np.int64)
+    add = add.view(U64)
+    span = k + 2 * _SLACK_TILES  # tiles of a neighbouring row only add to the number
+    out = np.empty((quads.shape[1] - _SLACK_TILES - int(LENGTHS[-1]) - _SLACK_TILES, lanes.shape[1]), U64)
+    for a in range(0, len(out), _TILES):
+        part = out[a : a + _TILES]
+        near = quads[:, a : a + len(part) + span]
+        x = np.take(lanes, near[0], axis=0, mode="clip")
+        taken = np.empty_like(x)
+        for words in near[1:]:
+            x += np.take(lanes, words, axis=0, out=taken, mode="clip")
+        np.bitwise_and(_run_sums(x, span, len(part)) + add, _HIGH, out=part)
+    return out
+
+
+def _leaked(word: np.ndarray, pr: Probes, probe: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which of the runs ``word[s:e]`` leak their probe, with overlap and answer; the runs of a probe follow one another.
+
+    Words that a probe lacks cannot take part in a common subsequence: a run with fewer of the others than ``PARAPHRASE`` asks for is out.
+    """
+    bound = np.concatenate([[0], np.cumsum(e - s)])
+    own = word[np.repeat(s - bound[:-1], e - s) + np.arange(bound[-1])]
+    table, places = np.zeros(len(pr.vocab) + 1, U64), np.empty(len(own), U64)
+    cut = [0, *(np.flatnonzero(np.diff(probe)) + 1).tolist(), len(probe)]
+    for a, z in zip(cut[:-1], cut[1:]):
+        mine = slice(pr.off[probe[a]], pr.off[probe[a] + 1])
+        table[pr.number[mine] - 1] = pr.mask[mine]
+        places[bound[a] : bound[z]] = table[own[bound[a] : bound[z]]]
+        table[pr.number[mine] - 1] = 0
+    hit = places != 0
+    cum = np.concatenate([[0], np.cumsum(hit)])
+    lo, hi, seq = cum[bound[:-1]], cum[bound[1:]], places[hit]
+    tail = seq & np.repeat(pr.tail[probe], hi - lo)
+    at = np.flatnonzero(hi - lo >= PARAPHRASE * pr.size[probe])
+    share = common_subsequence(seq, lo[at], hi[at]) / pr.size[probe[at]]
+    at, share = at[share >= PARAPHRASE], share[share >= PARAPHRASE]
+    answer = common_subsequence(tail, lo[at], hi[at]) / np.maximum(np.bitwise_count(pr.tail[probe[at]]), 1)
+    good = (share >= VERBATIM) | (answer >= ANSWER)
+    return at[good], share[good], answer[good]
 
 
 def find(w: Words, projection: np.ndarray, pr: Probes) -> list[np.ndarray]:
     """(row, item, cosine, overlap, answer) of what the texts leak, the best of each row and item.
 
-    Every window and probe of at least ``MIN_COSINE`` is a candidate. Words that a probe lacks cannot take part in a common
-    subsequence: a window with fewer of the others than ``PARAPHRASE`` asks for, first by whole tiles and then by words, is out.
+    Every window and probe of at least ``MIN_COSINE`` is a candidate. Windows with too few of a probe's words are out before
+    any cosine, and only tiles of the others get a vector.
     """
     none = [np.zeros(0)] * 5
     toff = np.concatenate([[0], np.cumsum(-(-w.counts // TILE))])
-    if not toff[-1]:
+    n = int(toff[-1])
+    if not n:
         return none
-    first = np.repeat(w.off[:-1], np.diff(toff)) + (np.arange(toff[-1]) - np.repeat(toff[:-1], np.diff(toff))) * TILE
-    unit = _sums(projection, _slot(w.hash), first)
-    other = len(pr.vocab)
-    word = np.minimum(np.searchsorted(pr.vocab, w.hash), other - 1)
-    word[pr.vocab[word] != w.hash] = other
-    table = np.zeros(other + 1, U64)
     row_of = np.repeat(np.arange(w.n), np.diff(toff))
-    last = w.off[row_of + 1]
-    quads = np.stack([np.where(first + j < last, word[np.minimum(first + j, len(word) - 1)], other) for j in range(TILE)])
+    within = np.arange(n) - toff[row_of]
+    left = np.diff(toff)[row_of] - within
+    first, last = w.off[row_of] + within * TILE, w.off[row_of + 1]
+    other = len(pr.vocab)
+    word = pr.places(w.hash)
+    slot = np.append(_slot(w.hash), len(projection) - 1)
+    quads = np.full((TILE, _SLACK_TILES + n + int(LENGTHS[-1]) + _SLACK_TILES), other)
+    for j in range(TILE):
+        quads[j, _SLACK_TILES : _SLACK_TILES + n] = np.where(first + j < last, word[np.minimum(first + j, len(word) - 1)], other)
+    unit, known = np.zeros((n, projection.shape[1]), projection.dtype), np.zeros(n, bool)
+
+    def learn(tile: np.ndarray, k: int) -> None:
+        """Vectors of the tiles of windows, where not yet known."""
+        near = np.zeros(n, bool)
+        for j in range(k):
+            near[np.minimum(tile + j, n - 1)] = True
+        at = np.flatnonzero(near & ~known)
+        for a in range(0, len(at), _BLOCK):
+            part = at[a : a + _BLOCK]
+            unit[part] = sum(projection[slot[np.where(first[part] + j < last[part], first[part] + j, len(slot) - 1)]] for j in range(TILE))
+        known[at] = True
+
+    pairs: list[tuple] = []
     keep: list[tuple] = []
+
+    def verify() -> None:
+        """What of the pairs leaks; the pairs go."""
+        if not pairs:
+            return
+        tile, probe, cosine = (np.concatenate(x) for x in zip(*pairs))
+        pairs.clear()
+        for a in range(0, len(tile), _PAIRS):
+            at, p = tile[a : a + _PAIRS], probe[a : a + _PAIRS]
+            end = np.minimum(first[at] + LENGTHS[pr.length[p]] * TILE, last[at])
+            good, share, answer = _leaked(word, pr, p, np.maximum(first[at] - SLACK, w.off[row_of[at]]), np.minimum(end + SLACK, last[at]))
+            keep.append((row_of[at[good]], pr.item[p[good]], cosine[a + good], share, answer))
+
     for li in np.unique(pr.length):
         same = np.flatnonzero(pr.length == li)
         k = int(LENGTHS[li])
-        tile, row, start, end = _windows(w, toff, row_of, k)
+        begins = _windows(within, left, k)
         for a in range(0, len(same), _PROBES):
             own = same[a : a + _PROBES]
-            enough = _shared_words(quads, k, pr, own)[tile] >= np.ceil(PARAPHRASE * pr.size[own] - 1e-9).astype(np.uint8)
-            some = np.flatnonzero(enough.any(1))
-            cosine = _window_vectors(unit, tile[some], toff[row[some] + 1], k) @ pr.vector[own].T
-            which, window = np.nonzero(((cosine >= np.float32(MIN_COSINE)) & enough[some]).T)
-            for j in np.unique(which).tolist():
-                p, here = own[j], window[which == j]
-                at, cos = some[here], cosine[here, j]
-                s, e = np.maximum(start[at] - SLACK, w.off[row[at]]), np.minimum(end[at] + SLACK, w.off[row[at] + 1])
-                bound = np.concatenate([[0], np.cumsum(e - s)])
-                mine = slice(pr.off[p], pr.off[p + 1])
-                table[pr.number[mine] - 1] = pr.mask[mine]
-                places = table[word[np.repeat(s - bound[:-1], e - s) + np.arange(bound[-1])]]
-                table[pr.number[mine] - 1] = 0
-                hit = places != 0
-                cum = np.concatenate([[0], np.cumsum(hit)])
-                lo, hi, n = cum[bound[:-1]], cum[bound[1:]], int(pr.size[p])
-                good = hi - lo >= PARAPHRASE * n
-                at, cos, lo, hi, seq = at[good], cos[good], lo[good], hi[good], places[hit]
-                share = common_subsequence(seq, lo, hi) / n
-                good = share >= PARAPHRASE
-                at, cos, lo, hi, share = at[good], cos[good], lo[good], hi[good], share[good]
-                if not len(at):
-                    continue
-                answer = common_subsequence(seq & pr.tail[p], lo, hi) / max(int(np.bitwise_count(pr.tail[p])), 1)
-                good = (share >= VERBATIM) | (answer >= ANSWER)
-                keep.append((row[at[good]], np.full(int(good.sum()), pr.item[p]), cos[good], share[good], answer[good]))
+            enough = _shared_words(quads, k, pr, own)
+            some = np.zeros(n, U64)
+            for j in range(enough.shape[1]):
+                some |= enough[:, j]
+            tile = np.flatnonzero((some != 0) & begins)
+            if not len(tile):
+                continue
+            learn(tile, k)
+            cosine = _window_vectors(unit, tile, tile + left[tile], k) @ pr.vector[own].T
+            which, window = np.nonzero(((cosine >= np.float32(MIN_COSINE)) & (enough[tile].view(np.uint8)[:, : len(own)] != 0)).T)
+            pairs.append((tile[window], own[which], cosine[window, which]))
+            if sum(len(x[0]) for x in pairs) >= _PAIRS:
+                verify()
+    verify()
     if not keep:
         return none
     r, item, c, share, answer = (np.concatenate(k) for k in zip(*keep))

@@ -170,6 +170,62 @@ def test_short_items_are_found(latent, size):
     assert sum((i, i) in got for i in range(40)) >= 0.9 * 40
 
 
+def probes_of(items, projection):
+    return decontamination.probes(pa.table({"item_id": [i for i, _ in items], "text": [t for _, t in items]}), projection)
+
+
+def test_search_reads_vectors_only_for_tiles_that_may_leak(latent):
+    projection, hosts, items = latent
+
+    class Counted(np.ndarray):
+        read = 0
+
+        def __getitem__(self, at):
+            got = super().__getitem__(at)
+            Counted.read += len(got) if got.ndim == 2 else 0
+            return got.view(np.ndarray)
+
+    w = planted(random.Random(2), hosts, [t for _, t in items[:4]] + [""] * 60)
+    pr = probes_of(items, projection)
+    row, item = decontamination.find(w, projection.view(Counted), pr)[:2]
+    assert {(k, items[k][0]) for k in range(4)} <= set(zip(row.astype(int).tolist(), item.tolist()))
+    assert 0 < Counted.read <= 0.5 * len(w.hash)
+
+
+def test_search_verifies_the_windows_of_many_items_at_once(latent, monkeypatch):
+    projection, hosts, items = latent
+    calls, real = [], decontamination.common_subsequence
+    monkeypatch.setattr(decontamination, "common_subsequence", lambda *a: calls.append(1) or real(*a))
+    pr = probes_of(items[:40], projection)
+    row = decontamination.find(planted(random.Random(3), hosts, [t for _, t in items[:40]]), projection, pr)[0]
+    assert len(set(row.tolist())) >= 36 and len(calls) <= 20
+
+
+@pytest.mark.parametrize("blocks", [dict(_PAIRS=3), dict(_TILES=5, _BLOCK=3), dict(_PROBES=2, _PAIRS=1)])
+def test_search_does_not_depend_on_its_blocks(latent, monkeypatch, blocks):
+    projection, hosts, items = latent
+    pr = probes_of([*items[:30], (900, "x"), (901, " ".join(hosts[5][:150]))], projection)
+    w = planted(random.Random(5), [*hosts[:20], ["x"], ["y"]], [t for _, t in items[:20]] + ["x", items[0][1]])
+    want = decontamination.find(w, projection, pr)
+    for name, size in blocks.items():
+        monkeypatch.setattr(decontamination, name, size)
+    got = decontamination.find(w, projection, pr)
+    assert len(want[0]) >= 20 and [x.tolist() for x in got[:2]] == [x.tolist() for x in want[:2]]
+    assert all(np.allclose(x, y, atol=1e-5) for x, y in zip(got, want))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.sets(st.one_of(st.integers(0, 40), st.integers(2**64 - 20, 2**64 - 1), st.integers(0, 2**64 - 1)), min_size=1, max_size=60), st.lists(st.integers(0, 2**64 - 1), max_size=20))
+def test_places_of_words(known, others):
+    vocab = np.array(sorted(known), np.uint64)
+    bits = len(vocab).bit_length() + 2
+    begin = np.searchsorted(vocab, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).astype(np.int32)
+    pr = decontamination.Probes(*[None] * 4, vocab, begin, *[None] * 4)
+    want = {int(v): k for k, v in enumerate(vocab)}
+    asked = [*known, *others, *range(45), *range(2**64 - 25, 2**64)]
+    assert pr.places(np.array(asked, np.uint64)).tolist() == [want.get(h, len(vocab)) for h in asked]
+
+
 def test_decontamination_edge_cases(spark, messy, none, make):
     bench = spark.createDataFrame([(1, None), (None, "a b c d"), (3, ""), (4, "!!!"), (5, "plain words here"), (5, "lorem ipsum dolor sit amet consectetur lorem ipsum dolor"), (6, "x y z " * 100)], "item_id long, text string")
     got = decontamination.leaks(messy, bench).collect()
