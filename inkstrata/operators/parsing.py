@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,28 +36,70 @@ LINE_SCHEMA = "doc_id bigint, page int, line int, word int, text string, x0 doub
 # --- native words ---------------------------------------------------------------------------
 
 
+def _changes(c: pa.ChunkedArray) -> np.ndarray:
+    """Where a value differs from the one before it; nulls are equal."""
+    v, none = c.fill_null(0).to_numpy(), c.is_null().to_numpy()
+    return (v[1:] != v[:-1]) | (none[1:] != none[:-1])
+
+
+def _rows_of_tops(page: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """Number of each word's row, counted over all pages, of words sorted by page and top."""
+    out, row, last, anchor = [], -1, None, 0.0
+    for p, t in zip(page.tolist(), top.tolist()):
+        if p != last or abs(t - anchor) > ROW_TOLERANCE:
+            row, anchor, last = row + 1, t, p
+        out.append(row)
+    return np.array(out, dtype=np.int64)
+
+
 def lines_of_words(words: DataFrame) -> DataFrame:
     """Lines of a page's words (doc_id, page, text, x0, top, x1, bottom).
 
-    A row is anchored to its first word, so rows are found one after another within
-    a page, which is the group; a page is of bounded size.
+    A row is anchored to its first word, so rows are found one after another, in
+    one pass over the sorted words of many pages. Only the row that a batch
+    breaks off is kept for the next one.
     """
+    keys, order = ["doc_id", "page"], ["top", "x0", "x1", "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, done, lines = None, None, 0  # words of the open row, the page of the last closed row, and its lines so far
+
+        def close(t: pa.Table, end: int, row: np.ndarray, page: np.ndarray) -> Iterator[pa.RecordBatch]:
+            nonlocal done, lines
+            row, page = row[:end], page[:end]
+            x0, x1 = (t[c].to_numpy()[:end] for c in ("x0", "x1"))
+            at = np.lexsort((x0, row))
+            row, page, x0, x1 = row[at], page[at], x0[at], x1[at]
+            new = np.ones(end, bool)
+            new[1:] = (row[1:] != row[:-1]) | (x0[1:] - x1[:-1] > WIDEST_GAP)
+            number, first = np.cumsum(new) - 1, np.searchsorted(page, np.arange(page[-1] + 1))
+            line = number - number[first][page]
+            key = tuple(t[c][0].as_py() for c in keys)
+            line[page == 0] += lines if key == done else 0
+            starts = np.flatnonzero(new)
+            word = np.arange(end) - starts[number]
+            done, lines = tuple(t[c][end - 1].as_py() for c in keys), int(line[-1]) + 1
+            out = t.slice(0, end).take(pa.array(at))
+            cols = {"doc_id": out["doc_id"], "page": out["page"], "line": pa.array(line, pa.int32()), "word": pa.array(word, pa.int32()), **{c: out[c] for c in ("text", "x0", "top", "x1", "bottom")}}
+            yield from pa.table(cols).to_batches()
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["top", "x0", "x1", "text"], kind="stable").reset_index(drop=True)
-        row, anchor, number = -1, None, []
-        for top in rows["top"].to_numpy():
-            if anchor is None or abs(top - anchor) > ROW_TOLERANCE:
-                row, anchor = row + 1, top
-            number.append(row)
-        rows["row"] = number
-        rows = rows.sort_values(["row", "x0"], kind="stable").reset_index(drop=True)
-        same = rows["row"].eq(rows["row"].shift())
-        rows["line"] = (~same | ((rows["x0"] - rows["x1"].shift()) > WIDEST_GAP)).cumsum().astype("int32") - 1
-        rows["word"] = rows.groupby("line").cumcount().astype("int32")
-        return rows[["doc_id", "page", "line", "word", "text", "x0", "top", "x1", "bottom"]].astype({"page": "int32"})
-
-    return words.select("doc_id", F.col("page").cast("int").alias("page"), "text", *[F.col(c).cast("double").alias(c) for c in ("x0", "top", "x1", "bottom")]).groupBy("doc_id", "page").applyInPandas(run, LINE_SCHEMA)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            t = t if kept is None else pa.concat_tables([kept, t])
+            page = np.concatenate([[0], np.cumsum(_changes(t["doc_id"]) | _changes(t["page"]))])
+            row = _rows_of_tops(page, t["top"].to_numpy())
+            end = int(np.searchsorted(row, row[-1]))
+            if end:
+                yield from close(t, end, row, page)
+            kept = t.slice(end)
+        if kept is not None:
+            zero = np.zeros(len(kept), dtype=np.int64)
+            yield from close(kept, len(kept), zero, zero)
+
+    flat = words.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("page").cast("int").alias("page"), "text", *[F.col(c).cast("double").alias(c) for c in ("x0", "top", "x1", "bottom")])
+    return flat.repartition(*keys).sortWithinPartitions(*keys, *[F.asc_nulls_last(c) for c in order]).mapInArrow(run, LINE_SCHEMA)
 
 
 def blocks_of_lines(lines: DataFrame, confidence: str | None = None) -> DataFrame:
