@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkstrata.errors import SchemaError
-from inkstrata.functions.text import to_bool, to_number, unfence
+from inkstrata.functions.text import let, to_bool, to_number, unfence
 
 #: Names of types that a template may use -> kind.
 KINDS = {"str": "str", "string": "str", "int": "int", "integer": "int", "float": "float", "number": "float", "bool": "bool", "boolean": "bool", "date": "date", "datetime": "datetime", "list": "list", "list[str]": "list", "object": "object"}
@@ -295,25 +295,34 @@ def coerce_answer(schema: Schema, answer: Column) -> Column:
     A bare text for a list of texts becomes a list of one. An answer that is no
     object has null data and one fault.
     """
-    text = unfence(answer)
     wide = T.StructType([T.StructField(f.name, f.text()) for f in schema.fields])
-    raw = F.from_json(text, wide)
-    whole = F.from_json(text, "map<string, string>")
-    is_object = F.coalesce(F.startswith(F.trim(text), F.lit("{")) & whole.isNotNull(), F.lit(False))
-    values, wrong = [], []
-    for f in schema.fields:
-        given = whole[F.lit(f.name)]
-        x = raw[f.name]
-        if f.kind == "list" and (f.item or Field("item")).kind == "str":
-            bare = given.isNotNull() & ~F.startswith(F.trim(given), F.lit("["))
-            x = F.when(bare, F.array(given)).otherwise(x)
-        v = _coerced(f, x)
-        if f.default is not None:
-            v = F.coalesce(v, F.lit(f.default).cast(f.spark()))
-        values.append(v.cast(f.spark()).alias(f.name))
-        wrong.append(F.when(v.isNull() & given.isNotNull(), F.lit(f"{f.name}: not a {f.kind}")).when(v.isNull() & F.lit(f.required), F.lit(f"{f.name}: missing")))
-    found = F.filter(F.array(*wrong), lambda x: x.isNotNull())
-    return F.struct(F.when(is_object, F.struct(*values)).alias("data"), F.when(is_object, found).otherwise(F.array(F.lit("the answer is no object"))).alias("faults"))
+    bare_list = lambda f: f.kind == "list" and (f.item or Field("item")).kind == "str"
+
+    def typed(p: Column) -> Column:
+        values = []
+        for f in schema.fields:
+            given, x = p["whole"][F.lit(f.name)], p["raw"][f.name]
+            if bare_list(f):
+                bare = given.isNotNull() & ~F.startswith(F.trim(given), F.lit("["))
+                x = F.when(bare, F.array(given)).otherwise(x)
+            v = _coerced(f, x)
+            if f.default is not None:
+                v = F.coalesce(v, F.lit(f.default).cast(f.spark()))
+            values.append(v.cast(f.spark()).alias(f.name))
+        return let(F.struct(*values), lambda d: judged(p, d))
+
+    def judged(p: Column, d: Column) -> Column:
+        given = lambda f: p["whole"][F.lit(f.name)].isNotNull()
+        wrong = [F.when(d[f.name].isNull() & given(f), F.lit(f"{f.name}: not a {f.kind}")).when(d[f.name].isNull() & F.lit(f.required), F.lit(f"{f.name}: missing")) for f in schema.fields]
+        found = F.filter(F.array(*wrong), lambda x: x.isNotNull())
+        return F.struct(F.when(p["ok"], d).alias("data"), F.when(p["ok"], found).otherwise(F.array(F.lit("the answer is no object"))).alias("faults"))
+
+    def parsed(text: Column) -> Column:
+        """The text read once as a struct and once as a map, which every field then looks into."""
+        both = F.struct(text.alias("text"), F.from_json(text, wide).alias("raw"), F.from_json(text, "map<string, string>").alias("whole"))
+        return let(both, lambda b: F.struct(b["raw"].alias("raw"), b["whole"].alias("whole"), F.coalesce(F.startswith(F.trim(b["text"]), F.lit("{")) & b["whole"].isNotNull(), F.lit(False)).alias("ok")))
+
+    return let(unfence(answer), lambda text: let(parsed(text), typed))
 
 
 def emptied(schema: Schema, data: Column) -> Column:

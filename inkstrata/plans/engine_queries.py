@@ -12,7 +12,7 @@ from inkstrata.operators import schema as sc
 from inkstrata.operators.geometry import box
 from inkstrata.plans.field_queries import FIELDS
 from inkstrata.plans.privacy_queries import FOUND
-from inkstrata.plans.registry import load, query
+from inkstrata.plans.registry import load, query, spread
 
 # --- schemas --------------------------------------------------------------------------------
 
@@ -29,7 +29,7 @@ def part_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = F.when(k % 7 == 0, F.lit('"one long text"')).otherwise(F.concat(F.lit('["('), size, F.lit(')", "7"]')))
     body = F.concat(F.lit('{"name": "'), F.col("p_name"), F.lit('", "price": '), price, F.lit(', "size": "'), size, F.lit(' cm", "tags": '), tags, F.lit(', "large": "'), F.when(size > 25, "Yes").otherwise("no"), F.lit('", "codes": '), codes, F.lit("}"))
     answer = F.when(k % 11 == 0, "sorry").when(k % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
-    return load(spark, sf_dir, "part").select(k.alias("doc_id"), answer.alias("answer"))
+    return spread(load(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name", "p_brand"), "p_partkey").select(k.alias("doc_id"), answer.alias("answer"))
 
 
 _PART = """a AS (SELECT p_partkey AS doc_id, p_partkey % 11 <> 0 AS ok, p_name AS name, CASE WHEN p_partkey % 6 = 0 THEN NULL WHEN p_partkey % 6 = 1 THEN p_partkey * 1000 + 0.5 ELSE p_partkey + 0.25 END::DOUBLE AS price, CAST(p_size AS BIGINT) AS size, CASE WHEN p_partkey % 4 = 0 THEN p_brand ELSE p_brand || ',x' END AS tags, p_size > 25 AS large,

@@ -22,3 +22,8 @@ def query(name: str, sql: str | None = None):
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a small table over all tasks before work that is large for each row: a small file, or one of one row group, is read by a single task."""
+    return df.repartition(*keys)
