@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,11 +23,16 @@ def column_values(cells: DataFrame, keys: list[str], col: int) -> DataFrame:
 
 
 def records(cells: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
-    """One row of named columns for each data row: the column's header, else ``col_n``; of equal names the last column wins."""
-    heads = cells.where("is_header").groupBy(*keys, "col").agg(F.min_by("text", "row").alias("name"))
-    data = cells.where(~F.col("is_header")).join(heads, [*keys, "col"], "left")
-    name = F.coalesce(F.col("name"), F.concat(F.lit("col_"), F.col("col").cast("string")))
-    return data.groupBy(*keys, "row").agg(*[F.max_by(F.when(name == n, F.col("text")), F.when(name == n, F.col("col"))).alias(n) for n in names])
+    """One row of named columns for each data row: the column's header, else ``col_n``; of equal names the last column wins.
+
+    The headers of a table reach its cells by a window over the table, so cells are moved once, by ``keys``, and sorted once.
+    """
+    table = Window.partitionBy(*keys).orderBy("row").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = F.collect_list(F.when(F.col("is_header"), F.struct("col", "row", "text"))).over(table)
+    own = F.array_min(F.filter("heads", lambda h: (h["col"] == F.col("col")) & h["row"].isNotNull()))["text"]
+    data = cells.withColumn("heads", heads).where(~F.col("is_header")).withColumn("name", F.coalesce(own, F.concat(F.lit("col_"), F.col("col").cast("string"))))
+    named = lambda n: F.col("name") == n
+    return data.groupBy(*keys, "row").agg(*[F.max_by(F.when(named(n), F.col("text")), F.when(named(n), F.col("col"))).alias(n) for n in names])
 
 
 def resolve_headers(cells: DataFrame, keys: list[str]) -> DataFrame:

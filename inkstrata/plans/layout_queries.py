@@ -80,9 +80,9 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     cell = lambda i, t: F.struct(F.lit(i).alias("col"), t.cast("string").alias("text"))
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     data = load(spark, sf_dir, "lineitem").withColumn("row", F.row_number().over(w))
-    data = data.select("l_orderkey", "row", F.explode(F.array(cell(0, F.col("l_partkey")), cell(1, F.col("l_quantity").cast("int")), cell(2, F.col("l_returnflag")))).alias("c"))
-    heads = load(spark, sf_dir, "lineitem").select("l_orderkey").distinct().select("l_orderkey", F.lit(0).alias("row"), F.explode(F.array(cell(0, F.lit("part")), cell(1, F.lit("quantity")))).alias("c"))
-    return data.withColumn("is_header", F.lit(False)).unionByName(heads.withColumn("is_header", F.lit(True))).select("l_orderkey", "row", "is_header", "c.*")
+    own = F.transform(F.array(cell(0, F.col("l_partkey")), cell(1, F.col("l_quantity").cast("int")), cell(2, F.col("l_returnflag"))), lambda c: F.struct(F.col("row"), F.lit(False).alias("is_header"), c["col"].alias("col"), c["text"].alias("text")))
+    heads = F.transform(F.array(cell(0, F.lit("part")), cell(1, F.lit("quantity"))), lambda c: F.struct(F.lit(0).alias("row"), F.lit(True).alias("is_header"), c["col"].alias("col"), c["text"].alias("text")))
+    return data.select("l_orderkey", F.explode(F.when(F.col("row") == 1, F.concat(heads, own)).otherwise(own)).alias("c")).select("l_orderkey", "c.*")
 
 
 @query("table_records", """SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INTEGER) AS row, CAST(l_partkey AS VARCHAR) AS part, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS quantity, l_returnflag AS col_2 FROM lineitem""")
