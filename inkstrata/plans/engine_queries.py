@@ -12,7 +12,7 @@ from inkstrata.operators import schema as sc
 from inkstrata.operators.geometry import box
 from inkstrata.plans.field_queries import FIELDS
 from inkstrata.plans.privacy_queries import FOUND
-from inkstrata.plans.registry import load, query, spread
+from inkstrata.plans.registry import dealt, load, query, spread
 
 # --- schemas --------------------------------------------------------------------------------
 
@@ -271,7 +271,7 @@ def split_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _form(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Customers as data of three fields, and a form with a checkbox that only odd ones have."""
-    c = load(spark, sf_dir, "customer")
+    c = dealt(load(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), "c_custkey")
     row = lambda f, i, v, k, a: F.struct(F.lit(f).alias("field"), F.lit(i).alias("pos"), v.alias("value"), F.lit(k).alias("kind"), F.array(F.lit(f), F.lit(a)).alias("aliases"), F.lit("").alias("description"), F.lit(None).cast("string").alias("mapped"))
     fields = c.select(F.col("c_custkey").alias("doc_id"), F.explode(F.array(row("name", 0, F.col("c_name"), "str", "Customer Name"), row("rich", 1, F.when(F.col("c_acctbal") > 5000, "True").otherwise("False"), "bool", "wealthy"), row("segment", 2, F.col("c_mktsegment"), "str", "sector"))).alias("f")).select("doc_id", "f.*")
     target = lambda t, k, o: F.struct(F.lit(t).alias("target"), F.lit(k).alias("control"), o.alias("options"))

@@ -27,3 +27,8 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Rows of a small table over all tasks before work that is large for each row: a small file, or one of one row group, is read by a single task."""
     return df.repartition(*keys)
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """The same into as many partitions as a shuffle has, which are not merged by their size, for rows of which each becomes many."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
