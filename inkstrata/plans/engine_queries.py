@@ -118,7 +118,8 @@ def page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     tokens = F.filter(F.split("text", "\\s+"), lambda x: x != "")
-    rows = load(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("doc_id"), F.posexplode(tokens).alias("n", "text"))
+    turns = dealt(load(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("doc_id"), "text"), "doc_id")
+    rows = turns.select("doc_id", F.posexplode(tokens).alias("n", "text"))
     w = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     at = F.coalesce(F.sum(F.length("text") + 1).over(w), F.lit(0))
     rows = rows.withColumn("at", at).withColumn("r", F.floor(F.col("at") / 60))
