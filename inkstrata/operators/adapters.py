@@ -11,7 +11,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,12 +22,12 @@ def call(rows: DataFrame, build: Callable[[], Callable[[list], list[str]]], colu
     """``rows`` (doc_id, instance, ``column``) with the adapter's output or the error."""
     schema = "doc_id bigint, instance int, output string, error string"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         adapter = build()
         for batch in batches:
             outputs, errors = [], []
-            for item in batch[column]:
-                value, error = None, None
+            for scalar in batch[column]:  # only one item at a time is a Python object, the batch stays in Arrow
+                item, value, error = scalar.as_py(), None, None
                 for k in range(retries):
                     try:
                         value, error = adapter([item])[0], None
@@ -37,9 +37,9 @@ def call(rows: DataFrame, build: Callable[[], Callable[[list], list[str]]], colu
                         if k + 1 < retries:
                             time.sleep(min(wait * 2**k, LONGEST_WAIT))
                 outputs.append(value), errors.append(error)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "instance": batch["instance"], "output": outputs, "error": errors})
+            yield pa.record_batch([batch["doc_id"], batch["instance"], pa.array(outputs, pa.string()), pa.array(errors, pa.string())], names=["doc_id", "instance", "output", "error"])
 
-    return rows.select("doc_id", F.col("instance").cast("int").alias("instance"), column).mapInPandas(run, schema)
+    return rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("instance").cast("int").alias("instance"), column).mapInArrow(run, schema)
 
 
 def instances(docs: DataFrame, n: int) -> DataFrame:
