@@ -9,7 +9,7 @@ from inkstrata.functions import text as fx
 from inkstrata.operators import documents as dm
 from inkstrata.operators import forms, geometry, privacy, tables
 from inkstrata.plans.privacy_queries import FOUND
-from inkstrata.plans.registry import load, query
+from inkstrata.plans.registry import dealt, load, query
 
 
 #: Words of conversations: (conv_id, turn) is a page, x runs with the characters of the turn.
@@ -21,7 +21,7 @@ x AS (SELECT *, b + length(text) AS e FROM w)"""
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = F.filter(F.split("text", "\\s+"), lambda x: x != "")
-    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(tokens).alias("word", "text"))
+    rows = dealt(load(spark, sf_dir, "conversations"), "conv_id", "turn").select("conv_id", "turn", F.posexplode(tokens).alias("word", "text"))
     return geometry.with_offsets(rows, ["conv_id", "turn"], "word")
 
 
